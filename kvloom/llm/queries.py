@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.llm import exact_dedup, line_dedup, mixing, token_count, url_filter
+from kvloom.llm import decontaminate, exact_dedup, line_dedup, mixing, token_count, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("body")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
     "op4_token_count": op4_token_count,
+    "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
@@ -72,6 +77,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, p.host AS host, p.path AS path, r.host || r.path AS rule, coalesce(r.verdict, 'allow') AS verdict
         FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
         QUALIFY row_number() OVER (PARTITION BY i ORDER BY length(r.host || r.path) DESC NULLS LAST, length(r.host) DESC, r.verdict DESC) = 1""",
+    "op7_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+        s AS (
+            SELECT DISTINCT item_id, array_to_string(w[n : n + 4], ' ') AS h
+            FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS n FROM i WHERE len(w) > 0)),
+        c AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id),
+        e AS (SELECT DISTINCT doc_id, array_to_string(w[n : n + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS n FROM d WHERE len(w) >= 5)),
+        p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM e JOIN s USING (h) GROUP BY ALL)
+        SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+        FROM p JOIN c USING (item_id) WHERE n_shared >= n_item * 0.8 - 1e-9""",
     "op10_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, i, line,
