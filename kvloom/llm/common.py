@@ -42,15 +42,25 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back.
 
     This cuts the lineage in storage that outlives executors, so a lost
-    executor costs only its own running tasks.
+    executor costs only its own running tasks.  ``batch_rows`` bounds the Arrow
+    batches of this write, for functions whose memory follows the batch.
     """
     spark = session_of(df)
     path = f"{scratch_root(spark)}/kvloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_ROWS)
+    if batch_rows:
+        spark.conf.set(_BATCH_ROWS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
     _left_behind.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -42,7 +42,8 @@ from kvloom.llm.shingles import SIMILAR, WORDS, batch_shingles, mix64, word_hash
 BANDS, ROWS = 30, 7
 POSITIONS = BANDS * ROWS
 MOST_SENT = 1_000_000
-CHUNK = 1_000
+CHUNK_WORDS = 200_000
+BATCH_ROWS = 1_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,10 +97,14 @@ def similarity(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> fl
 
 def _chunks(batch: pa.RecordBatch, column: int):
     """Slices of ``batch`` with the flat word hashes and word counts of each."""
-    for start in range(0, batch.num_rows, CHUNK):
-        part = batch.slice(start, CHUNK)
-        lists = part.column(column)
-        yield part, lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lists = batch.column(column)
+    flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    start, word = 0, 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, word + CHUNK_WORDS, side="right")))
+        yield batch.slice(start, stop - start), flat[word : ends[stop - 1]], sizes[start:stop]
+        start, word = stop, int(ends[stop - 1])
 
 
 def sketch_documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -129,8 +134,11 @@ def sketch_documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def shingle_lists(docs: DataFrame, wanted: DataFrame, rows: int, text: str, doc_id: str) -> DataFrame:
-    """(node, s, w) of the documents (doc_id, body, node) in ``wanted``, which has ``rows`` rows."""
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("s", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.DoubleType()))])
+    """(node, s, n) of the documents (doc_id, body, node) in ``wanted``, which has ``rows`` rows: shingles and their counts.
+
+    The counts are left empty if all are 1.
+    """
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("s", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
     keys = broadcast_if(wanted.select(F.col("doc_id").alias("wanted_id"), F.col("body").alias("wanted_body"), "node"), rows, MOST_SENT)
     here = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("body"))
     met = here.join(keys, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("body") == F.col("wanted_body")))
@@ -139,8 +147,13 @@ def shingle_lists(docs: DataFrame, wanted: DataFrame, rows: int, text: str, doc_
         out = []
         for part, flat, sizes in _chunks(batch, 1):
             row, shingle, count = batch_shingles(flat, sizes)
-            offsets = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
-            out.append(pa.record_batch([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(shingle.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(weights_of(count)))], names=[f.name for f in schema]))
+            rows_ = np.arange(part.num_rows + 1)
+            plain = np.ones(part.num_rows, bool)
+            plain[row[count > 1]] = False
+            told = ~plain[row]
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, rows_), pa.int32()), pa.array(shingle.view(np.int64)))
+            counts = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[told], rows_), pa.int32()), pa.array(count[told].astype(np.int32)))
+            out.append(pa.record_batch([part.column(0), lists, counts], names=[f.name for f in schema]))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
     return map_batches(met, [F.col("node"), word_hashes(F.col("text"))], listed, schema).dropDuplicates(["node"])
@@ -149,21 +162,21 @@ def shingle_lists(docs: DataFrame, wanted: DataFrame, rows: int, text: str, doc_
 def verified(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b), from the shingle lists of their nodes."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    left = lists.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
-    right = lists.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
+    left = lists.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"))
+    right = lists.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat = [batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(2, 6)]
-        ends = [np.r_[0, np.cumsum(batch.column(i).value_lengths().to_numpy(zero_copy_only=False))] for i in (2, 4)]
-        sa, sb = flat[0].view(np.uint64), flat[2].view(np.uint64)
-        out = np.empty(batch.num_rows)
-        for i in range(batch.num_rows):
-            p, q, r, s = ends[0][i], ends[0][i + 1], ends[1][i], ends[1][i + 1]
-            out[i] = similarity(sa[p:q], flat[1][p:q], sb[r:s], flat[3][r:s])
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(out)], names=[f.name for f in schema])
+        def rows(i: int, kind: type | None = None):
+            flat, sizes = batch.column(i).flatten().to_numpy(zero_copy_only=False), batch.column(i).value_lengths().to_numpy(zero_copy_only=False)
+            flat, ends = flat.view(kind or flat.dtype), np.cumsum(sizes)
+            return (flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True))
+
+        weight = lambda s, n: weights_of(n) if len(n) else np.ones(len(s))
+        out = [similarity(p, weight(p, m), q, weight(q, n)) for p, m, q, n in zip(rows(2, np.uint64), rows(3), rows(4, np.uint64), rows(5), strict=True)]
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=[f.name for f in schema])
 
     joined = pairs.join(left, "a").join(right, "b")
-    return map_batches(joined, [F.col(c) for c in ("a", "b", "sa", "wa", "sb", "wb")], measure, schema)
+    return map_batches(joined, [F.col(c) for c in ("a", "b", "sa", "na", "sb", "nb")], measure, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -186,7 +199,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     ``body`` is xxhash64(text); n_links counts the different texts that are
     known to be similar to this one: those with a verified link.
     """
-    sketched = materialize(sketch_documents(docs, text, doc_id), "sketches")
+    sketched = materialize(sketch_documents(docs, text, doc_id), "sketches", BATCH_ROWS)
     worded = sketched.where(F.col("node").isNotNull())
     nodes = materialize(
         worded.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "body", "bands")).alias("one")).select("node", "one.doc_id", "one.body", "one.bands"),
@@ -196,9 +209,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     shared = rows.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where(F.col("pivot") < F.col("last")).select("band", "pivot")
     members = materialize(rows.join(shared, "band"), "members")
     wanted = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "body"), "wanted")
-    lists = materialize(shingle_lists(docs, wanted, wanted.count(), text, doc_id), "lists")
+    lists = materialize(shingle_lists(docs, wanted, wanted.count(), text, doc_id), "lists", BATCH_ROWS)
     pairs = members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    measured = materialize(verified(pairs, lists), "measured")
+    measured = materialize(verified(pairs, lists), "measured", BATCH_ROWS)
     links = measured.where(F.col("similarity") >= threshold).select("a", "b")
     label = components(links)
     # bands that still hold two components
@@ -214,7 +227,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
         .select(F.col("node").alias("a"), F.col("other_node").alias("b"))
         .distinct()
     )
-    more = materialize(verified(undecided, lists).where(F.col("similarity") >= threshold).select("a", "b"), "links")
+    more = materialize(verified(undecided, lists).where(F.col("similarity") >= threshold).select("a", "b"), "links", BATCH_ROWS)
     if more.limit(1).count():
         links = links.unionByName(more)
         label = components(links)
