@@ -5,9 +5,10 @@ the words of the text and the probabilities of all earlier categories; in
 training these are out-of-fold predictions of ``FOLDS`` folds, so a later model
 never sees what an earlier one has learned by heart.
 
-Features are 64-bit hashes of lower-cased words, kept if a chi-square test over
-the training texts ties them to a category (at least ``LEAST_CHI2``; at most
-``MOST_FEATURES``, the strongest).
+Features are 64-bit hashes of lower-cased words and of their first four and six
+characters (inflected and compound words share these), kept if a chi-square
+test over the training texts ties them to a category (at least ``LEAST_CHI2``;
+at most ``MOST_FEATURES``, the strongest).
 
 Training is on a bounded sample of about ``MOST_TEXTS`` labelled texts, chosen
 by a hash of the id; scoring reads every whole text.
@@ -25,16 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvloom.llm.common import map_batches, materialize
-from kvloom.llm.shingles import word_hashes
+from kvloom.llm.shingles import words as words_of
 
 #: Label columns in the order of the chain, each with the value that means the category.
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
-THRESHOLD = 0.5
+THRESHOLD = 0.3
+STEMS = (4, 6)
 FOLDS = 5
 MOST_TEXTS = 10_000
 MOST_FEATURES = 2_048
@@ -44,6 +46,16 @@ RIDGE = 0.1
 STEPS = 150
 
 
+def word_features(text: Column) -> Column:
+    """Distinct 64-bit features of a text."""
+    words = words_of(text)
+    return F.array_distinct(F.flatten(F.array(F.transform(words, lambda w: F.xxhash64(w)), *[_stems(words, n) for n in STEMS])))
+
+
+def _stems(words: Column, n: int) -> Column:
+    return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.xxhash64(F.substring(w, 1, n), F.lit(n)))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -142,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, text: str =
     sample = listed.where(place < share * 1_000_000).withColumn("fold", F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     # about most_texts labels, so the broadcast is bounded; documents stay where they are
     met = docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(sample), "label_id")
-    texts = materialize(met.withColumn("at", F.monotonically_increasing_id()).withColumn("words", F.array_distinct(word_hashes(F.col("text")))).drop("text"), "labelled")
+    texts = materialize(met.withColumn("at", F.monotonically_increasing_id()).withColumn("words", word_features(F.col("text"))).drop("text"), "labelled")
     names = [f"y{k}" for k in range(len(categories))]
     base = texts.agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in names]).first()
     if not base.n:
@@ -181,7 +193,7 @@ def _scored(docs: DataFrame, chain: Chain, categories, text: str, columns: list[
             p = np.zeros((batch.num_rows, count))
         return pa.record_batch([*[batch.column(i) for i in range(len(columns))], *[pa.array(np.ascontiguousarray(p[:, k])) for k in range(count)]], names=[f.name for f in schema])
 
-    words = F.array_distinct(word_hashes(F.col(text)))
+    words = word_features(F.col(text))
     return map_batches(docs, [*[F.col(c) for c in columns], words], score, schema)
 
 
