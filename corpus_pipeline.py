@@ -1,4 +1,9 @@
-"""Corpus pipeline: the stages a training corpus passes through, in order."""
+"""Corpus pipeline: the stages a training corpus passes through, in order.
+
+Every stage works on all rows its predecessor kept.  All but the last return
+the columns of ``documents``; the last returns the mix: those columns with
+mix_size, mix_target, mix_taken and mix_repeats.
+"""
 
 from __future__ import annotations
 
@@ -6,27 +11,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import exact_dedup, mixing
+from kvloom.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
 from kvloom.llm.common import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity chain, trained on the labels table, doesn't reject."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest doc_id."""
     return exact_dedup.drop_exact_copies(docs)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group, the document with the smallest doc_id."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with how often it takes them."""
     return mixing.mix(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_copies), ("mixing", mix)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_exact_copies),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+]
 
-#: SQL cannot express the classifier of the first stage.
+#: SQL cannot express the classifier of the first stage nor the components of the third.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over documents; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
