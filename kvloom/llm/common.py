@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +45,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, unless their module path already has it."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent.parent
+    on_path = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(package.parent) in on_path or getattr(context, "_kvloom_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="kvloom-ship-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._kvloom_shipped = True
+
+
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -53,6 +71,7 @@ def materialize(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataF
     batches of this write, for functions whose memory follows the batch.
     """
     spark = session_of(df)
+    ship_package(spark)
     path = f"{scratch_root(spark)}/kvloom-{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(_BATCH_ROWS)
     if batch_rows:
@@ -93,6 +112,7 @@ def map_batches(df: DataFrame, columns: list[Column], fn: Callable[[pa.RecordBat
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
+    ship_package(session_of(df))
     return df.select(*columns).mapInArrow(run, schema)
 
 

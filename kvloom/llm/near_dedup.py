@@ -15,10 +15,13 @@ is the plain Jaccard similarity.
    probability 0.001.  Nodes that share a band are compared with the band's
    smallest node (its pivot), never all with all.
 4. Verification: the exact probability Jaccard from the whole shingle lists.
-   Links join nodes to components.
+   Links join nodes to components.  In ``PASSES - 1`` further passes, bands that
+   hold several components get another pivot, out of their largest component,
+   and only members of other components are compared with it.
 5. What pivots cannot decide: in a band that still holds two components, pairs
-   of different components are verified too, unless their distances to the
-   pivot differ by more than the threshold allows (1 - similarity is a metric).
+   of different components are verified too.  Large bands are compared in
+   blocks, slots with slots, and only pairs that may reach the threshold come
+   out of a block.
 
 Components are found by label propagation with pointer jumping over the links
 in tables; nothing of it is collected.
@@ -31,6 +34,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +46,9 @@ from kvloom.llm.shingles import SIMILAR, WORDS, batch_shingles, mix64, word_hash
 BANDS, ROWS = 30, 7
 POSITIONS = BANDS * ROWS
 MOST_SENT = 1_000_000
+PASSES = 3
+SMALL, BLOCK = 32, 512
+DEVIATIONS = 3.0
 CHUNK_WORDS = 200_000
 BATCH_ROWS = 1_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -108,8 +115,8 @@ def _chunks(batch: pa.RecordBatch, column: int):
 
 
 def sketch_documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, body, node, bands): node names the shingles and counts, null without a word; bands are hashes of the bands."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("body", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """(doc_id, body, node, bands, slots): node names the shingles and counts, null without a word; bands are hashes of the bands, slots has a byte of each slot."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("body", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("slots", T.BinaryType())])
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -127,7 +134,8 @@ def sketch_documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             none = sizes == 0
             offsets = np.r_[0, np.cumsum(np.where(none, 0, BANDS))]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band[~none].ravel().view(np.int64)))
-            out.append(pa.record_batch([part.column(0), part.column(1), pa.array(node.view(np.int64), mask=none), lists], names=[f.name for f in schema]))
+            slots = pa.array([x.tobytes() for x in mix64(signature).astype(np.uint8)], pa.binary())
+            out.append(pa.record_batch([part.column(0), part.column(1), pa.array(node.view(np.int64), mask=none), lists, slots], names=[f.name for f in schema]))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
     return map_batches(docs, [F.col(doc_id), F.xxhash64(F.col(text)), word_hashes(F.col(text))], sketch, schema)
@@ -193,6 +201,62 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _open_bands(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of ``members``, with their components, of the bands that still hold two components."""
+    placed = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where(F.col("c0") < F.col("c1")).select("band")
+    return placed.join(open_, "band")
+
+
+def _to_largest(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a band's new pivot, a member of its largest component, with the members of other components."""
+    sizes = placed.select("node", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    ranked = placed.select("band", "node", "component").join(sizes, "component")
+    pivot = F.min(F.struct((-F.col("nodes")).alias("s"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("new")
+    pivots = ranked.groupBy("band").agg(pivot)
+    return ranked.join(pivots, "band").where(F.col("component") != F.col("new.component")).select(F.col("new.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _undecided(placed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components in a band.
+
+    Bands of up to ``SMALL`` rows give all such pairs.  Larger ones are cut into
+    blocks of about ``BLOCK`` rows; blocks are compared with blocks in numpy, and
+    a pair comes out if its slots agree as often as the threshold less
+    ``DEVIATIONS`` standard deviations of that estimate.
+    """
+    counted = materialize(placed.join(placed.groupBy("band").agg(F.count(F.lit(1)).alias("rows")), "band").select("band", "node", "component", "rows"), "open")
+    small = counted.where(F.col("rows") <= SMALL)
+    other = small.select("band", F.col("node").alias("b"), F.col("component").alias("other"))
+    near = small.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("node").alias("a"), "b")
+    least = POSITIONS * threshold - DEVIATIONS * (POSITIONS * threshold * (1 - threshold)) ** 0.5
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    large = (
+        counted.where(F.col("rows") > SMALL)
+        .join(nodes.select("node", "slots"), "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "component", "slots")
+    )
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        slots = np.frombuffer(b"".join(rows["slots"]), np.uint8).reshape(len(rows), POSITIONS)
+        node, component, block = (rows[c].to_numpy() for c in ("node", "component", "block"))
+        first = np.flatnonzero(block == rows["low"].iloc[0])
+        second = np.flatnonzero(block == rows["high"].iloc[0])
+        pairs = [np.zeros((0, 2), np.int64)]
+        for start in range(0, len(first), 32):
+            i = first[start : start + 32]
+            alike = (slots[i][:, None, :] == slots[second][None, :, :]).sum(axis=2) >= least
+            x, y = np.nonzero(alike & (component[i][:, None] != component[second][None, :]) & (node[i][:, None] != node[second][None, :]))
+            pairs.append(np.stack([np.minimum(node[i[x]], node[second[y]]), np.maximum(node[i[x]], node[second[y]])], axis=1))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    far = large.groupBy("band", "low", "high").applyInPandas(compare, "a long, b long")
+    return near.unionByName(far).distinct()
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILAR) -> DataFrame:
     """One row per input row: doc_id, body, group_id (smallest doc_id of its group), group_size, kept, n_links.
 
@@ -202,35 +266,30 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     sketched = materialize(sketch_documents(docs, text, doc_id), "sketches", BATCH_ROWS)
     worded = sketched.where(F.col("node").isNotNull())
     nodes = materialize(
-        worded.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "body", "bands")).alias("one")).select("node", "one.doc_id", "one.body", "one.bands"),
+        worded.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "body", "bands", "slots")).alias("one")).select("node", "one.doc_id", "one.body", "one.bands", "one.slots"),
         "nodes",
     )
     rows = nodes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where(F.col("pivot") < F.col("last")).select("band", "pivot")
     members = materialize(rows.join(shared, "band"), "members")
-    wanted = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "body"), "wanted")
+    wanted = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "body", "slots"), "wanted")
     lists = materialize(shingle_lists(docs, wanted, wanted.count(), text, doc_id), "lists", BATCH_ROWS)
     pairs = members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     measured = materialize(verified(pairs, lists), "measured", BATCH_ROWS)
     links = measured.where(F.col("similarity") >= threshold).select("a", "b")
     label = components(links)
-    # bands that still hold two components
-    placed = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where(F.col("c0") < F.col("c1")).select("band")
-    to_pivot = measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "similarity")
-    rest = materialize(placed.join(open_, "band").join(to_pivot, ["pivot", "node"]).select("band", "node", "component", "similarity"), "rest")
-    other = rest.select("band", *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "similarity")])
-    undecided = (
-        rest.join(other, "band")
-        .where((F.col("node") < F.col("other_node")) & (F.col("component") != F.col("other_component")))
-        .where(F.abs(F.col("similarity") - F.col("other_similarity")) <= 1 - threshold + 1e-9)
-        .select(F.col("node").alias("a"), F.col("other_node").alias("b"))
-        .distinct()
-    )
+    for turn in range(1, PASSES):
+        more = materialize(verified(_to_largest(_open_bands(members, label), turn), lists).where(F.col("similarity") >= threshold).select("a", "b"), "links", BATCH_ROWS)
+        if not more.limit(1).count():
+            continue
+        links = links.unionByName(more)
+        label = components(links)
+    undecided = materialize(_undecided(_open_bands(members, label), wanted, threshold), "undecided")
     more = materialize(verified(undecided, lists).where(F.col("similarity") >= threshold).select("a", "b"), "links", BATCH_ROWS)
     if more.limit(1).count():
         links = links.unionByName(more)
         label = components(links)
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = label.join(degree, "node")
     found = worded.select("doc_id", "body", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
