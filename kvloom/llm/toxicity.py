@@ -170,12 +170,14 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, text: str =
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"), *[F.sum(y).alias(y) for y in names]).where(F.col("df") >= LEAST_TEXTS)
     strongest = counted.select("word", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.col("chi2").desc(), "word").limit(MOST_FEATURES).collect()
     vocabulary = np.sort(np.array([r.word for r in strongest], np.int64))
-    rows = texts.select("at", "fold", *names).orderBy("at").toPandas()  # about most_texts rows
-    kept = words.where(F.col("word").isin(vocabulary.tolist())) if len(vocabulary) else words.limit(0)
-    cells = kept.select("at", "word").toPandas()
-    row = np.searchsorted(rows["at"].to_numpy(), cells["at"].to_numpy())
-    feature = np.searchsorted(vocabulary, cells["word"].to_numpy(np.int64))
-    return Chain(vocabulary, fit_chain(row, feature, len(vocabulary), rows[names].to_numpy(), rows["fold"].to_numpy()))
+    rows = texts.select("at", "fold", *names).orderBy("at").toArrow()  # about most_texts rows
+    listed_words = docs.sparkSession.createDataFrame([(int(w),) for w in vocabulary], "word long")
+    cells = words.select("at", "word").join(F.broadcast(listed_words), "word").toArrow()  # at most MOST_FEATURES a row
+    at, fold = rows["at"].to_numpy(), rows["fold"].to_numpy()
+    row = np.searchsorted(at, cells["at"].to_numpy())
+    feature = np.searchsorted(vocabulary, cells["word"].to_numpy())
+    labels_ = np.stack([rows[y].to_numpy() for y in names], axis=1)
+    return Chain(vocabulary, fit_chain(row, feature, len(vocabulary), labels_, fold))
 
 
 def _scored(docs: DataFrame, chain: Chain, categories, text: str, columns: list[str]) -> DataFrame:
