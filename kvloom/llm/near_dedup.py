@@ -225,7 +225,7 @@ def _undecided(placed: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     a pair comes out if its slots agree as often as the threshold less
     ``DEVIATIONS`` standard deviations of that estimate.
     """
-    counted = materialize(placed.join(placed.groupBy("band").agg(F.count(F.lit(1)).alias("rows")), "band").select("band", "node", "component", "rows"), "open")
+    counted = materialize(placed.join(placed.groupBy("band").agg(F.count(F.lit(1)).alias("rows")), "band").select("band", "place", "node", "component", "rows"), "open")
     small = counted.where(F.col("rows") <= SMALL)
     other = small.select("band", F.col("node").alias("b"), F.col("component").alias("other"))
     near = small.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("node").alias("a"), "b")
@@ -236,20 +236,25 @@ def _undecided(placed: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
         .join(nodes.select("node", "slots"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "component", "slots")
+        .select("band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "place", "block", "node", "component", "slots")
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         slots = np.frombuffer(b"".join(rows["slots"]), np.uint8).reshape(len(rows), POSITIONS)
         node, component, block = (rows[c].to_numpy() for c in ("node", "component", "block"))
+        place = rows["place"].iloc[0]
         first = np.flatnonzero(block == rows["low"].iloc[0])
         second = np.flatnonzero(block == rows["high"].iloc[0])
         pairs = [np.zeros((0, 2), np.int64)]
         for start in range(0, len(first), 32):
             i = first[start : start + 32]
             alike = (slots[i][:, None, :] == slots[second][None, :, :]).sum(axis=2) >= least
-            x, y = np.nonzero(alike & (component[i][:, None] != component[second][None, :]) & (node[i][:, None] != node[second][None, :]))
-            pairs.append(np.stack([np.minimum(node[i[x]], node[second[y]]), np.maximum(node[i[x]], node[second[y]])], axis=1))
+            x, y = np.nonzero(alike & (component[i][:, None] != component[second][None, :]))
+            x, y = i[x], second[y]
+            # a pair comes out of the first band that it shares only
+            first_band = (slots[x] == slots[y]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            x, y = x[first_band == place], y[first_band == place]
+            pairs.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
         found = np.unique(np.concatenate(pairs), axis=0)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
@@ -269,7 +274,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
         worded.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "body", "bands", "slots")).alias("one")).select("node", "one.doc_id", "one.body", "one.bands", "one.slots"),
         "nodes",
     )
-    rows = nodes.select("node", F.explode("bands").alias("band"))
+    rows = nodes.select("node", F.posexplode("bands").alias("place", "band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where(F.col("pivot") < F.col("last")).select("band", "pivot")
     members = materialize(rows.join(shared, "band"), "members")
     wanted = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "body", "slots"), "wanted")
