@@ -261,21 +261,25 @@ class Compiler:
         if not phrase:
             return Compiled(F.lit(False), F.lit(0.0))
         name, base = phrase[0].term.field, min(p.position for p in phrase)
-        tokens, places = self.tokens(name), [(p.position - base, p.term.value) for p in phrase]
-        last = max(at for at, _ in places)
+        places = [(p.position - base, p.term.value) for p in phrase]
+        distinct = sorted({t for _, t in places})
 
-        def holds(i: Column) -> Column:
+        def occurrences(tokens: Column) -> Column:
+            at, word = places[0]
+            spots = F.filter(F.transform(tokens, lambda w, i: F.when(w == word, i - at)), lambda i: i.isNotNull())
+            starts = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.sequence(i - slop, i)))) if slop else spots
+            return F.size(F.filter(starts, lambda i: F.coalesce(holds(tokens, i), F.lit(False))))
+
+        def holds(tokens: Column, i: Column) -> Column:
             if slop == 0:
-                return conjunction([F.get(tokens, i + at) == t for at, t in places])
-            near = lambda at, t: F.array_contains(F.slice(tokens, F.greatest(i + at, F.lit(0)) + 1, F.greatest(i + at + slop + 1, F.lit(0)) - F.greatest(i + at, F.lit(0))), t)
-            return conjunction([near(at, t) for at, t in places])
-
-        low, high = (0, F.size(tokens) - 1 - last) if slop == 0 else (-last - slop, F.size(tokens) - 1)
-        starts = F.when(high >= low, F.sequence(F.lit(low), high)).otherwise(F.array().cast("array<int>"))
-        found = F.filter(starts, lambda i: F.coalesce(holds(i), F.lit(False)))
-        every = conjunction([F.array_contains(tokens, t) for t in sorted({t for _, t in places})])
-        idf = sum(self.stats.idf(name, t) for t in sorted({t for _, t in places}))
-        return Compiled(every & (F.size(found) > 0), self.bm25(name, F.size(found), idf))
+                return (i >= 0) & conjunction([F.get(tokens, i + at) == t for at, t in places])
+            begin = lambda at: F.greatest(i + at, F.lit(0))
+            return conjunction([F.array_contains(F.slice(tokens, begin(at) + 1, F.greatest(i + at + slop + 1, F.lit(0)) - begin(at)), t) for at, t in places])
+
+        # bound to a variable, the tokens are made once a row, wherever the optimiser moves the condition
+        found = F.get(F.transform(F.array(self.tokens(name)), occurrences), F.lit(0))
+        every = conjunction([F.array_contains(self.tokens(name), t) for t in distinct])
+        return Compiled(every & (found > 0), self.bm25(name, found, sum(self.stats.idf(name, t) for t in distinct)))
 
 
 @dataclass(frozen=True)
