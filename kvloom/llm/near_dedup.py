@@ -296,11 +296,13 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
         label = components(links)
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = label.join(degree, "node")
-    found = worded.select("doc_id", "body", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = materialize(label.join(degree, "node"), "known")
+    found = worded.select("doc_id", "body", "node").join(broadcast_if(known, known.count(), MOST_SENT), "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "body")).alias("head"), F.count(F.lit(1)).alias("group_size"))
+    # written first: beyond the broadcast's bound, a join of its own is one that Spark can split
+    large = materialize(heads.where(F.col("group_size") > 1), "heads")
     grouped = (
-        found.join(heads.where(F.col("group_size") > 1), "component", "left")
+        found.join(broadcast_if(large, large.count(), MOST_SENT), "component", "left")
         .withColumn("alone", F.col("group_size").isNull())
         .select(
             "doc_id",
