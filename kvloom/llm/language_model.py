@@ -57,7 +57,8 @@ FEATURES = 3
 ROUNDS = 3
 THIN = 8
 RATE = 0.1
-BATCH = 512
+FIRST_SUM = 1e-6
+BATCH = 256
 CHUNK = 8_192
 BATCH_ROWS = 2_000
 BLOCK = 1 << 14
@@ -168,7 +169,7 @@ class Steps:
 
     def __init__(self, w: Weights):
         self.w = Weights.of(w.flat().copy())
-        self.outer_sum, self.inner_sum = np.full(BUCKETS, 1e-2, np.float32), np.full(BUCKETS, 1e-2, np.float32)
+        self.outer_sum, self.inner_sum = np.full(BUCKETS, FIRST_SUM, np.float32), np.full(BUCKETS, FIRST_SUM, np.float32)
         self.seen = 0
 
     @staticmethod
