@@ -24,6 +24,7 @@ from kvloom.plans import nodes as n
 from kvloom.plans.compiler import text_index
 from kvloom.plans.search import matches, search
 from kvloom.sources.store import Connection, LocalSettings, MemoryDatabase
+from kvloom.streaming import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -410,6 +411,18 @@ def counter_wrap(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), stages.wrapping_add(big, F.col("n_nationkey").cast("long")).alias("value"))
 
 
+@query("SELECT user_id AS key, count(*) AS value FROM events GROUP BY user_id")
+def stream_counters(spark, d):
+    """Counters kept by a stream of events, run to the end of what is there."""
+    long_entry = T.StructType([T.StructField("key", T.LongType()), T.StructField("value", T.LongType())])
+    database = MemoryDatabase(spark, "s", {"counters": long_entry, tables.PROGRESS: tables.PROGRESS_SCHEMA})
+    path = f"{d}/events.parquet"
+    # as a pattern, since a stream over a plain path takes a folder only
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/event[s].parquet")
+    tables.count_into(stream, database, "counters", "events", F.col("user_id")).awaitTermination()
+    return database.read("counters")
+
+
 # codecs
 
 
