@@ -210,8 +210,8 @@ def _open_bands(members: DataFrame, label: DataFrame) -> DataFrame:
 
 def _to_largest(placed: DataFrame, turn: int) -> DataFrame:
     """Pairs of a band's new pivot, a member of its largest component, with the members of other components."""
-    sizes = placed.select("node", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
-    ranked = placed.select("band", "node", "component").join(sizes, "component")
+    sizes = materialize(placed.select("node", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("nodes")), "sizes")
+    ranked = placed.select("band", "node", "component").join(broadcast_if(sizes, sizes.count(), MOST_SENT), "component")
     pivot = F.min(F.struct((-F.col("nodes")).alias("s"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("new")
     pivots = ranked.groupBy("band").agg(pivot)
     return ranked.join(pivots, "band").where(F.col("component") != F.col("new.component")).select(F.col("new.node").alias("a"), F.col("node").alias("b")).distinct()
@@ -284,7 +284,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     links = measured.where(F.col("similarity") >= threshold).select("a", "b")
     label = components(links)
     for turn in range(1, PASSES):
-        more = materialize(verified(_to_largest(_open_bands(members, label), turn), lists).where(F.col("similarity") >= threshold).select("a", "b"), "links", BATCH_ROWS)
+        more = materialize(verified(_to_largest(materialize(_open_bands(members, label), "open"), turn), lists).where(F.col("similarity") >= threshold).select("a", "b"), "links", BATCH_ROWS)
         if not more.limit(1).count():
             continue
         links = links.unionByName(more)
