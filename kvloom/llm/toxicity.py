@@ -28,9 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from kvloom.llm.common import map_batches, materialize
+from kvloom.llm.common import materialize, ship_package
 from kvloom.llm.shingles import words as words_of
 
 #: Label columns in the order of the chain, each with the value that means the category.
@@ -180,36 +179,38 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, text: str =
     return Chain(vocabulary, fit_chain(row, feature, len(vocabulary), labels_, fold))
 
 
-def _scored(docs: DataFrame, chain: Chain, categories, text: str, columns: list[str]) -> DataFrame:
-    """The named columns of ``docs`` with one probability p_<category> each, and ``rejected``."""
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
-    count = len(categories)
-    fields = [docs.schema[c] for c in columns]
-    schema = T.StructType([*fields, *[T.StructField(f"p_{name}", T.DoubleType()) for name, _, _ in categories]])
+def _probabilities(docs: DataFrame, chain: Chain, categories, text: str) -> Column:
+    """An array of the probabilities of all categories.
 
-    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column(len(columns))
-        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        p = sent.value.predict(row, lists.flatten().to_numpy(zero_copy_only=False), batch.num_rows)
+    Features outside the vocabulary are dropped in the JVM, so that only short
+    arrays go to Python and the other columns never do.
+    """
+    sent, count = docs.sparkSession.sparkContext.broadcast(chain), len(categories)
+    ship_package(docs.sparkSession)
+
+    @F.arrow_udf("array<double>")
+    def score(lists: pa.Array) -> pa.Array:
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        p = sent.value.predict(row, lists.flatten().to_numpy(zero_copy_only=False), len(lists))
         if not p.shape[1]:
-            p = np.zeros((batch.num_rows, count))
-        return pa.record_batch([*[batch.column(i) for i in range(len(columns))], *[pa.array(np.ascontiguousarray(p[:, k])) for k in range(count)]], names=[f.name for f in schema])
+            p = np.zeros((len(lists), count))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * count, pa.int32()), pa.array(np.ascontiguousarray(p).ravel()))
 
-    words = word_features(F.col(text))
-    return map_batches(docs, [*[F.col(c) for c in columns], words], score, schema)
+    if not len(chain.vocabulary):
+        return score(F.when(F.lit(False), F.array(F.lit(0).cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
+    return score(F.filter(word_features(F.col(text)), lambda f: f.isin(chain.vocabulary.tolist())))
 
 
 def judge(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, p_<category> of every category, rejected (by the last category)."""
     chain = train(docs, labels, categories, text, doc_id)
-    scored = _scored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), chain, categories, "text", ["doc_id"])
-    return scored.withColumn("rejected", F.col(f"p_{categories[-1][0]}") >= threshold)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    scored = rows.select("doc_id", _probabilities(rows, chain, categories, "text").alias("p"))
+    return scored.select("doc_id", *[F.col("p")[k].alias(f"p_{name}") for k, (name, _, _) in enumerate(categories)], (F.col("p")[len(categories) - 1] >= threshold).alias("rejected"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not rejected, all columns unchanged."""
     chain = train(docs, labels, categories, text, doc_id)
-    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    scored = _scored(inner, chain, categories, f"c{docs.columns.index(text)}", inner.columns)
-    kept = scored.where(F.col(f"p_{categories[-1][0]}") < threshold)
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    scored = docs.withColumn("__kv_p", _probabilities(docs, chain, categories, text))
+    return scored.where(F.col("__kv_p")[len(categories) - 1] < threshold).select(*[F.col(c) for c in docs.columns])
