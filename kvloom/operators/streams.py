@@ -82,14 +82,15 @@ def take_until(df: DataFrame, condition: Column, order: list[str], by: list[str]
     return take_while(df, ~condition, order, by, inclusive=True)
 
 
-def fold(df: DataFrame, value: str, zero: Column, step: Callable[[Column, Column], Column], by: list[str], merge: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Fold of the values of each group; the operator must be associative and commutative.
+def fold(df: DataFrame, value: str, zero: Column, step: Callable[[Column, Column], Column], by: list[str]) -> DataFrame:
+    """Fold of the values of each group; ``step`` must be associative and commutative, and ``zero`` its neutral element.
 
-    Values are folded over the distinct ones with their counts if ``merge`` is
-    not given, so a group's list stays as short as its variety.
+    Values are folded by input partition first, so a task gathers a group's
+    values of one partition, then one partial result a partition.
     """
-    combine = merge or step
-    return df.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(value)), zero, combine).alias("folded"))
+    folded = lambda name: F.aggregate(F.collect_list(name), zero, step)
+    partial = df.withColumn("__part", F.spark_partition_id()).groupBy(*by, "__part").agg(folded(value).alias("__partial"))
+    return partial.groupBy(*by).agg(folded("__partial").alias("folded"))
 
 
 def shuffled(df: DataFrame, key: str, seed: str) -> DataFrame:

@@ -258,6 +258,20 @@ class Database(ABC):
         df = self.read(column).where((keys or KeyRange.all()).predicate("key"))
         return df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("key", "value")).alias("checksum"), F.min("key").alias("first"), F.max("key").alias("last"))
 
+    def scan_events(self, column: str):
+        """Progress of a scan file by file, as it goes: (event, file, rows) with event start, ok or fail, then one report of all rows."""
+        total = 0
+        for file in self.files(column):
+            yield ("start", file, 0)
+            try:
+                rows = self.spark.read.schema(self.columns[column]).parquet(file).agg(F.count("key"), F.bit_xor(F.xxhash64("key", "value"))).first()[0]
+            except Exception as error:  # noqa: BLE001  any unreadable file is one event
+                yield ("fail", f"{file}: {str(error).splitlines()[0]}", 0)
+                continue
+            total += rows
+            yield ("ok", file, rows)
+        yield ("report", column, total)
+
     def files(self, column: str) -> list[str]:
         return self.read(column).inputFiles()
 

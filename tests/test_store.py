@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,16 @@ def test_ingest_and_maintenance(spark, tmp_path):
         database.ingest("nope", [run])
     assert all(r.sound for r in database.verify().collect()) and database.verify_files("hash_map_testmap", KeyRange.since(2)).agg(F.sum("rows")).first()[0] == 2
     assert {(r.version, r.value) for r in database.all_versions("hash_map_testmap").where("key = 1").collect()} == {(1, "old"), (2, "old"), (3, "new")}
+    events = list(database.scan_events("hash_map_testmap"))
+    assert events[-1] == ("report", "hash_map_testmap", 3) and sum(e[2] for e in events if e[0] == "ok") == 3
+    bad = database.files("hash_map_testmap")[0].removeprefix("file://").removeprefix("file:")
+    whole = open(bad, "rb").read()
+    open(bad, "wb").write(whole[: len(whole) // 2])
+    crc = os.path.join(os.path.dirname(bad), f".{os.path.basename(bad)}.crc")
+    os.rename(crc, crc + ".old")
+    assert [e[0] for e in database.scan_events("hash_map_testmap")].count("fail") == 1
+    open(bad, "wb").write(whole)
+    os.rename(crc + ".old", crc)
     pin = database.take_snapshot()
     database.compact()
     gone = database.vacuum()

@@ -76,3 +76,10 @@ def test_entry_works_without_the_training_data_package(tmp_path):
             (tmp_path / p.relative_to(ROOT)).write_text(p.read_text())
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert out.stdout.split() == [str(len(queries.QUERIES)), str(len(queries.ORACLE_SQL)), "False"]
+
+
+def test_observed_rows(spark):
+    from kvloom.operators.metrics import observed
+
+    df, seen = observed(spark.range(7), "seen", most=F.max("id"))
+    assert df.count() == 7 and seen.get == {"rows": 7, "most": 6}
