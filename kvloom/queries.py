@@ -6,7 +6,6 @@ positions or ordered text.  Byte keys are shown as hex text.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -23,6 +22,7 @@ from kvloom.operators.table import KVTable, deltas_between
 from kvloom.plans import nodes as n
 from kvloom.plans.compiler import text_index
 from kvloom.plans.search import matches, search
+from kvloom.sources.scratch import shared_folder
 from kvloom.sources.store import Connection, LocalSettings, MemoryDatabase
 from kvloom.streaming import tables
 
@@ -292,8 +292,7 @@ def snap_diff(spark, d):
 
 def _stored_orders(spark, d):
     schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType())])
-    scratch = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kvloom-store-")
-    base = f"{scratch.rstrip('/')}/kvloom-store-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/kvloom-store-{uuid.uuid4().hex}"
     database = Connection(spark, LocalSettings(base)).connect().get_database("m", {"orders": schema})
     database.transact(lambda read: {"orders": byte_orders(spark, d).df})
     return database
