@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kvloom.sources.scratch import shared_folder
+
 #: White space of all contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -27,24 +29,6 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share.
-
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset
-    (single-machine tests) a temporary folder of this machine is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        context = spark.sparkContext._jsc.sc()
-        root = context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else None
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="kvloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, unless their module path already has it."""
     context = spark.sparkContext
@@ -72,7 +56,7 @@ def materialize(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataF
     """
     spark = session_of(df)
     ship_package(spark)
-    path = f"{scratch_root(spark)}/kvloom-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/kvloom-{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(_BATCH_ROWS)
     if batch_rows:
         spark.conf.set(_BATCH_ROWS, str(batch_rows))
