@@ -10,8 +10,7 @@
 3. Documents probe the arrays; lines are never joined or moved.
 
 The arrays are broadcast only up to ``MOST_KEYS`` keys (25 bytes each).  Beyond
-that bound the hashes of lines are joined with the repeated keys instead and
-the row numbers of dropped lines go back to their documents.
+that bound the hashes of lines are dealt to the shards and probe them there.
 
 Cases: null text is one empty line; keys under ``MIN_POINTS`` code points
 always stay; all rows with a null id count as one document that sorts last;
@@ -36,6 +35,7 @@ from kvloom.llm.common import WHITE, map_batches, materialize
 MIN_POINTS = 10
 SHARD_KEYS = 1 << 16
 MOST_KEYS = 2_000_000
+HEAVY = 100_000
 GAMMA = 2.0
 LAST = np.iinfo(np.int64).max
 _STRIP = WHITE.encode()
@@ -188,9 +188,12 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return merged.where(F.col("keep") < F.col("high")).select("h1", "h2", "keep", "lines")
 
 
-def build_shards(repeated: DataFrame, keys: int) -> Shards:
-    """The sharded arrays of ``repeated``, which has ``keys`` rows (bounded by the caller)."""
-    log_shards = max(0, int(np.ceil(np.log2(max(1, keys) / SHARD_KEYS))))
+def log_shards_of(keys: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, keys) / SHARD_KEYS))))
+
+
+def packed_shards(repeated: DataFrame, log_shards: int) -> DataFrame:
+    """(shard, packed): the arrays of each shard."""
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         h1, h2 = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
@@ -198,8 +201,13 @@ def build_shards(repeated: DataFrame, keys: int) -> Shards:
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "packed": [pack_shard(h1[first], h2[first], rows["keep"].to_numpy()[first], rows["lines"].to_numpy()[first])]})
 
     shard = F.shiftrightunsigned("h1", 64 - log_shards).cast("int") if log_shards else F.lit(0)
-    packed = repeated.withColumn("shard", shard).groupBy("shard").applyInPandas(pack, "shard int, packed binary")
-    return Shards({r.shard: bytes(r.packed) for r in packed.collect()}, log_shards)
+    return repeated.withColumn("shard", shard).groupBy("shard").applyInPandas(pack, "shard int, packed binary")
+
+
+def build_shards(repeated: DataFrame, keys: int) -> Shards:
+    """The sharded arrays of ``repeated``, which has ``keys`` rows (bounded by the caller)."""
+    log_shards = log_shards_of(keys)
+    return Shards({r.shard: bytes(r.packed) for r in packed_shards(repeated, log_shards).collect()}, log_shards)
 
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_points: int = MIN_POINTS, most_keys: int = MOST_KEYS) -> DataFrame:
@@ -208,7 +216,7 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     keys = repeated.count()
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
     if keys > most_keys:
-        return _by_join(docs, repeated, text, doc_id, min_points)
+        return _by_shards(docs, repeated, keys, text, doc_id, min_points)
     shards = docs.sparkSession.sparkContext.broadcast(build_shards(repeated, keys))
 
     def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -228,32 +236,62 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     return map_batches(docs, [F.col(doc_id), F.col(text)], probe, schema)
 
 
-def _by_join(docs: DataFrame, repeated: DataFrame, text: str, doc_id: str, min_points: int) -> DataFrame:
-    """The exact way beyond the bound of the broadcast: hashes of lines meet the repeated keys in a join."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "body", "line", "h1", "h2")])
+def _by_shards(docs: DataFrame, repeated: DataFrame, keys: int, text: str, doc_id: str, min_points: int) -> DataFrame:
+    """Beyond the bound of the broadcast the hashes of lines go to the arrays.
+
+    The arrays of the most frequent keys, ``HEAVY`` at most, are broadcast and
+    settle their lines in place, so no shard is hot.  Hashes of other lines are
+    dealt to shards, where they stream past the shard's arrays, one shard in
+    memory at a time; the numbers of dropped lines go back to their documents.
+    """
+    total = repeated.agg(F.sum("lines")).first()[0] or 0
+    frequent = F.col("lines") * HEAVY >= total
+    often = repeated.where(frequent)
+    heavy = docs.sparkSession.sparkContext.broadcast(build_shards(often, often.count()))
+    log_shards = log_shards_of(keys)
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("shard", "id", "body", "line", "h1", "h2", "gone")])
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, body = _ids(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
         _, row, number, h = _hashed_lines([x or "" for x in batch.column(1).to_pylist()], min_points)
-        columns = [ids[row], body[row], number, h[:, 0].view(np.int64), h[:, 1].view(np.int64)]
-        return pa.record_batch([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], names=[f.name for f in schema])
-
-    lines = map_batches(docs, [F.col(doc_id), F.col(text), F.xxhash64(F.col(text))], emit, schema)
-    gone = (
-        lines.join(repeated.select("h1", "h2", "keep"), ["h1", "h2"])
-        .where(F.col("keep") != F.col("id"))
-        .groupBy("id", "body")
-        .agg(F.collect_set("line").alias("gone"))
-    )
-    parts = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+        keep = heavy.value.keepers(h[:, 0], h[:, 1])
+        left = (keep < 0) | (keep != ids[row])  # what a frequent key keeps is settled
+        columns = [shard_of(h[:, 0], log_shards), ids[row], body[row], number, h[:, 0].view(np.int64), h[:, 1].view(np.int64), (keep >= 0).astype(np.int64)]
+        return pa.record_batch([pa.array(np.ascontiguousarray(c[left]), pa.int64()) for c in columns], names=[f.name for f in schema])
+
+    lines = materialize(map_batches(docs, [F.col(doc_id), F.col(text), F.xxhash64(F.col(text))], emit, schema), "hashes")
+    arrays = packed_shards(repeated.where(~frequent), log_shards).select(F.col("shard").cast("long").alias("shard"), F.lit(0).alias("kind"), "packed")
+    open_ = lines.where(F.col("gone") == 0).withColumn("kind", F.lit(1)).drop("gone")
+    dealt = arrays.unionByName(open_, allowMissingColumns=True).select("shard", "kind", "packed", "id", "body", "line", "h1", "h2")
+    found = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "body", "line")])
+
+    def probe(batches):
+        held, arrays_ = -1, None
+        for batch in batches:
+            shard, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if batch.num_rows else np.zeros(1, int)
+            for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if kind[start] == 0:
+                    held, arrays_, start = int(shard[start]), Shards({0: batch.column(2)[start].as_py()}, 0), start + 1
+                if start == stop or held != shard[start]:
+                    continue  # no repeated key in this shard
+                ids, body, line, h1, h2 = (batch.column(i).slice(start, stop - start).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3, 8))
+                keep = arrays_.keepers(h1.view(np.uint64), h2.view(np.uint64))
+                gone = (keep >= 0) & (keep != ids)
+                yield pa.record_batch([pa.array(c[gone], pa.int64()) for c in (ids, body, line)], names=[f.name for f in found])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    settled = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(probe, found)
+    gone = settled.unionByName(lines.where(F.col("gone") == 1).select("id", "body", "line")).groupBy("id", "body").agg(F.collect_set("line").alias("gone"))
+    split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("id"), F.xxhash64(F.col(text)).alias("body"))
     return (
         rows.join(gone, ["id", "body"], "left")
         .withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
         .select(
             F.col("doc_id").cast("long").alias("doc_id"),
-            F.size(parts).cast("long").alias("n_lines"),
+            F.size(split).cast("long").alias("n_lines"),
             F.size("gone").cast("long").alias("n_dropped"),
-            F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i.cast("long"))), "\n").alias("kept_text"),
+            F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i.cast("long"))), "\n").alias("kept_text"),
         )
     )

@@ -42,10 +42,12 @@ def test_lines_equal_the_definition(spark, documents, seed, most_keys):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == expected(rows)
 
 
-def test_several_shards(spark, documents, monkeypatch):
+@pytest.mark.parametrize(("most_keys", "heavy"), [(1000, 1), (0, 1), (0, 50), (0, 100_000)])
+def test_several_shards(spark, documents, monkeypatch, most_keys, heavy):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 16)
-    rows = [(i, "\n".join(f"repeated line number {j}" for j in range(i % 7, 300, 1 + i % 5))) for i in range(40)]
-    got = line_dedup.drop_repeated_lines(documents(rows)).collect()
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
+    rows = [(i, "\n".join(f"repeated line number {j}" for j in range(i % 7, 300, 1 + i % 5)) + "\na line in all texts" * 3) for i in range(40)]
+    got = line_dedup.drop_repeated_lines(documents(rows), most_keys=most_keys).collect()
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == expected(rows)
 
 
