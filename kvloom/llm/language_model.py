@@ -315,8 +315,8 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(whole.n), int(whole.v)
     least = max(1, math.ceil(n / SENT))
-    listed = counts.where(F.col("c") >= least).orderBy(F.col("c").desc(), "token").collect()  # SENT rows at most
-    words, sent_counts = [bytes(r.token) for r in listed], np.array([r.c for r in listed], np.int64)
+    listed = counts.where(F.col("c") >= least).orderBy(F.col("c").desc(), "token").toArrow()  # SENT rows at most
+    words, sent_counts = listed["token"].to_pylist(), listed["c"].to_numpy()
     del listed
     head = sent_counts[:HEAD]
     tail_mass = float(n - head.sum() + v - len(head) + 1)
@@ -328,7 +328,6 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         weights = train_round(training.where(part == turn), "text", vocabulary, weights, turn)
     model = context.broadcast(weights)
     whole_log, tail_log = math.log10(n + v + 1), math.log10(tail_mass)
-    base_logs = np.log10(sent_counts + 1.0)
     del words
     schema = T.StructType(
         [
@@ -374,7 +373,6 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             )
             key += batch.num_rows
 
-    del base_logs
     scored = materialize(rows.select("doc_id", "held_out", "text").mapInArrow(score, schema), "scores", BATCH_ROWS)
     rare = counts.where(F.col("c") < least).select("token", F.log10(F.col("c") + F.lit(1.0)).alias("log"))
     met = (
