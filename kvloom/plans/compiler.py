@@ -91,7 +91,7 @@ def terms_of(query: n.Query) -> set[tuple[str, str]]:
 
 class Compiler:
     def __init__(self, index: Index):
-        self.index = index
+        self.index, self.scope, self.used = index, None, set()
 
     # rewriting: what needs a look at the data becomes plain nodes
 
@@ -183,14 +183,36 @@ class Compiler:
     # compiling
 
     def compile(self, query: n.Query, scores: bool = True) -> Compiled:
-        plain = n.normalized(self.rewritten(query))
-        self.stats = self.statistics(terms_of(plain)) if scores else Statistics({}, {}, {})
-        return self._node(plain)
+        """The query over the columns of ``Index.tokenised``; ``used`` then names the text fields it reads."""
+        self.plain = n.normalized(self.rewritten(query))
+        self.stats = self.statistics(terms_of(self.plain)) if scores else Statistics({}, {}, {})
+        return self._node(self.plain)
+
+    def bound(self, tokens: Column) -> Compiled:
+        """The compiled query over a struct of the tokens of each text field it reads."""
+        self.scope = tokens
+        try:
+            return self._node(self.plain)
+        finally:
+            self.scope = None
+
+    def pushed(self) -> Column:
+        """What every match must meet and needs no text, for the scan."""
+        parts = self.plain.parts if isinstance(self.plain, n.BooleanQuery) else ()
+        found = []
+        for p in parts:
+            if p.occur in (n.Occur.MUST, n.Occur.FILTER):
+                inner = Compiler(self.index)
+                inner.plain, inner.stats = p.query, self.stats
+                made = inner._node(p.query)
+                found += [] if inner.used else [made.match]
+        return conjunction(found)
 
     def tokens(self, name: str) -> Column:
         if name not in self.index.texts:
             raise ValueError(f"{name} is no text field")
-        return F.col(self.index.tokens_name(name))
+        self.used.add(name)
+        return F.col(self.index.tokens_name(name)) if self.scope is None else self.scope[name]
 
     def bm25(self, name: str, tf: Column, idf: float) -> Column:
         average = self.stats.length.get(name) or 1.0

@@ -6,7 +6,7 @@ import threading
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.plans import nodes as n
@@ -74,10 +74,22 @@ class Hits:
 
 def matches(index: Index, query: n.Query, mode: ScoreMode = ScoreMode.COMPLETE) -> DataFrame:
     """All rows of the index that meet the query, with ``score`` if the mode has scores."""
-    made = Compiler(index).compile(query, mode.scored)
-    found = index.tokenised().where(made.match)
-    scored = found.withColumn("score", F.round(made.score.cast("double"), DIGITS)) if mode.scored else found
-    return scored.drop(*[index.tokens_name(f) for f in index.texts])
+    compiler = Compiler(index)
+    made = compiler.compile(query, mode.scored)
+    if not compiler.used:
+        found = index.df.where(made.match)
+        return found.withColumn("score", F.round(made.score.cast("double"), DIGITS)) if mode.scored else found
+    # one evaluation a row: a filter over a tokens column would be moved below it and tokenise again for each node
+    tokens = F.struct(*[index.texts[f](F.col(f)).alias(f) for f in sorted(compiler.used)])
+
+    def judged(row: Column) -> Column:
+        inside = compiler.bound(row)
+        score = F.round(inside.score.cast("double"), DIGITS) if mode.scored else F.lit(None).cast("double")
+        return F.when(inside.match, F.struct(score.alias("__score")))
+
+    kept = F.filter(F.transform(F.array(tokens), judged), lambda r: r.isNotNull())
+    found = index.df.where(compiler.pushed()).select("*", F.inline(kept))
+    return found.withColumn("score", F.col("__score")).drop("__score") if mode.scored else found.drop("__score")
 
 
 def search(index: Index, params: n.QueryParams, mode: ScoreMode | None = None) -> Hits:
