@@ -60,7 +60,7 @@ RATE = 0.1
 FIRST_SUM = 1e-6
 BATCH = 256
 CHUNK = 8_192
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 BLOCK = 1 << 14
 END = b""
 
