@@ -18,9 +18,8 @@ tokens, so that the model is a proper distribution with the base's convention.
 
 Training.  Weights start at the smoothed unigram distribution.  ``ROUNDS``
 times, tasks take the current weights, run stochastic gradient steps (Adagrad)
-on their share of the training texts, at a seeded one in ``THIN`` of the
-positions, and give back the change; changes are averaged by the number of
-positions and added.  Every training text takes part in one round.  Sums over
+on all positions of their share of the training texts, and give back the
+change; changes are averaged by the number of positions and added.  Every training text takes part in one round.  Sums over
 tasks are streamed block by block, in two levels.
 
 Scoring runs in numpy over chunks of positions.
@@ -55,10 +54,9 @@ HEAD = TAIL * WIDTH
 BUCKETS = 1 << 13
 FEATURES = 3
 ROUNDS = 3
-THIN = 8
 RATE = 0.1
 FIRST_SUM = 1e-6
-BATCH = 256
+BATCH = 1_024
 CHUNK = 8_192
 BATCH_ROWS = 1_000
 BLOCK = 1 << 14
@@ -174,7 +172,7 @@ class Steps:
 
     @staticmethod
     def _add(table: np.ndarray, sums: np.ndarray, f: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(f, kind="stable")
+        order = np.argsort(f.astype(np.uint16), kind="stable")  # a radix sort
         f = f[order]
         first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
         total, at = np.add.reduceat(g[order], first, axis=0), f[first]
@@ -270,24 +268,29 @@ def _summed(changes: DataFrame) -> DataFrame:
     return changes.mapInArrow(add, schema)
 
 
+def learn_texts(steps: Steps, texts: list[str | None], vocabulary: Vocabulary, turn: int) -> None:
+    """Steps at every position of ``texts``, in a seeded order."""
+    get, found = vocabulary.known().get, [tokens_of(x) for x in texts]
+    sizes = np.array([len(x) for x in found])
+    rank = np.array([get(w, -1) for x in found for w in x], np.int64)
+    before, skip = _histories(sizes, rank)
+    seed = int.from_bytes(hashlib.blake2b(b"".join(found[0])[:200] + bytes([turn]), digest_size=8).digest(), "little")
+    order = np.random.default_rng(seed).permutation(len(rank))
+    for start in range(0, len(order), BATCH):
+        at = order[start : start + BATCH]
+        steps.step(rank[at], before[at], skip[at])
+
+
 def train_round(docs: DataFrame, text: str, vocabulary, weights: Weights, turn: int) -> Weights:
     """The weights after one round over ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     schema = T.StructType([T.StructField("salt", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("change", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, steps = vocabulary.value.known().get, Steps(sent.value)
+        steps = Steps(sent.value)
         for batch in batches:
-            found = [tokens_of(x) for x in batch.column(0).to_pylist()]
-            sizes = np.array([len(x) for x in found])
-            rank = np.array([get(w, -1) for x in found for w in x], np.int64)
-            before, skip = _histories(sizes, rank)
-            seed = int.from_bytes(hashlib.blake2b(b"".join(found[0])[:200] + bytes([turn]), digest_size=8).digest(), "little")
-            chosen = np.flatnonzero(np.random.default_rng(seed).random(len(rank)) * THIN < 1)
-            chosen = np.random.default_rng(seed + 1).permutation(chosen)
-            for start in range(0, len(chosen), BATCH):
-                at = chosen[start : start + BATCH]
-                steps.step(rank[at], before[at], skip[at])
+            if batch.num_rows:
+                learn_texts(steps, batch.column(0).to_pylist(), vocabulary.value, turn)
         if steps.seen:
             change = (steps.w.flat() - sent.value.flat()) * np.float32(steps.seen)
             blocks = range(0, len(change), BLOCK)

@@ -156,6 +156,15 @@ def test_model_is_a_distribution():
     assert p.sum() == pytest.approx(1, abs=0.02)  # classes without a word keep e**-80
 
 
+def test_steps_are_taken_at_every_position():
+    texts = ["a b c a b " * 150, None, "c b"] * 3
+    tokens = [t for x in texts for t in language_model.tokens_of(x)]
+    vocabulary = language_model.Vocabulary([b"a", b"b", b"c", b""], np.array([300, 300, 150, 9]))
+    steps = language_model.Steps(language_model.Weights.start(vocabulary.counts, 1.0))
+    language_model.learn_texts(steps, texts, vocabulary, 0)
+    assert steps.seen == len(tokens)
+
+
 def test_no_training_text(spark, documents):
     held = next(i for i in range(100) if not trained(i))
     got = language_model.score_texts(documents([(held, "a b")])).collect()
