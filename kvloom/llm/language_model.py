@@ -12,7 +12,8 @@ Model.  The ``CLASSES - 1`` * ``WIDTH`` most frequent tokens are dealt to
 classes by frequency rank; all others are the tail, the last class.
 P(token | h) = P(class | h) P(token | class, h).  Both factors are softmaxes
 over weights summed from hashed features of the history h: the word before, the
-word before that (a skip), and both (an n-gram).  Within the tail a token has
+word before that (a skip), and both (an n-gram).  Features are hashes of the
+words themselves, so every word is its own history, sent or not.  Within the tail a token has
 (c + 1) / (tail tokens + tail types + 1), which leaves one unit for unknown
 tokens, so that the model is a proper distribution with the base's convention.
 
@@ -38,6 +39,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -61,6 +63,7 @@ CHUNK = 8_192
 BATCH_ROWS = 1_000
 BLOCK = 1 << 14
 END = b""
+START = np.uint64(0)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -70,6 +73,11 @@ def tokens_of(text: str | None) -> list[bytes]:
     return found
 
 
+def hashes_of(tokens: list[bytes]) -> np.ndarray:
+    """64-bit hashes of tokens, the same in every process."""
+    return pd.util.hash_array(np.array(tokens, dtype=object), categorize=False) if tokens else np.zeros(0, np.uint64)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -81,8 +89,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def features(before: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """(n, FEATURES) hashed feature numbers of the histories; inputs are token ranks (-1: not sent, -2: start)."""
-    a, b = (before + 2).astype(np.uint64), (skip + 2).astype(np.uint64)
+    """(n, FEATURES) hashed feature numbers of the histories; inputs are hashes of tokens, or START."""
+    a, b = before.astype(np.uint64), skip.astype(np.uint64)
     with np.errstate(over="ignore"):
         keys = [a * np.uint64(4) + np.uint64(1), b * np.uint64(4) + np.uint64(2), (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(4) + np.uint64(3)]
         return np.stack([(_mix(k) % np.uint64(BUCKETS)).astype(np.int64) for k in keys], axis=1)
@@ -207,21 +215,49 @@ class Vocabulary:
     words: list[bytes]
     counts: np.ndarray
     ranks: dict[bytes, int] = field(default_factory=dict)
+    hashes: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "counts": self.counts, "ranks": {}}
+        return {"words": self.words, "counts": self.counts, "ranks": {}, "hashes": None}
 
     def known(self) -> dict[bytes, int]:
         if not self.ranks and self.words:
             self.ranks = {w: i for i, w in enumerate(self.words)}
         return self.ranks
 
+    def read(self, texts: list[str | None]) -> Positions:
+        """The positions of ``texts``."""
+        get, found = self.known().get, [tokens_of(x) for x in texts]
+        if self.hashes is None:
+            self.hashes = hashes_of(self.words)
+        flat = [t for x in found for t in x]
+        sizes = np.array([len(x) for x in found])
+        rank = np.array([get(t, -1) for t in flat], np.int64)
+        other = np.flatnonzero(rank < 0)
+        rest = [flat[i] for i in other.tolist()]
+        name = self.hashes[rank] if self.words else np.zeros(len(rank), np.uint64)
+        name[other] = hashes_of(rest)
+        return Positions(sizes, rank, *_histories(sizes, name), other, rest)
+
+
+@dataclass
+class Positions:
+    """Tokens by rank (-1: not sent) with the hashes of the two tokens before; ``rest`` are the tokens not sent, at ``other``."""
+
+    sizes: np.ndarray
+    rank: np.ndarray
+    before: np.ndarray
+    skip: np.ndarray
+    other: np.ndarray
+    rest: list[bytes]
+
 
-def _histories(sizes: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ranks one and two positions back, -2 before the start of a text."""
-    place = np.arange(len(rank)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    before, skip = np.r_[-2, rank[:-1]][: len(rank)], np.r_[-2, -2, rank[:-2]][: len(rank)]
-    return np.where(place >= 1, before, -2), np.where(place >= 2, skip, -2)
+def _histories(sizes: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes one and two positions back, START before the start of a text."""
+    place = np.arange(len(name)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    start = np.full(2, START)
+    before, skip = np.r_[start[:1], name[:-1]][: len(name)], np.r_[start, name[:-2]][: len(name)]
+    return np.where(place >= 1, before, START), np.where(place >= 2, skip, START)
 
 
 def count_tokens(docs: DataFrame, text: str) -> DataFrame:
@@ -270,15 +306,12 @@ def _summed(changes: DataFrame) -> DataFrame:
 
 def learn_texts(steps: Steps, texts: list[str | None], vocabulary: Vocabulary, turn: int) -> None:
     """Steps at every position of ``texts``, in a seeded order."""
-    get, found = vocabulary.known().get, [tokens_of(x) for x in texts]
-    sizes = np.array([len(x) for x in found])
-    rank = np.array([get(w, -1) for x in found for w in x], np.int64)
-    before, skip = _histories(sizes, rank)
-    seed = int.from_bytes(hashlib.blake2b(b"".join(found[0])[:200] + bytes([turn]), digest_size=8).digest(), "little")
-    order = np.random.default_rng(seed).permutation(len(rank))
+    p = vocabulary.read(texts)
+    seed = int.from_bytes(hashlib.blake2b(b"".join(tokens_of(texts[0]))[:200] + bytes([turn]), digest_size=8).digest(), "little")
+    order = np.random.default_rng(seed).permutation(len(p.rank))
     for start in range(0, len(order), BATCH):
         at = order[start : start + BATCH]
-        steps.step(rank[at], before[at], skip[at])
+        steps.step(p.rank[at], p.before[at], p.skip[at])
 
 
 def train_round(docs: DataFrame, text: str, vocabulary, weights: Weights, turn: int) -> Weights:
@@ -346,21 +379,19 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, w = vocabulary.value.known().get, model.value
+        w = model.value
         logs, key = np.r_[np.log10(vocabulary.value.counts + 1.0), 0.0], TaskContext.get().partitionId() << 33
         for batch in batches:
-            found = [tokens_of(x) for x in batch.column(2).to_pylist()]
-            sizes = np.array([len(x) for x in found])
-            rank = np.array([get(t, -1) for x in found for t in x], np.int64)
-            before, skip = _histories(sizes, rank)
+            if not batch.num_rows:
+                continue
+            at = vocabulary.value.read(batch.column(2).to_pylist())
+            sizes, rank = at.sizes, at.rank
             sent = rank >= 0
             base = logs[rank]
             tail = ~sent | (rank >= HEAD)
-            p = token_log_probabilities(w, rank, before, skip) / math.log(10) + np.where(tail, base - tail_log, 0.0)
+            p = token_log_probabilities(w, rank, at.before, at.skip) / math.log(10) + np.where(tail, base - tail_log, 0.0)
             starts = np.cumsum(sizes) - sizes
-            other = np.flatnonzero(~sent)
-            flat = [t for x in found for t in x]
-            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(other, np.r_[starts, len(rank)]), pa.int32()), pa.array([flat[i] for i in other.tolist()], pa.binary()))
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(at.other, np.r_[starts, len(rank)]), pa.int32()), pa.array(at.rest, pa.binary()))
             yield pa.record_batch(
                 [
                     pa.array(key + np.arange(batch.num_rows)),

@@ -165,6 +165,15 @@ def test_steps_are_taken_at_every_position():
     assert steps.seen == len(tokens)
 
 
+def test_words_that_are_not_sent_keep_their_identity_as_history():
+    texts = ["rare0 a", "rare1 b", None]
+    p = language_model.Vocabulary([b"a", b"b", b""], np.array([2, 2, 3])).read(texts)
+    assert p.rank.tolist() == [-1, 0, 2, -1, 1, 2, 2] and p.rest == [b"rare0", b"rare1"]
+    whole = language_model.Vocabulary([b"a", b"b", b"", b"rare0", b"rare1"], np.array([2, 2, 3, 1, 1])).read(texts)
+    f, g = language_model.features(p.before, p.skip), language_model.features(whole.before, whole.skip)
+    assert (f == g).all() and (f[1] != f[4]).any() and (f[0] == f[6]).all()
+
+
 def test_no_training_text(spark, documents):
     held = next(i for i in range(100) if not trained(i))
     got = language_model.score_texts(documents([(held, "a b")])).collect()
