@@ -13,9 +13,13 @@ classes by frequency rank; all others are the tail, the last class.
 P(token | h) = P(class | h) P(token | class, h).  Both factors are softmaxes
 over weights summed from hashed features of the history h: the word before, the
 word before that (a skip), and both (an n-gram).  Features are hashes of the
-words themselves, so every word is its own history, sent or not.  Within the tail a token has
-(c + 1) / (tail tokens + tail types + 1), which leaves one unit for unknown
-tokens, so that the model is a proper distribution with the base's convention.
+words themselves, so every word is its own history, sent or not.  The tail is
+a tree of ``LEVELS`` further softmaxes over ``WIDTH`` branches, with the same
+features: a token's path is a hash of the token, so that every token of the
+vocabulary has one, sent or not.  Within a leaf a token has (c + 1) / (tokens +
+types of the leaf).  The first branch of the root is left to unknown tokens and
+has one unit, so that the model is a proper distribution with the base's
+convention.
 
 Training.  Weights start at the smoothed unigram distribution.  ``ROUNDS``
 times, tasks take the current weights, run stochastic gradient steps (Adagrad)
@@ -34,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -54,6 +59,10 @@ WIDTH = 32
 TAIL = CLASSES - 1
 HEAD = TAIL * WIDTH
 BUCKETS = 1 << 13
+TAIL_BUCKETS = 1 << 14
+LEVELS = 4
+LEAVES = WIDTH**LEVELS
+FIRST_LEAF = LEAVES // WIDTH
 FEATURES = 3
 ROUNDS = 3
 RATE = 0.1
@@ -96,20 +105,52 @@ def features(before: np.ndarray, skip: np.ndarray) -> np.ndarray:
         return np.stack([(_mix(k) % np.uint64(BUCKETS)).astype(np.int64) for k in keys], axis=1)
 
 
-def inner_features(f: np.ndarray, class_: np.ndarray) -> np.ndarray:
-    """The hashed numbers of features joined with a class."""
+def inner_features(f: np.ndarray, class_: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """The hashed numbers of features joined with a class, or a node of the tail's tree."""
     with np.errstate(over="ignore"):
-        return (_mix(f.astype(np.uint64) * np.uint64(CLASSES) + class_.astype(np.uint64)[:, None] + np.uint64(1 << 40)) % np.uint64(BUCKETS)).astype(np.int64)
+        return (_mix(class_.astype(np.uint64)[:, None] * np.uint64(BUCKETS) + f.astype(np.uint64) + np.uint64(1 << 40)) % np.uint64(buckets)).astype(np.int64)
+
+
+def leaves_of(tokens: list[bytes]) -> np.ndarray:
+    """The leaves of tokens; those under FIRST_LEAF are the branch of unknown tokens."""
+    return np.array([zlib.crc32(t) % (LEAVES - FIRST_LEAF) + FIRST_LEAF for t in tokens], np.int64)
+
+
+@dataclass
+class Tail:
+    """Counts + 1 summed over the tail's tokens, by nodes of each level below the root."""
+
+    mass: np.ndarray
+    biases: list[np.ndarray]
+
+    @classmethod
+    def of(cls, mass: np.ndarray) -> Tail:
+        """From the (LEAVES,) sums of the leaves."""
+        mass = mass.astype(np.float64)
+        mass[:FIRST_LEAF] = 0
+        levels = [mass.reshape(WIDTH ** (k + 1), -1).sum(axis=1) for k in range(LEVELS)]
+        levels[0][0] = 1.0
+        return cls(mass, [np.log(np.maximum(x, 1e-35)).astype(np.float32).reshape(-1, WIDTH) for x in levels])
+
+    @staticmethod
+    def nodes(leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By level: the node of the path in its level, its number among all nodes, the branch taken."""
+        first = 0
+        for k in range(LEVELS):
+            inside = leaf // WIDTH ** (LEVELS - k)
+            yield k, inside, first + inside, leaf // WIDTH ** (LEVELS - k - 1) % WIDTH
+            first += WIDTH**k
 
 
 @dataclass
 class Weights:
-    """Weights of both softmaxes: (buckets, classes), (buckets, width), and their biases."""
+    """Weights of the softmaxes: (buckets, classes), (buckets, width), their biases, and (tail buckets, width) of the tail's tree."""
 
     outer: np.ndarray
     inner: np.ndarray
     outer_bias: np.ndarray
     inner_bias: np.ndarray
+    tail: np.ndarray
 
     @classmethod
     def start(cls, head_counts: np.ndarray, tail_mass: float) -> Weights:
@@ -121,15 +162,16 @@ class Weights:
             return cls(
                 np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((BUCKETS, WIDTH), np.float32),
                 np.maximum(np.log(classes / classes.sum()), -80).astype(np.float32), np.maximum(np.log(mass / np.maximum(classes[:, None], 1e-300)), -80).astype(np.float32),
+                np.zeros((TAIL_BUCKETS, WIDTH), np.float32),
             )
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.outer.ravel(), self.inner.ravel(), self.outer_bias.ravel(), self.inner_bias.ravel()])
+        return np.concatenate([self.outer.ravel(), self.inner.ravel(), self.outer_bias.ravel(), self.inner_bias.ravel(), self.tail.ravel()])
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Weights:
-        a, b, c = BUCKETS * CLASSES, BUCKETS * WIDTH, CLASSES
-        return cls(flat[:a].reshape(BUCKETS, CLASSES), flat[a : a + b].reshape(BUCKETS, WIDTH), flat[a + b : a + b + c], flat[a + b + c :].reshape(CLASSES, WIDTH))
+        outer, inner, bias, inside, tail = np.split(flat, np.cumsum([BUCKETS * CLASSES, BUCKETS * WIDTH, CLASSES, CLASSES * WIDTH]))
+        return cls(outer.reshape(BUCKETS, CLASSES), inner.reshape(BUCKETS, WIDTH), bias, inside.reshape(CLASSES, WIDTH), tail.reshape(TAIL_BUCKETS, WIDTH))
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -151,6 +193,27 @@ def inner_logits(w: Weights, f: np.ndarray, class_: np.ndarray) -> np.ndarray:
     return z
 
 
+def tail_logits(w: Weights, tail: Tail, level: int, inside: np.ndarray, f: np.ndarray) -> np.ndarray:
+    z = tail.biases[level][inside]
+    for k in range(FEATURES):
+        z += w.tail[f[:, k]]
+    return z
+
+
+def tail_log_probabilities(w: Weights, tail: Tail, leaf: np.ndarray, before: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural logs of P(leaf | tail) and of P(unknown token | tail)."""
+    path, unknown = np.zeros(len(leaf)), np.zeros(len(leaf))
+    for start in range(0, len(leaf), CHUNK):
+        part = slice(start, start + CHUNK)
+        f = features(before[part], skip[part])
+        for level, inside, node, branch in Tail.nodes(leaf[part]):
+            z = _log_softmax(tail_logits(w, tail, level, inside, inner_features(f, node, TAIL_BUCKETS)))
+            path[part] += z[np.arange(len(z)), branch]
+            if not level:
+                unknown[part] = z[:, 0]
+    return path, unknown
+
+
 def token_log_probabilities(w: Weights, rank: np.ndarray, before: np.ndarray, skip: np.ndarray) -> np.ndarray:
     """Natural log of P(class) P(token | class) for head tokens, and of P(tail) for all others."""
     out = np.empty(len(rank))
@@ -173,8 +236,9 @@ def token_log_probabilities(w: Weights, rank: np.ndarray, before: np.ndarray, sk
 class Steps:
     """Adagrad steps on a copy of the weights."""
 
-    def __init__(self, w: Weights):
-        self.w = Weights.of(w.flat().copy())
+    def __init__(self, w: Weights, tail: Tail | None = None):
+        self.w, self.tail = Weights.of(w.flat().copy()), tail
+        self.tail_sum = np.full(TAIL_BUCKETS, FIRST_SUM, np.float32)
         self.outer_sum, self.inner_sum = np.full(BUCKETS, FIRST_SUM, np.float32), np.full(BUCKETS, FIRST_SUM, np.float32)
         self.seen = 0
 
@@ -187,7 +251,7 @@ class Steps:
         sums[at] += np.square(total).mean(axis=1)
         table[at] -= (RATE / np.sqrt(sums[at]))[:, None] * total
 
-    def step(self, rank: np.ndarray, before: np.ndarray, skip: np.ndarray) -> None:
+    def step(self, rank: np.ndarray, before: np.ndarray, skip: np.ndarray, leaf: np.ndarray | None = None) -> None:
         w, f, n = self.w, features(before, skip), len(rank)
         self.seen += n
         head = (rank >= 0) & (rank < HEAD)
@@ -206,6 +270,16 @@ class Steps:
             g /= n
             for k in range(FEATURES):
                 self._add(w.inner, self.inner_sum, i[:, k], g)
+        at = np.flatnonzero(~head)
+        if self.tail is None or not len(at):
+            return
+        for level, inside, node, branch in Tail.nodes(leaf[at]):
+            i = inner_features(f[at], node, TAIL_BUCKETS)
+            g = np.exp(_log_softmax(tail_logits(w, self.tail, level, inside, i)))
+            g[np.arange(len(at)), branch] -= 1
+            g /= n
+            for k in range(FEATURES):
+                self._add(w.tail, self.tail_sum, i[:, k], g)
 
 
 @dataclass
@@ -216,9 +290,10 @@ class Vocabulary:
     counts: np.ndarray
     ranks: dict[bytes, int] = field(default_factory=dict)
     hashes: np.ndarray | None = None
+    leaves: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "counts": self.counts, "ranks": {}, "hashes": None}
+        return {"words": self.words, "counts": self.counts, "ranks": {}, "hashes": None, "leaves": None}
 
     def known(self) -> dict[bytes, int]:
         if not self.ranks and self.words:
@@ -229,7 +304,7 @@ class Vocabulary:
         """The positions of ``texts``."""
         get, found = self.known().get, [tokens_of(x) for x in texts]
         if self.hashes is None:
-            self.hashes = hashes_of(self.words)
+            self.hashes, self.leaves = hashes_of(self.words), leaves_of(self.words)
         flat = [t for x in found for t in x]
         sizes = np.array([len(x) for x in found])
         rank = np.array([get(t, -1) for t in flat], np.int64)
@@ -237,17 +312,20 @@ class Vocabulary:
         rest = [flat[i] for i in other.tolist()]
         name = self.hashes[rank] if self.words else np.zeros(len(rank), np.uint64)
         name[other] = hashes_of(rest)
-        return Positions(sizes, rank, *_histories(sizes, name), other, rest)
+        leaf = self.leaves[rank] if self.words else np.zeros(len(rank), np.int64)
+        leaf[other] = leaves_of(rest)
+        return Positions(sizes, rank, *_histories(sizes, name), leaf, other, rest)
 
 
 @dataclass
 class Positions:
-    """Tokens by rank (-1: not sent) with the hashes of the two tokens before; ``rest`` are the tokens not sent, at ``other``."""
+    """Tokens by rank (-1: not sent) with the hashes of the two tokens before and their leaves; ``rest`` are the tokens not sent, at ``other``."""
 
     sizes: np.ndarray
     rank: np.ndarray
     before: np.ndarray
     skip: np.ndarray
+    leaf: np.ndarray
     other: np.ndarray
     rest: list[bytes]
 
@@ -311,16 +389,16 @@ def learn_texts(steps: Steps, texts: list[str | None], vocabulary: Vocabulary, t
     order = np.random.default_rng(seed).permutation(len(p.rank))
     for start in range(0, len(order), BATCH):
         at = order[start : start + BATCH]
-        steps.step(p.rank[at], p.before[at], p.skip[at])
+        steps.step(p.rank[at], p.before[at], p.skip[at], p.leaf[at])
 
 
-def train_round(docs: DataFrame, text: str, vocabulary, weights: Weights, turn: int) -> Weights:
+def train_round(docs: DataFrame, text: str, vocabulary, tail, weights: Weights, turn: int) -> Weights:
     """The weights after one round over ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     schema = T.StructType([T.StructField("salt", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("change", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = Steps(sent.value)
+        steps = Steps(sent.value, tail.value)
         for batch in batches:
             if batch.num_rows:
                 learn_texts(steps, batch.column(0).to_pylist(), vocabulary.value, turn)
@@ -343,6 +421,16 @@ def train_round(docs: DataFrame, text: str, vocabulary, weights: Weights, turn:
     return Weights.of(flat)
 
 
+def tail_of(counts: DataFrame, head: list[bytes], head_counts: np.ndarray) -> Tail:
+    """The tail's tree, from the counts (token, c) of the whole vocabulary."""
+    leaf = (F.crc32("token") % (LEAVES - FIRST_LEAF) + FIRST_LEAF).cast("int")
+    summed = counts.groupBy(leaf.alias("leaf")).agg(F.sum(F.col("c") + 1).alias("mass")).toArrow()  # LEAVES rows at most
+    mass = np.zeros(LEAVES, np.int64)
+    mass[summed["leaf"].to_numpy()] = summed["mass"].to_numpy()
+    np.subtract.at(mass, leaves_of(head), head_counts + 1)
+    return Tail.of(mass)
+
+
 def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
@@ -358,12 +446,13 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     tail_mass = float(n - head.sum() + v - len(head) + 1)
     context = docs.sparkSession.sparkContext
     vocabulary = context.broadcast(Vocabulary(words, sent_counts))
+    tree = context.broadcast(tail_of(counts, words[:HEAD], head))
     weights = Weights.start(head, tail_mass)
     part = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS))
     for turn in range(ROUNDS if n else 0):
-        weights = train_round(training.where(part == turn), "text", vocabulary, weights, turn)
+        weights = train_round(training.where(part == turn), "text", vocabulary, tree, weights, turn)
     model = context.broadcast(weights)
-    whole_log, tail_log = math.log10(n + v + 1), math.log10(tail_mass)
+    whole_log = math.log10(n + v + 1)
     del words
     schema = T.StructType(
         [
@@ -375,11 +464,12 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             T.StructField("base", T.DoubleType()),
             T.StructField("model", T.DoubleType()),
             T.StructField("rest", T.ArrayType(T.BinaryType())),
+            T.StructField("gains", T.ArrayType(T.DoubleType())),
         ]
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = model.value
+        w, tail = model.value, tree.value
         logs, key = np.r_[np.log10(vocabulary.value.counts + 1.0), 0.0], TaskContext.get().partitionId() << 33
         for batch in batches:
             if not batch.num_rows:
@@ -388,10 +478,15 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             sizes, rank = at.sizes, at.rank
             sent = rank >= 0
             base = logs[rank]
-            tail = ~sent | (rank >= HEAD)
-            p = token_log_probabilities(w, rank, at.before, at.skip) / math.log(10) + np.where(tail, base - tail_log, 0.0)
+            p = token_log_probabilities(w, rank, at.before, at.skip) / math.log(10)
+            outside = np.flatnonzero(~sent | (rank >= HEAD))
+            path, unknown = (x / math.log(10) for x in tail_log_probabilities(w, tail, at.leaf[outside], at.before[outside], at.skip[outside]))
+            path += base[outside] - np.log10(np.maximum(tail.mass[at.leaf[outside]], 1.0))
+            # a token not sent counts as unknown here; the join adds what it gains if it is not
+            p[outside] += np.where(sent[outside], path, unknown)
+            gains = (path - unknown)[~sent[outside]]
             starts = np.cumsum(sizes) - sizes
-            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(at.other, np.r_[starts, len(rank)]), pa.int32()), pa.array(at.rest, pa.binary()))
+            ends = pa.array(np.searchsorted(at.other, np.r_[starts, len(rank)]), pa.int32())
             yield pa.record_batch(
                 [
                     pa.array(key + np.arange(batch.num_rows)),
@@ -401,7 +496,8 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                     pa.array(np.add.reduceat(sent.astype(np.int64), starts)),
                     pa.array(np.add.reduceat(base, starts) - sizes * whole_log),
                     pa.array(np.add.reduceat(p, starts)),
-                    rest,
+                    pa.ListArray.from_arrays(ends, pa.array(at.rest, pa.binary())),
+                    pa.ListArray.from_arrays(ends, pa.array(gains)),
                 ],
                 names=[f.name for f in schema],
             )
@@ -410,18 +506,19 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     scored = materialize(rows.select("doc_id", "held_out", "text").mapInArrow(score, schema), "scores", BATCH_ROWS)
     rare = counts.where(F.col("c") < least).select("token", F.log10(F.col("c") + F.lit(1.0)).alias("log"))
     met = (
-        scored.select("key", F.explode("rest").alias("token"))
+        scored.select("key", F.explode(F.arrays_zip("rest", "gains")).alias("one"))
+        .select("key", F.col("one.rest").alias("token"), F.col("one.gains").alias("gain"))
         .join(rare, "token")
         .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("more_known"), F.sum("log").alias("more"))
+        .agg(F.count(F.lit(1)).alias("more_known"), F.sum("log").alias("more"), F.sum(F.col("log") + F.col("gain")).alias("gained"))
     )
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rest").join(met, "key", "left").select(
+    more, gained = F.coalesce("more", F.lit(0.0)), F.coalesce("gained", F.lit(0.0))
+    return scored.drop("rest", "gains").join(met, "key", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (F.col("model") + gained).alias("score"),
     )

@@ -174,6 +174,35 @@ def test_words_that_are_not_sent_keep_their_identity_as_history():
     assert (f == g).all() and (f[1] != f[4]).any() and (f[0] == f[6]).all()
 
 
+def test_tail_is_a_distribution():
+    r = np.random.default_rng(1)
+    mass = np.zeros(language_model.LEAVES)
+    leaves = language_model.leaves_of([b"t%d" % i for i in range(3000)])
+    np.add.at(mass, leaves, 3.0)
+    tail, w = language_model.Tail.of(mass), language_model.Weights.start(np.array([5]), mass.sum() + 1)
+    names = np.unique(leaves)
+    at = lambda x: np.full(len(names), x, np.uint64)
+    path, unknown = language_model.tail_log_probabilities(w, tail, names, at(3), at(4))
+    assert np.exp(path) == pytest.approx(mass[names] / (mass.sum() + 1), rel=1e-4) and np.exp(unknown[0]) == pytest.approx(1 / (mass.sum() + 1), rel=1e-4)
+    w.tail += r.normal(0, 0.3, w.tail.shape).astype(np.float32)
+    path, unknown = language_model.tail_log_probabilities(w, tail, names, at(3), at(4))
+    assert np.exp(path).sum() + np.exp(unknown[0]) == pytest.approx(1, abs=1e-3)
+
+
+@pytest.mark.parametrize("sent", [1 << 19, 2500])
+def test_features_tell_words_of_the_tail_apart(spark, documents, monkeypatch, sent):
+    monkeypatch.setattr(language_model, "SENT", sent)
+    # more words than HEAD before the pairs, which are of equal counts: only their histories tell them apart
+    head = [(1000 + i, " ".join(f"h{j}" for j in range(i % 5, 2500, 5)) + " " + " ".join(f"h{j}" for j in range(i % 5, 2500, 5))) for i in range(300)]
+    pairs = [(i, " ".join(f"x{j} y{j}" for j in random.Random(i).sample(range(40), 40))) for i in range(50)]
+    seen = next(i for i in range(5000, 6000) if not trained(i))
+    unseen = next(i for i in range(seen + 1, 6000) if not trained(i))
+    rows = [*head, *pairs, (seen, " ".join(f"x{j} y{j}" for j in range(40))), (unseen, " ".join(f"x{j} y{(j + 20) % 40}" for j in range(40)))]
+    got = {r.doc_id: r for r in language_model.score_texts(documents(rows)).collect()}
+    assert got[seen].base_score == pytest.approx(got[unseen].base_score)
+    assert got[seen].score > got[unseen].score + 4
+
+
 def test_no_training_text(spark, documents):
     held = next(i for i in range(100) if not trained(i))
     got = language_model.score_texts(documents([(held, "a b")])).collect()
