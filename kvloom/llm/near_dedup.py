@@ -233,14 +233,15 @@ def _undecided(placed: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     large = (
         counted.where(F.col("rows") > SMALL)
-        .join(nodes.select("node", "slots"), "node")
+        .join(nodes.select("node", "slots", "bands"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "place", "block", "node", "component", "slots")
+        .select("band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "place", "block", "node", "component", "slots", "bands")
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         slots = np.frombuffer(b"".join(rows["slots"]), np.uint8).reshape(len(rows), POSITIONS)
+        bands = np.stack(rows["bands"].to_list())
         node, component, block = (rows[c].to_numpy() for c in ("node", "component", "block"))
         place = rows["place"].iloc[0]
         first = np.flatnonzero(block == rows["low"].iloc[0])
@@ -251,8 +252,8 @@ def _undecided(placed: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
             alike = (slots[i][:, None, :] == slots[second][None, :, :]).sum(axis=2) >= least
             x, y = np.nonzero(alike & (component[i][:, None] != component[second][None, :]))
             x, y = i[x], second[y]
-            # a pair comes out of the first band that it shares only
-            first_band = (slots[x] == slots[y]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            # a pair comes out of the first band that it shares only, by the bands' own hashes: slots are a byte each and agree by chance
+            first_band = (bands[x] == bands[y]).argmax(axis=1)
             x, y = x[first_band == place], y[first_band == place]
             pairs.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
         found = np.unique(np.concatenate(pairs), axis=0)
@@ -277,7 +278,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     rows = nodes.select("node", F.posexplode("bands").alias("place", "band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where(F.col("pivot") < F.col("last")).select("band", "pivot")
     members = materialize(rows.join(shared, "band"), "members")
-    wanted = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "body", "slots"), "wanted")
+    wanted = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "body", "bands", "slots"), "wanted")
     lists = materialize(shingle_lists(docs, wanted, wanted.count(), text, doc_id), "lists", BATCH_ROWS)
     pairs = members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     measured = materialize(verified(pairs, lists), "measured", BATCH_ROWS)

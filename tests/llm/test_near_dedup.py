@@ -101,6 +101,30 @@ def test_filter_keeps_one_of_each_group_and_all_columns(spark, documents):
     assert kept.where("doc_id is null").count() == 2
 
 
+def undecided(spark, slots, bands):
+    """The pairs of two nodes with the given slots and bands that the blockwise comparison lets out."""
+    nodes = spark.createDataFrame([(i + 1, bytearray(s.astype(np.uint8).tobytes()), b) for i, (s, b) in enumerate(zip(slots, bands, strict=True))], "node long, slots binary, bands array<long>")
+    members = [(b[p], p, i + 1, i + 1) for i, b in enumerate(bands) for p in range(near_dedup.BANDS) if bands[0][p] == bands[1][p]]
+    placed = spark.createDataFrame(members, "band long, place int, node long, component long")
+    return [(r.a, r.b) for r in near_dedup._undecided(placed, nodes, 0.8).collect()]
+
+
+def test_slots_that_agree_by_chance_hide_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    a = np.arange(near_dedup.POSITIONS)
+    b = a.copy()
+    b[near_dedup.POSITIONS - 30 :] += 1  # bands 0 to 25 agree in all bytes, but the hashes only in band 5
+    bands = [list(range(1, 31)), [6 if p == 5 else 100 + p for p in range(30)]]
+    assert undecided(spark, [a, b], bands) == [(1, 2)]
+
+
+def test_large_bands_equal_brute_force(spark, documents, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    monkeypatch.setattr(near_dedup, "PASSES", 1)
+    rows = planted()
+    assert {r.doc_id: r.group_id for r in near_dedup.near_groups(documents(rows)).collect()} == brute_groups(rows)
+
+
 def test_empty_table(spark, documents):
     assert near_dedup.near_groups(documents([])).count() == 0
     assert near_dedup.drop_near_copies(documents([])).count() == 0
