@@ -118,6 +118,15 @@ def test_slots_that_agree_by_chance_hide_no_pair(spark, monkeypatch):
     assert undecided(spark, [a, b], bands) == [(1, 2)]
 
 
+def test_only_pairs_beyond_doubt_are_ruled_out(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    a = np.arange(near_dedup.POSITIONS)
+    bands = [list(range(1, 31)), [1] + [100 + p for p in range(1, 30)]]
+    for agree, out in ((150, [(1, 2)]), (135, [(1, 2)]), (120, [])):
+        b = np.where(a < agree, a, a + 1)
+        assert undecided(spark, [a, b], bands) == out
+
+
 def test_large_bands_equal_brute_force(spark, documents, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 1)
     monkeypatch.setattr(near_dedup, "PASSES", 1)
