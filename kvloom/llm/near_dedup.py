@@ -265,10 +265,11 @@ def _undecided(placed: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILAR) -> DataFrame:
-    """One row per input row: doc_id, body, group_id (smallest doc_id of its group), group_size, kept, n_links.
+    """One row per input row: doc_id, body, group_id (smallest doc_id of its group), group_size, kept, n_verified_links.
 
-    ``body`` is xxhash64(text); n_links counts the different texts that are
-    known to be similar to this one: those with a verified link.
+    ``body`` is xxhash64(text); n_verified_links counts the different texts whose
+    similarity to this one was verified.  Texts that are joined already are not
+    compared, so it is a lower bound of the similar texts.
     """
     sketched = materialize(sketch_documents(docs, text, doc_id), "sketches", BATCH_ROWS)
     worded = sketched.where(F.col("node").isNotNull())
@@ -297,7 +298,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
         links = links.unionByName(more)
         label = components(links)
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified_links"))
     known = materialize(label.join(degree, "node"), "known")
     found = worded.select("doc_id", "body", "node").join(broadcast_if(known, known.count(), MOST_SENT), "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "body")).alias("head"), F.count(F.lit(1)).alias("group_size"))
@@ -312,11 +313,11 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
             F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("group_id"),
             F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
             (F.col("alone") | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("body") == F.col("head.body")))).alias("kept"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            F.coalesce("n_verified_links", F.lit(0)).cast("long").alias("n_verified_links"),
         )
     )
     blank = sketched.where(F.col("node").isNull()).select(
-        "doc_id", "body", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_links")
+        "doc_id", "body", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_verified_links")
     )
     return grouped.unionByName(blank)
 

@@ -134,6 +134,17 @@ def test_large_bands_equal_brute_force(spark, documents, monkeypatch):
     assert {r.doc_id: r.group_id for r in near_dedup.near_groups(documents(rows)).collect()} == brute_groups(rows)
 
 
+def test_verified_links_are_a_lower_bound(spark, documents):
+    rows = planted()
+    sets = {i: frozenset(shingles(t).items()) for i, t in rows}
+    different = {s: dict(s) for s in set(sets.values())}
+    got = near_dedup.near_groups(documents(rows)).collect()
+    assert "n_links" not in got[0].asDict()
+    for r in got[::9]:
+        own = sets[r.doc_id]
+        assert r.n_verified_links <= sum(s != own and probability_jaccard(dict(own), x) >= 0.8 for s, x in different.items())
+
+
 def test_empty_table(spark, documents):
     assert near_dedup.near_groups(documents([])).count() == 0
     assert near_dedup.drop_near_copies(documents([])).count() == 0
