@@ -144,7 +144,7 @@ class Compiler:
         boosts = dict((b.split("^") + ["1"])[:2] for b in query.qf)
         chosen = []
         for name in query.fieldList:
-            tokens = F.slice(index.tokens_name(name), 1, query.maxNtp if query.maxNtp is not None else 5000)
+            tokens = F.col(index.tokens_name(name)) if query.maxNtp is None else F.slice(index.tokens_name(name), 1, query.maxNtp)
             words = seed.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
             words = words.where((F.col("tf") >= (2 if query.minTf is None else query.minTf)) & F.length("term").between(query.minWl or 0, query.maxWl or 2**31 - 1))
             stats = self.statistics({(name, r.term) for r in words.select("term").collect()})

@@ -123,6 +123,13 @@ def test_more_like_this(index):
     assert ids(index, n.MoreLikeThisQuery("99", ("body",))) == []
 
 
+def test_more_like_this_reads_the_whole_seed(spark):
+    df = spark.createDataFrame([(1, "early " * 5000 + "late late"), (2, "late"), (3, "early"), (4, "other")], "id int, body string")
+    q = n.MoreLikeThisQuery("1", ("body",), minTf=2, minDf=1)
+    assert ids(text_index(df, "id", "body"), q) == [2, 3]
+    assert ids(text_index(df, "id", "body"), n.MoreLikeThisQuery("1", ("body",), minTf=2, minDf=1, maxNtp=5000)) == [3]
+
+
 def test_pages_orders_and_counts(index):
     every = n.MatchAllDocsQuery()
     orders = [n.NoSort(), n.DocSort(), n.NumericSort("num"), n.NumericSort("num", True), n.RandomSort("s"), n.ScoreSort()]
