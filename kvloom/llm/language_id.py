@@ -156,7 +156,9 @@ def _parts(texts: list[str]):
 
 def learn(training: DataFrame, most_texts: int = MOST_TEXTS) -> Profiles:
     """Profiles from the rows (doc_id, text, lang) of ``training``."""
-    counted = training.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).orderBy("lang").limit(MOST_LANGUAGES).collect()
+    counted = training.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     languages = [r.lang for r in counted]
     if not languages:
         return Profiles([]).close()

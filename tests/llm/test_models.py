@@ -51,6 +51,14 @@ def test_language_edge_cases(spark, documents):
     assert [r.lang_pred for r in language_id.identify(documents([(1, "nothing to learn from", None)])).collect()] == ["und"]
 
 
+def test_too_many_languages_are_an_error(spark, documents, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    rows = [(i, "the cat and the dog", f"l{i % 3}") for i in range(60)]
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_id.identify(documents(rows))
+    assert language_id.identify(documents([r for r in rows if r[2] != "l2"])).count() == 40
+
+
 # toxicity
 
 
