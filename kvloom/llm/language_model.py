@@ -1,519 +1,590 @@
 """Language-model scores: a hashed maximum-entropy model with class-factored softmax.
 
-Tokens are ASCII-lower-cased words and one end token a text (written as the
-empty word).
-
-Counts.  Tasks count the tokens of the training texts batch by batch; one
-shuffle merges them into the whole vocabulary: N tokens, V distinct.  Tokens
-with at least N / ``SENT`` occurrences (so ``SENT`` at most) are broadcast with
-their counts; all other tokens of a text meet their counts in a join.
-
-Model.  The ``CLASSES - 1`` * ``WIDTH`` most frequent tokens are dealt to
-classes by frequency rank; all others are the tail, the last class.
-P(token | h) = P(class | h) P(token | class, h).  Both factors are softmaxes
-over weights summed from hashed features of the history h: the word before, the
-word before that (a skip), and both (an n-gram).  Features are hashes of the
-words themselves, so every word is its own history, sent or not.  The tail is
-a tree of ``LEVELS`` further softmaxes over ``WIDTH`` branches, with the same
-features: a token's path is a hash of the token, so that every token of the
-vocabulary has one, sent or not.  Within a leaf a token has (c + 1) / (tokens +
-types of the leaf).  The first branch of the root is left to unknown tokens and
-has one unit, so that the model is a proper distribution with the base's
-convention.
-
-Training.  Weights start at the smoothed unigram distribution.  ``ROUNDS``
-times, tasks take the current weights, run stochastic gradient steps (Adagrad)
-on all positions of their share of the training texts, and give back the
-change; changes are averaged by the number of positions and added.  Every training text takes part in one round.  Sums over
-tasks are streamed block by block, in two levels.
-
-Scoring runs in numpy over chunks of positions.
+Tokens are ASCII-lower-cased words and one end token a text.  Texts are read as
+bytes, in segments of ``SEGMENT`` bytes cut between words, and turned into
+128-bit token hashes by array arithmetic; a token is known by its hash.
+
+Counts.  Tasks tally the tokens of all texts; one shuffle merges them into the
+whole vocabulary: N tokens and V distinct ones in training texts.  The most
+frequent tokens of all texts, ``SENT`` at most, are broadcast with their
+counts.  The others meet their counts in a join; each is rarer than any token
+that is sent, so none of them is a hot key.
+
+Model.  The vocabulary is a nest of classes, each split into ``BRANCHES``.  The
+first split is by frequency rank: class k holds 8 ** (k + 1) sent tokens, the
+last one all other tokens.  Inside, tokens are split by the digits of their
+rank, those not sent by digits of their hash (``LEAVES`` leaves; within a leaf
+a token has its share of the counts).  P(token | h) is the product of the
+softmaxes on the way to the token: P(class | h) P(subclass | class, h) and so on.
+Each softmax sums weights of hashed features of the history h: the word before,
+the word before that (a skip), and both (an n-gram), each joined with the
+class.  Features are hashes of the words themselves, so every word is its own
+history, and they act on every token of the vocabulary.  Unknown tokens have a
+branch of their own with one unit of the base's distribution.
+
+Training.  Weights start at the smoothed unigram distribution, which is the
+base.  ``ROUNDS`` times, tasks take the current weights, run stochastic gradient
+steps (Adagrad) on all positions of their share of the training texts, and give
+back the changes; a weight moves by the mean over the tasks that changed it.
+Every training text takes part in one round.  Sums over tasks are streamed block
+by block, in two levels.
+
+Scoring runs in numpy over sparse batches: the (position, class) pairs on the
+way to the tokens of a segment, with the numbers of their features' weights.
 
 Cases: a null text is the end token alone; a null id is never learned from and
-not held out; rows that repeat are scored separately; without training texts
-N and V are 0 and every token is unknown; an empty table gives an empty result.
+not held out; rows that repeat are counted and scored separately; a text of any
+length, and a word of any length, is read whole, a segment at a time; tokens of
+equal counts are ranked by hash; without training texts N and V are 0 and every
+token is unknown; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvloom.llm.common import map_batches, materialize
-
-SENT = 1 << 19
-CLASSES = 64
-WIDTH = 32
-TAIL = CLASSES - 1
-HEAD = TAIL * WIDTH
-BUCKETS = 1 << 13
-TAIL_BUCKETS = 1 << 14
-LEVELS = 4
-LEAVES = WIDTH**LEVELS
-FIRST_LEAF = LEAVES // WIDTH
+from kvloom.llm.common import materialize, ship_package
+from kvloom.llm.shingles import mix64
+
+LOG_BRANCHES = 3
+BRANCHES = 1 << LOG_BRANCHES
+SENT = 1 << 20
+TAIL, UNKNOWN = BRANCHES - 1, BRANCHES
+#: Digits of the codes inside each class, the first rank of each class, and its branch of the root.
+DIGITS = np.array([*range(1, BRANCHES), BRANCHES - 2, 1], np.int32)
+FIRST_RANK = np.cumsum([0] + [BRANCHES**k for k in range(1, BRANCHES)])
+BRANCH = np.array([*range(BRANCHES), TAIL], np.int32)
+LEAVES = BRANCHES ** int(DIGITS[TAIL])
+FIRST_LEAF = LEAVES // BRANCHES
+WEIGHT_BITS = 17
 FEATURES = 3
 ROUNDS = 3
 RATE = 0.1
-FIRST_SUM = 1e-6
-BATCH = 1_024
-CHUNK = 8_192
+FIRST_SUM = 0.1
+BATCH = 4_096
+SEGMENT = 1 << 16
+LONG = 1 << 12
+TALLY = 1 << 19
 BATCH_ROWS = 1_000
 BLOCK = 1 << 14
-END = b""
 START = np.uint64(0)
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words of the ASCII-lower-cased text, then the end token; bytes.split() breaks at the six white-space characters of the contracts."""
-    found = (text or "").encode().lower().split()
-    found.append(END)
-    return found
+def _numbering() -> tuple[np.ndarray, int]:
+    """What numbers a node: an offset for each class and number of digits still to come, to be added to the digits before."""
+    offsets, nodes = np.zeros((len(DIGITS), int(DIGITS.max()) + 2), np.int32), 1
+    for k, digits in enumerate(DIGITS[:UNKNOWN].tolist()):
+        for i in range(digits):
+            offsets[k, digits - i] = nodes - (k << LOG_BRANCHES * i)
+            nodes += BRANCHES**i
+    offsets[UNKNOWN, 1] = offsets[TAIL, DIGITS[TAIL]]
+    return offsets, nodes
 
 
-def hashes_of(tokens: list[bytes]) -> np.ndarray:
-    """64-bit hashes of tokens, the same in every process."""
-    return pd.util.hash_array(np.array(tokens, dtype=object), categorize=False) if tokens else np.zeros(0, np.uint64)
+OFFSETS, NODES = _numbering()
 
+_BASE = 0x9E3779B97F4A7C15
+_U = np.uint64
+_FOLDED = np.arange(256, dtype=np.uint64)
+_FOLDED[65:91] += _U(32)
+_IS_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTES = [mix64((_FOLDED + _U(1)) * _U(salt)) for salt in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
+_END = (_U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F))
+_powers: list[np.ndarray] = []
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
+def _power_tables() -> list[np.ndarray]:
+    """Powers of the hash's base and of its inverse, modulo 2**64."""
+    if not _powers:
+        for factor in (_BASE, pow(_BASE, -1, 1 << 64)):
+            table = np.full(SEGMENT + 1, _U(factor))
+            table[0] = 1
+            _powers.append(np.multiply.accumulate(table))
+    return _powers
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        return x ^ (x >> np.uint64(33))
 
+@dataclass
+class Tokens:
+    """Tokens of a segment: the row of each one's text, its hash, and the (first half of) hashes one and two positions back."""
 
-def features(before: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """(n, FEATURES) hashed feature numbers of the histories; inputs are hashes of tokens, or START."""
-    a, b = before.astype(np.uint64), skip.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        keys = [a * np.uint64(4) + np.uint64(1), b * np.uint64(4) + np.uint64(2), (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(4) + np.uint64(3)]
-        return np.stack([(_mix(k) % np.uint64(BUCKETS)).astype(np.int64) for k in keys], axis=1)
+    row: np.ndarray
+    name: np.ndarray
+    twin: np.ndarray
+    before: np.ndarray
+    skip: np.ndarray
 
+    def __getitem__(self, at) -> Tokens:
+        return Tokens(self.row[at], self.name[at], self.twin[at], self.before[at], self.skip[at])
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, start: int) -> int:
+    """The end of the segment from ``start``: between words, behind a word longer than a segment."""
+    stop = start + SEGMENT
+    if stop >= len(data):
+        return len(data)
+    blank = np.flatnonzero(_IS_WHITE[data[start + 1 : stop + 1]])
+    text = int(offsets[np.searchsorted(offsets, stop, side="right") - 1])
+    cut = max(text, start + 1 + int(blank[-1]) if len(blank) else 0)
+    if cut > start:
+        return cut
+    ends = int(offsets[np.searchsorted(offsets, stop, side="right")])
+    blank = np.flatnonzero(_IS_WHITE[data[stop:ends]])
+    return stop + int(blank[0]) if len(blank) else ends
+
+
+def _names(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Both halves of the hashes of the words data[first:last]."""
+    size = last - first
+    out = [np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)]
+    if len(data) <= SEGMENT:
+        power, inverse = _power_tables()
+        at, sums, undo = data.astype(np.intp), np.zeros(len(data) + 1, np.uint64), np.take(inverse, first)
+        with np.errstate(over="ignore"):
+            for half, values in zip(out, _BYTES, strict=True):
+                terms = np.take(values, at, mode="clip")
+                terms *= power[: len(data)]
+                np.cumsum(terms, out=sums[1:])
+                half[:] = mix64((np.take(sums, last) - np.take(sums, first)) * undo + size.astype(np.uint64))
+    for i in np.flatnonzero(size > LONG).tolist():  # powers modulo 2**64 collide in very long words
+        word = _FOLDED[data[first[i] : last[i]]].astype(np.uint8)
+        out[0][i], out[1][i] = np.frombuffer(xxhash.xxh3_128_digest(word), "<u8")
+    return out
 
-def inner_features(f: np.ndarray, class_: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """The hashed numbers of features joined with a class, or a node of the tail's tree."""
-    with np.errstate(over="ignore"):
-        return (_mix(class_.astype(np.uint64)[:, None] * np.uint64(BUCKETS) + f.astype(np.uint64) + np.uint64(1 << 40)) % np.uint64(buckets)).astype(np.int64)
 
+def read(column: pa.Array) -> Iterator[Tokens]:
+    """The tokens of all texts of a column, segment by segment."""
+    texts = column.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = texts.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    starts_text = np.zeros(len(data) + 1, bool)
+    starts_text[offsets] = True
+    start, ended, held = 0, 0, (np.zeros(2, np.uint64), np.full(2, -1))
+    while ended < len(texts):
+        stop = _cut(data, offsets, start)
+        here = data[start:stop]
+        white = (here == 32) | ((here >= 9) & (here <= 13))
+        edge = starts_text[start : stop + 1].copy()
+        edge[[0, -1]] = True
+        first = np.flatnonzero(~white & (edge[:-1] | np.r_[True, white[:-1]][: len(white)]))
+        last = np.flatnonzero(~white & (edge[1:] | np.r_[white[1:], True][: len(white)])) + 1
+        words = np.searchsorted(first, np.clip(offsets[ended:] - start, 0, stop - start))
+        row = np.repeat(np.arange(ended, len(texts)), np.diff(words))
+        ends = len(texts) if stop == len(data) else int(np.searchsorted(offsets[1:], stop, side="right"))
+        closed = np.arange(ended, ends)
+        at = np.arange(len(first)) + (row - ended)
+        at_end = np.searchsorted(row, closed, side="right") + (closed - ended)
+        names = []
+        for half, end in zip(_names(data[start:stop], first, last), _END, strict=True):
+            flat = np.empty(len(first) + len(closed), np.uint64)
+            flat[at], flat[at_end] = half, end
+            names.append(flat)
+        rows = np.empty(len(names[0]), np.int64)
+        rows[at], rows[at_end] = row, closed
+        earlier, of = np.r_[held[0], names[0]], np.r_[held[1], rows]
+        yield Tokens(rows, names[0], names[1], np.where(of[1:-1] == rows, earlier[1:-1], START), np.where(of[:-2] == rows, earlier[:-2], START))
+        held, start, ended = (earlier[-2:], of[-2:]), stop, ends
 
-def leaves_of(tokens: list[bytes]) -> np.ndarray:
-    """The leaves of tokens; those under FIRST_LEAF are the branch of unknown tokens."""
-    return np.array([zlib.crc32(t) % (LEAVES - FIRST_LEAF) + FIRST_LEAF for t in tokens], np.int64)
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
-@dataclass
-class Tail:
-    """Counts + 1 summed over the tail's tokens, by nodes of each level below the root."""
 
-    mass: np.ndarray
-    biases: list[np.ndarray]
+def tally(name: np.ndarray, twin: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """Distinct hashes with the sums of their counts."""
+    order = np.argsort(name)
+    same = name[order][1:] == name[order][:-1]
+    if (same & (twin[order][1:] != twin[order][:-1])).any():
+        order = np.lexsort((twin, name))
+        same = (name[order][1:] == name[order][:-1]) & (twin[order][1:] == twin[order][:-1])
+    new = np.flatnonzero(np.r_[True, ~same]) if len(order) else order
+    return [name[order[new]], twin[order[new]], *(np.add.reduceat(c[order], new) if len(order) else c for c in counts)]
+
+
+class Names:
+    """An open-addressing table of token hashes; gives their ranks."""
+
+    def __init__(self, name: np.ndarray, twin: np.ndarray):
+        self.name, self.twin = name, twin
+        self.bits = max(4, int(len(name)).bit_length() + 1)
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(name), dtype=np.int32)[::-1]  # of two tokens for a place the more frequent one has it
+        at = self.home(name[left])
+        while len(left):
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]
+            out = self.table[at] != left
+            left, at = left[out], (at[out] + 1) & (len(self.table) - 1)
+
+    def home(self, name: np.ndarray) -> np.ndarray:
+        return (name >> _U(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, name: np.ndarray, twin: np.ndarray) -> np.ndarray:
+        """Ranks, -1 for tokens that are not in the table."""
+        out = np.full(len(name), -1, np.int64)
+        if not len(self.name):
+            return out
+        at, open_ = self.home(name), None
+        while open_ is None or len(open_):
+            a, b = (name, twin) if open_ is None else (name[open_], twin[open_])
+            rank = self.table[at]
+            same = (rank >= 0) & (self.name[rank] == a) & (self.twin[rank] == b)
+            more = np.flatnonzero((rank >= 0) & ~same)
+            if open_ is None:
+                out[same] = rank[same]
+                open_ = more
+            else:
+                out[open_[same]] = rank[same]
+                open_ = open_[more]
+            at = (at[more] + 1) & (len(self.table) - 1)
+        return out
+
+
+def leaf_of(twin: np.ndarray) -> np.ndarray:
+    """The leaves of tokens that are not sent; those under FIRST_LEAF belong to unknown tokens."""
+    return ((twin >> _U(40)) % _U(LEAVES - FIRST_LEAF)).astype(np.int32) + np.int32(FIRST_LEAF)
 
-    @classmethod
-    def of(cls, mass: np.ndarray) -> Tail:
-        """From the (LEAVES,) sums of the leaves."""
-        mass = mass.astype(np.float64)
-        mass[:FIRST_LEAF] = 0
-        levels = [mass.reshape(WIDTH ** (k + 1), -1).sum(axis=1) for k in range(LEVELS)]
-        levels[0][0] = 1.0
-        return cls(mass, [np.log(np.maximum(x, 1e-35)).astype(np.float32).reshape(-1, WIDTH) for x in levels])
-
-    @staticmethod
-    def nodes(leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """By level: the node of the path in its level, its number among all nodes, the branch taken."""
-        first = 0
-        for k in range(LEVELS):
-            inside = leaf // WIDTH ** (LEVELS - k)
-            yield k, inside, first + inside, leaf // WIDTH ** (LEVELS - k - 1) % WIDTH
-            first += WIDTH**k
 
+class Vocabulary:
+    """The sent tokens by rank with their training counts, and the counts + 1 summed over the leaves of the tail."""
 
-@dataclass
-class Weights:
-    """Weights of the softmaxes: (buckets, classes), (buckets, width), their biases, and (tail buckets, width) of the tail's tree."""
+    def __init__(self, name: np.ndarray, twin: np.ndarray, counts: np.ndarray, leaves: np.ndarray, total: int):
+        self.name, self.twin, self.counts, self.leaves, self.total = name, twin, counts, leaves, total
+        self.known = int((counts > 0).sum())
+        self._names: Names | None = None
+        self._classes: np.ndarray | None = None
 
-    outer: np.ndarray
-    inner: np.ndarray
-    outer_bias: np.ndarray
-    inner_bias: np.ndarray
-    tail: np.ndarray
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_names": None, "_classes": None}
+
+    def ranks(self, t: Tokens) -> np.ndarray:
+        if self._names is None:
+            self._names = Names(self.name, self.twin)
+        return self._names.ranks(t.name, t.twin)
+
+    def places(self, t: Tokens) -> Places:
+        rank = self.ranks(t)
+        class_ = np.take(self.class_of_rank(), rank, mode="wrap")
+        inner = (rank - np.take(FIRST_RANK, class_, mode="clip")).astype(np.int32)
+        away = np.flatnonzero(rank < 0)
+        inner[away], class_[away] = leaf_of(t.twin[away]), TAIL
+        inner[class_ == UNKNOWN] = 0
+        return Places(rank, class_, inner)
+
+    def class_of_rank(self) -> np.ndarray:
+        if self._classes is None:
+            self._classes = np.repeat(np.arange(TAIL, dtype=np.int32), np.diff(FIRST_RANK))[: len(self.counts) + 1]
+            self._classes[self.known :] = UNKNOWN
+        return self._classes
+
+    def biases(self) -> np.ndarray:
+        """(NODES, BRANCHES): the logs of the shares of a node's branches in its sum of (count + 1)."""
+        out, classes = np.zeros((NODES, BRANCHES), np.float32), np.zeros(BRANCHES)
+        for k in range(BRANCHES):
+            digits = int(DIGITS[k])
+            m = np.zeros(BRANCHES**digits)
+            if k == TAIL:
+                m[FIRST_LEAF:], m[0] = self.leaves[FIRST_LEAF:], 1.0  # unknown tokens have the first branch
+            else:
+                held = self.counts[: self.known][FIRST_RANK[k] : FIRST_RANK[k + 1]]
+                m[: len(held)] = held + 1.0
+            classes[k] = m.sum()
+            for i in range(digits - 1, -1, -1):
+                first = OFFSETS[k, digits - i] + (k << LOG_BRANCHES * i)
+                out[first : first + BRANCHES**i] = _log_shares(m)
+                m = m.reshape(-1, BRANCHES).sum(axis=1)
+        out[:1] = _log_shares(classes)
+        return out
+
+
+def _log_shares(mass: np.ndarray) -> np.ndarray:
+    mass = mass.reshape(-1, BRANCHES)
+    return np.log(np.maximum(mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-30), 1e-20))
 
-    @classmethod
-    def start(cls, head_counts: np.ndarray, tail_mass: float) -> Weights:
-        mass = np.zeros((CLASSES, WIDTH))
-        mass.reshape(-1)[: len(head_counts)] = head_counts + 1.0
-        classes = mass.sum(axis=1)
-        classes[TAIL] = tail_mass
-        with np.errstate(divide="ignore"):
-            return cls(
-                np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((BUCKETS, WIDTH), np.float32),
-                np.maximum(np.log(classes / classes.sum()), -80).astype(np.float32), np.maximum(np.log(mass / np.maximum(classes[:, None], 1e-300)), -80).astype(np.float32),
-                np.zeros((TAIL_BUCKETS, WIDTH), np.float32),
-            )
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.outer.ravel(), self.inner.ravel(), self.outer_bias.ravel(), self.inner_bias.ravel(), self.tail.ravel()])
+@dataclass
+class Places:
+    """Where tokens are in the model: rank (-1: not sent), class, and code within the class, of ``DIGITS`` digits."""
 
-    @classmethod
-    def of(cls, flat: np.ndarray) -> Weights:
-        outer, inner, bias, inside, tail = np.split(flat, np.cumsum([BUCKETS * CLASSES, BUCKETS * WIDTH, CLASSES, CLASSES * WIDTH]))
-        return cls(outer.reshape(BUCKETS, CLASSES), inner.reshape(BUCKETS, WIDTH), bias, inside.reshape(CLASSES, WIDTH), tail.reshape(TAIL_BUCKETS, WIDTH))
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def outer_logits(w: Weights, f: np.ndarray) -> np.ndarray:
-    z = w.outer[f[:, 0]] + w.outer_bias
-    for k in range(1, FEATURES):
-        z += w.outer[f[:, k]]
-    return z
-
-
-def inner_logits(w: Weights, f: np.ndarray, class_: np.ndarray) -> np.ndarray:
-    z = w.inner_bias[class_]
-    for k in range(FEATURES):
-        z += w.inner[f[:, k]]
-    return z
-
-
-def tail_logits(w: Weights, tail: Tail, level: int, inside: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = tail.biases[level][inside]
-    for k in range(FEATURES):
-        z += w.tail[f[:, k]]
-    return z
-
-
-def tail_log_probabilities(w: Weights, tail: Tail, leaf: np.ndarray, before: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural logs of P(leaf | tail) and of P(unknown token | tail)."""
-    path, unknown = np.zeros(len(leaf)), np.zeros(len(leaf))
-    for start in range(0, len(leaf), CHUNK):
-        part = slice(start, start + CHUNK)
-        f = features(before[part], skip[part])
-        for level, inside, node, branch in Tail.nodes(leaf[part]):
-            z = _log_softmax(tail_logits(w, tail, level, inside, inner_features(f, node, TAIL_BUCKETS)))
-            path[part] += z[np.arange(len(z)), branch]
-            if not level:
-                unknown[part] = z[:, 0]
-    return path, unknown
-
-
-def token_log_probabilities(w: Weights, rank: np.ndarray, before: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """Natural log of P(class) P(token | class) for head tokens, and of P(tail) for all others."""
-    out = np.empty(len(rank))
-    for start in range(0, len(rank), CHUNK):
-        part = slice(start, start + CHUNK)
-        r, f = rank[part], features(before[part], skip[part])
-        head = (r >= 0) & (r < HEAD)
-        class_ = np.where(head, r // WIDTH, TAIL)
-        z = _log_softmax(outer_logits(w, f))
-        p = z[np.arange(len(r)), class_].astype(np.float64)
-        at = np.flatnonzero(head)
-        if len(at):
-            c = class_[at]
-            y = _log_softmax(inner_logits(w, inner_features(f[at], c), c))
-            p[at] += y[np.arange(len(at)), r[at] % WIDTH]
-        out[part] = p
-    return out
+    rank: np.ndarray
+    class_: np.ndarray
+    inner: np.ndarray
 
+    def __getitem__(self, at) -> Places:
+        return Places(self.rank[at], self.class_[at], self.inner[at])
 
-class Steps:
-    """Adagrad steps on a copy of the weights."""
 
-    def __init__(self, w: Weights, tail: Tail | None = None):
-        self.w, self.tail = Weights.of(w.flat().copy()), tail
-        self.tail_sum = np.full(TAIL_BUCKETS, FIRST_SUM, np.float32)
-        self.outer_sum, self.inner_sum = np.full(BUCKETS, FIRST_SUM, np.float32), np.full(BUCKETS, FIRST_SUM, np.float32)
-        self.seen = 0
-
-    @staticmethod
-    def _add(table: np.ndarray, sums: np.ndarray, f: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(f.astype(np.uint16), kind="stable")  # a radix sort
-        f = f[order]
-        first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-        total, at = np.add.reduceat(g[order], first, axis=0), f[first]
-        sums[at] += np.square(total).mean(axis=1)
-        table[at] -= (RATE / np.sqrt(sums[at]))[:, None] * total
-
-    def step(self, rank: np.ndarray, before: np.ndarray, skip: np.ndarray, leaf: np.ndarray | None = None) -> None:
-        w, f, n = self.w, features(before, skip), len(rank)
-        self.seen += n
-        head = (rank >= 0) & (rank < HEAD)
-        class_ = np.where(head, rank // WIDTH, TAIL)
-        g = np.exp(_log_softmax(outer_logits(w, f)))
-        g[np.arange(n), class_] -= 1
-        g /= n
-        for k in range(FEATURES):
-            self._add(w.outer, self.outer_sum, f[:, k], g)
-        at = np.flatnonzero(head)
-        if len(at):
-            c = class_[at]
-            i = inner_features(f[at], c)
-            g = np.exp(_log_softmax(inner_logits(w, i, c)))
-            g[np.arange(len(at)), rank[at] % WIDTH] -= 1
-            g /= n
-            for k in range(FEATURES):
-                self._add(w.inner, self.inner_sum, i[:, k], g)
-        at = np.flatnonzero(~head)
-        if self.tail is None or not len(at):
-            return
-        for level, inside, node, branch in Tail.nodes(leaf[at]):
-            i = inner_features(f[at], node, TAIL_BUCKETS)
-            g = np.exp(_log_softmax(tail_logits(w, self.tail, level, inside, i)))
-            g[np.arange(len(at)), branch] -= 1
-            g /= n
-            for k in range(FEATURES):
-                self._add(w.tail, self.tail_sum, i[:, k], g)
+def features(before: np.ndarray, skip: np.ndarray) -> list[np.ndarray]:
+    """32-bit hashes of the histories' features; inputs are hashes of tokens, or START."""
+    with np.errstate(over="ignore"):
+        keys = [before ^ _U(1), skip * _U(5), (before * _U(_BASE) + skip) ^ _U(3)]
+        return [((x * _U(0xD6E8FEB86659FD93)) >> _U(32)).astype(np.uint32) for x in keys]
+
+
+class Decisions:
+    """The branchings on the way to tokens: one (position, node, branch) each, and the hashed weights of its features."""
+
+    def __init__(self, places: Places, f: list[np.ndarray]):
+        digits = np.take(DIGITS, places.class_, mode="clip")
+        self.depth = digits + 1
+        full = (np.take(BRANCH, places.class_, mode="clip") << LOG_BRANCHES * digits) | places.inner
+        ends = np.cumsum(self.depth, dtype=np.int32)
+        self.starts = ends - self.depth
+        left = np.repeat(ends, self.depth)
+        left -= np.arange(len(left), dtype=np.int32)
+        node = np.take(OFFSETS.ravel(), np.repeat(places.class_ * OFFSETS.shape[1], self.depth) + left, mode="clip")
+        left *= LOG_BRANCHES
+        code = np.repeat(full, self.depth)
+        node += code >> left
+        left -= LOG_BRANCHES
+        code >>= left
+        code &= BRANCHES - 1
+        self.node, self.branch = node, code
+        with np.errstate(over="ignore"):
+            salt = node.view(np.uint32) * np.uint32(0x9E3779B1)
+            self.weights = []
+            for x in f:
+                key = np.repeat(x, self.depth)
+                key ^= salt
+                key *= np.uint32(0x85EBCA6B)
+                key >>= np.uint32(32 - WEIGHT_BITS)
+                self.weights.append(key.astype(np.intp))
+
+    def odds(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the logits of all branches, and their sums."""
+        z = np.take(model.bias, self.node, axis=0, mode="clip")
+        for at in self.weights:
+            z += np.take(model.weights, at, axis=0, mode="clip")
+        np.exp(z, out=z)
+        return z, z @ np.ones(BRANCHES, np.float32)
 
 
 @dataclass
-class Vocabulary:
-    """The sent tokens by rank, with their counts."""
+class Model:
+    """Hashed weights, (2 ** WEIGHT_BITS, BRANCHES), and the start's biases."""
 
-    words: list[bytes]
-    counts: np.ndarray
-    ranks: dict[bytes, int] = field(default_factory=dict)
-    hashes: np.ndarray | None = None
-    leaves: np.ndarray | None = None
+    weights: np.ndarray
+    bias: np.ndarray
 
-    def __getstate__(self) -> dict:
-        return {"words": self.words, "counts": self.counts, "ranks": {}, "hashes": None, "leaves": None}
-
-    def known(self) -> dict[bytes, int]:
-        if not self.ranks and self.words:
-            self.ranks = {w: i for i, w in enumerate(self.words)}
-        return self.ranks
-
-    def read(self, texts: list[str | None]) -> Positions:
-        """The positions of ``texts``."""
-        get, found = self.known().get, [tokens_of(x) for x in texts]
-        if self.hashes is None:
-            self.hashes, self.leaves = hashes_of(self.words), leaves_of(self.words)
-        flat = [t for x in found for t in x]
-        sizes = np.array([len(x) for x in found])
-        rank = np.array([get(t, -1) for t in flat], np.int64)
-        other = np.flatnonzero(rank < 0)
-        rest = [flat[i] for i in other.tolist()]
-        name = self.hashes[rank] if self.words else np.zeros(len(rank), np.uint64)
-        name[other] = hashes_of(rest)
-        leaf = self.leaves[rank] if self.words else np.zeros(len(rank), np.int64)
-        leaf[other] = leaves_of(rest)
-        return Positions(sizes, rank, *_histories(sizes, name), leaf, other, rest)
+    @classmethod
+    def start(cls, vocabulary: Vocabulary) -> Model:
+        return cls(np.zeros((1 << WEIGHT_BITS, BRANCHES), np.float32), vocabulary.biases())
 
+    def flat(self) -> np.ndarray:
+        return self.weights.ravel()
 
-@dataclass
-class Positions:
-    """Tokens by rank (-1: not sent) with the hashes of the two tokens before and their leaves; ``rest`` are the tokens not sent, at ``other``."""
+    def moved(self, flat: np.ndarray) -> Model:
+        return Model(flat.reshape(self.weights.shape), self.bias)
 
-    sizes: np.ndarray
-    rank: np.ndarray
-    before: np.ndarray
-    skip: np.ndarray
-    leaf: np.ndarray
-    other: np.ndarray
-    rest: list[bytes]
+    def log_probabilities(self, places: Places, before: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Natural logs of P(token | h); for the tail those of the leaf."""
+        out = np.empty(len(before))
+        for start in range(0, len(before), BATCH):
+            part = slice(start, start + BATCH)
+            d = Decisions(places[part], features(before[part], skip[part]))
+            z, total = d.odds(self)
+            p = np.take(z.ravel(), np.arange(0, z.size, BRANCHES) + d.branch, mode="clip")
+            p /= total
+            out[part] = np.add.reduceat(np.log(p), d.starts)
+        return out
 
 
-def _histories(sizes: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes one and two positions back, START before the start of a text."""
-    place = np.arange(len(name)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    start = np.full(2, START)
-    before, skip = np.r_[start[:1], name[:-1]][: len(name)], np.r_[start, name[:-2]][: len(name)]
-    return np.where(place >= 1, before, START), np.where(place >= 2, skip, START)
+class Steps:
+    """Gradient steps on a copy of the model."""
 
+    def __init__(self, model: Model):
+        self.model, self.sums = Model(model.weights.copy(), model.bias), np.full(1 << WEIGHT_BITS, FIRST_SUM, np.float32)
+        self.seen = 0
 
-def count_tokens(docs: DataFrame, text: str) -> DataFrame:
-    """(token, c) over all texts."""
-    schema = T.StructType([T.StructField("token", T.BinaryType()), T.StructField("c", T.LongType())])
+    def step(self, places: Places, before: np.ndarray, skip: np.ndarray) -> None:
+        model = self.model
+        self.seen += len(before)
+        d = Decisions(places, features(before, skip))
+        error, total = d.odds(model)
+        error /= total[:, None]
+        error.reshape(-1)[np.arange(0, error.size, BRANCHES) + d.branch] -= 1
+        square = np.square(error) @ np.ones(BRANCHES, np.float32)
+        table, move = model.weights.reshape(-1), np.empty_like(error)
+        for at in d.weights:
+            np.add.at(self.sums, at, square)
+            scale = np.take(self.sums, at, mode="clip")
+            np.divide(np.float32(RATE), np.sqrt(scale, out=scale), out=scale)
+            np.multiply(error, scale[:, None], out=move)
+            np.subtract.at(table, (at[:, None] * BRANCHES + np.arange(BRANCHES)).ravel(), move.ravel())
+
+    def learn(self, texts: pa.Array, vocabulary: Vocabulary) -> None:
+        """Steps at every position of ``texts``; each batch of steps is spread over its segment."""
+        for t in read(texts):
+            places = vocabulary.places(t)
+            batches = -(-len(t.row) // BATCH)
+            for i in range(batches):
+                at = slice(i, None, batches)
+                self.step(places[at], t.before[at], t.skip[at])
+
+
+def _longs(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.LongType()) for n in names]
+
+
+def count_tokens(rows: DataFrame) -> DataFrame:
+    """(name, twin, c, every) from the rows (text, training): occurrences in training texts and in all."""
+    schema = T.StructType(_longs("name", "twin", "c", "every"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                held.update(tokens_of(x))
-            if len(held) > 200_000:
-                yield packed(held)
-                held = Counter()
+            training = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) if batch.num_rows else None
+            for t in read(batch.column(0)):
+                held.append(tally(t.name, t.twin, training[t.row], np.ones(len(t.row), np.int64)))
+                if sum(len(x[0]) for x in held) > TALLY:
+                    held = [tally(*map(np.concatenate, zip(*held, strict=True)))]
+                    if len(held[0][0]) > TALLY // 2:
+                        yield packed(held.pop())
         if held:
-            yield packed(held)
+            yield packed(tally(*map(np.concatenate, zip(*held, strict=True))))
+
+    def packed(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c.view(np.int64)) for c in columns], names=[f.name for f in schema])
+
+    return rows.select("text", "training").mapInArrow(count, schema).groupBy("name", "twin").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
 
-    def packed(held: Counter) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
 
-    return docs.select(F.col(text)).mapInArrow(count, schema).groupBy("token").agg(F.sum("c").alias("c"))
+def sent_from(counts: DataFrame) -> int:
+    """The least number of occurrences of the tokens that are sent: as many as fit in SENT."""
+    step = F.when(F.col("every") < BATCH, F.col("every")).otherwise(F.expr("shiftleft(1L, int(floor(log2(every))))"))
+    held, least = 0, 1 << 62
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):  # BATCH + 52 rows at most
+        held += row[1]
+        if held > SENT:
+            return least
+        least = row[0]
+    return 1
+
+
+def vocabulary_of(counts: DataFrame, least: int, total: int) -> Vocabulary:
+    listed = counts.where(F.col("every") >= least).select("name", "twin", "c").toArrow()  # SENT rows at most
+    name, twin, c = (listed[k].to_numpy() for k in ("name", "twin", "c"))
+    name, twin = name.view(np.uint64), twin.view(np.uint64)
+    order = np.lexsort((twin, name, -c))
+    leaf = F.shiftrightunsigned("twin", 40) % (LEAVES - FIRST_LEAF) + FIRST_LEAF
+    summed = counts.where((F.col("every") < least) & (F.col("c") > 0)).groupBy(leaf.alias("leaf")).agg(F.sum(F.col("c") + 1).alias("mass")).toArrow()  # LEAVES rows at most
+    leaves = np.zeros(LEAVES, np.int64)
+    leaves[summed["leaf"].to_numpy()] = summed["mass"].to_numpy()
+    return Vocabulary(name[order], twin[order], c[order], leaves, total)
 
 
 def _summed(changes: DataFrame) -> DataFrame:
-    """(block, change, n) summed over the rows of each block; rows are streamed, never gathered."""
-    schema = changes.select("block", "change", "n").schema
+    """(salt, block, change, tasks): the changes of each block, and by how many tasks each weight was changed, summed; rows are streamed, never gathered."""
+    schema = changes.schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, list] = {}
+        totals: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for block, change, n in zip(*(batch.column(c).to_pylist() for c in ("block", "change", "n")), strict=True):
+            for block, change, tasks in zip(*(batch.column(c).to_pylist() for c in ("block", "change", "tasks")), strict=True):
                 x = np.frombuffer(change, np.float32)
-                if block in totals:
-                    totals[block][0] += x
-                    totals[block][1] += n
-                else:
-                    totals[block] = [x.astype(np.float64), n]
+                n = (x != 0).astype(np.int32) if tasks is None else np.frombuffer(tasks, np.int32)
+                held = totals.setdefault(block, [np.zeros(len(x)), np.zeros(len(x), np.int32)])
+                held[0] += x
+                held[1] += n
         if totals:
-            yield pa.record_batch(
-                [pa.array(list(totals), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x, _ in totals.values()], pa.binary()), pa.array([n for _, n in totals.values()], pa.int64())],
-                names=["block", "change", "n"],
-            )
+            columns = [[0] * len(totals), list(totals), [x.astype(np.float32).tobytes() for x, _ in totals.values()], [n.tobytes() for _, n in totals.values()]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
 
     return changes.mapInArrow(add, schema)
 
 
-def learn_texts(steps: Steps, texts: list[str | None], vocabulary: Vocabulary, turn: int) -> None:
-    """Steps at every position of ``texts``, in a seeded order."""
-    p = vocabulary.read(texts)
-    seed = int.from_bytes(hashlib.blake2b(b"".join(tokens_of(texts[0]))[:200] + bytes([turn]), digest_size=8).digest(), "little")
-    order = np.random.default_rng(seed).permutation(len(p.rank))
-    for start in range(0, len(order), BATCH):
-        at = order[start : start + BATCH]
-        steps.step(p.rank[at], p.before[at], p.skip[at], p.leaf[at])
-
-
-def train_round(docs: DataFrame, text: str, vocabulary, tail, weights: Weights, turn: int) -> Weights:
-    """The weights after one round over ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = T.StructType([T.StructField("salt", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("change", T.BinaryType()), T.StructField("n", T.LongType())])
+def train_round(texts: DataFrame, vocabulary, model: Model) -> Model:
+    """The model after one round over the rows (text)."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([T.StructField("salt", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("change", T.BinaryType()), T.StructField("tasks", T.BinaryType())])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = Steps(sent.value, tail.value)
+        steps = Steps(sent.value)
         for batch in batches:
-            if batch.num_rows:
-                learn_texts(steps, batch.column(0).to_pylist(), vocabulary.value, turn)
+            steps.learn(batch.column(0), vocabulary.value)
         if steps.seen:
-            change = (steps.w.flat() - sent.value.flat()) * np.float32(steps.seen)
+            change = steps.model.flat() - sent.value.flat()
             blocks = range(0, len(change), BLOCK)
             salt = TaskContext.get().partitionId() % 16
-            yield pa.record_batch(
-                [pa.array([salt] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array([change[i : i + BLOCK].tobytes() for i in blocks], pa.binary()), pa.array([steps.seen] * len(blocks), pa.int64())],
-                names=[f.name for f in schema],
-            )
+            columns = [[salt] * len(blocks), range(len(blocks)), [change[i : i + BLOCK].tobytes() for i in blocks], [None] * len(blocks)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
 
-    changes = docs.select(F.col(text)).mapInArrow(learn, schema)
-    partly = _summed(changes.repartition("block", "salt"))
+    partly = _summed(texts.select("text").mapInArrow(learn, schema).repartition("block", "salt"))
     total = materialize(_summed(partly.repartition("block")), "weights", BATCH_ROWS)
-    flat = weights.flat()
+    flat = model.flat().copy()
     for row in total.collect():  # one model: the number of its blocks is fixed
         at = row.block * BLOCK
-        flat[at : at + BLOCK] += np.frombuffer(row.change, np.float32) / np.float32(row.n)
-    return Weights.of(flat)
-
-
-def tail_of(counts: DataFrame, head: list[bytes], head_counts: np.ndarray) -> Tail:
-    """The tail's tree, from the counts (token, c) of the whole vocabulary."""
-    leaf = (F.crc32("token") % (LEAVES - FIRST_LEAF) + FIRST_LEAF).cast("int")
-    summed = counts.groupBy(leaf.alias("leaf")).agg(F.sum(F.col("c") + 1).alias("mass")).toArrow()  # LEAVES rows at most
-    mass = np.zeros(LEAVES, np.int64)
-    mass[summed["leaf"].to_numpy()] = summed["mass"].to_numpy()
-    np.subtract.at(mass, leaves_of(head), head_counts + 1)
-    return Tail.of(mass)
+        change, tasks = np.frombuffer(row.change, np.float32), np.frombuffer(row.tasks, np.int32)
+        flat[at : at + len(change)] += change / np.maximum(tasks, 1)
+    return model.moved(flat)
 
 
 def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
-    training = rows.where(~F.col("held_out") & F.col("doc_id").isNotNull())
-    counts = materialize(count_tokens(training, "text"), "counts", BATCH_ROWS)
-    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    rows = rows.withColumn("training", ~F.col("held_out") & F.col("doc_id").isNotNull())
+    counts = materialize(count_tokens(rows), "counts", BATCH_ROWS)
+    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = int(whole.n), int(whole.v)
-    least = max(1, math.ceil(n / SENT))
-    listed = counts.where(F.col("c") >= least).orderBy(F.col("c").desc(), "token").toArrow()  # SENT rows at most
-    words, sent_counts = listed["token"].to_pylist(), listed["c"].to_numpy()
-    del listed
-    head = sent_counts[:HEAD]
-    tail_mass = float(n - head.sum() + v - len(head) + 1)
+    least = sent_from(counts)
     context = docs.sparkSession.sparkContext
-    vocabulary = context.broadcast(Vocabulary(words, sent_counts))
-    tree = context.broadcast(tail_of(counts, words[:HEAD], head))
-    weights = Weights.start(head, tail_mass)
+    words = vocabulary_of(counts, least, n + v + 1)
+    vocabulary = context.broadcast(words)
+    model = Model.start(words)
     part = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS))
     for turn in range(ROUNDS if n else 0):
-        weights = train_round(training.where(part == turn), "text", vocabulary, tree, weights, turn)
-    model = context.broadcast(weights)
-    whole_log = math.log10(n + v + 1)
-    del words
-    schema = T.StructType(
-        [
-            T.StructField("key", T.LongType()),
-            T.StructField("doc_id", docs.schema[doc_id].dataType),
-            T.StructField("held_out", T.BooleanType()),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("known", T.LongType()),
-            T.StructField("base", T.DoubleType()),
-            T.StructField("model", T.DoubleType()),
-            T.StructField("rest", T.ArrayType(T.BinaryType())),
-            T.StructField("gains", T.ArrayType(T.DoubleType())),
-        ]
-    )
+        model = train_round(rows.where(F.col("training") & (part == turn)), vocabulary, model)
+    trained = context.broadcast(model)
+    lists = [T.StructField(k, T.ArrayType(t)) for k, t in (("keys", T.LongType()), ("names", T.LongType()), ("twins", T.LongType()), ("gains", T.DoubleType()))]
+    own = [T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("held_out", T.BooleanType()), *_longs("n_tokens", "known")]
+    schema = T.StructType([*_longs("key"), *own, T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()), *lists])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, tail = model.value, tree.value
-        logs, key = np.r_[np.log10(vocabulary.value.counts + 1.0), 0.0], TaskContext.get().partitionId() << 33
+        key = TaskContext.get().partitionId() << 33
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = vocabulary.value.read(batch.column(2).to_pylist())
-            sizes, rank = at.sizes, at.rank
-            sent = rank >= 0
-            base = logs[rank]
-            p = token_log_probabilities(w, rank, at.before, at.skip) / math.log(10)
-            outside = np.flatnonzero(~sent | (rank >= HEAD))
-            path, unknown = (x / math.log(10) for x in tail_log_probabilities(w, tail, at.leaf[outside], at.before[outside], at.skip[outside]))
-            path += base[outside] - np.log10(np.maximum(tail.mass[at.leaf[outside]], 1.0))
-            # a token not sent counts as unknown here; the join adds what it gains if it is not
-            p[outside] += np.where(sent[outside], path, unknown)
-            gains = (path - unknown)[~sent[outside]]
-            starts = np.cumsum(sizes) - sizes
-            ends = pa.array(np.searchsorted(at.other, np.r_[starts, len(rank)]), pa.int32())
-            yield pa.record_batch(
-                [
-                    pa.array(key + np.arange(batch.num_rows)),
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(np.add.reduceat(sent.astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(base, starts) - sizes * whole_log),
-                    pa.array(np.add.reduceat(p, starts)),
-                    pa.ListArray.from_arrays(ends, pa.array(at.rest, pa.binary())),
-                    pa.ListArray.from_arrays(ends, pa.array(gains)),
-                ],
-                names=[f.name for f in schema],
-            )
-            key += batch.num_rows
+            size = batch.num_rows
+            sums = np.zeros((4, size))
+            for t in read(batch.column(2)):
+                columns, rest = scores_of(t, vocabulary.value, trained.value)
+                for held, x in zip(sums, columns, strict=True):
+                    held += np.bincount(t.row, weights=x, minlength=size)
+                if len(rest[0]):
+                    found = [pa.array([x], pa.list_(k)) for x, k in zip([key + rest[0], *rest[1:]], (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
+                    yield pa.record_batch([*(pa.nulls(1, c.type) for c in empty(batch)), *found], names=schema.names)
+            if size:
+                none = [pa.nulls(size, pa.list_(k)) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
+                counted = [pa.array(x.astype(np.int64)) for x in sums[:2]]
+                yield pa.record_batch([pa.array(key + np.arange(size)), batch.column(0), batch.column(1), *counted, *map(pa.array, sums[2:]), *none], names=schema.names)
+            key += size
+
+    def empty(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([], pa.int64()), batch.column(0), batch.column(1), *(pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
 
     scored = materialize(rows.select("doc_id", "held_out", "text").mapInArrow(score, schema), "scores", BATCH_ROWS)
-    rare = counts.where(F.col("c") < least).select("token", F.log10(F.col("c") + F.lit(1.0)).alias("log"))
+    rare = counts.where((F.col("every") < least) & (F.col("c") > 0)).select("name", "twin", F.log10(F.col("c") + F.lit(1.0)).alias("log"))
+    one = F.explode(F.arrays_zip("keys", "names", "twins", "gains")).alias("one")
     met = (
-        scored.select("key", F.explode(F.arrays_zip("rest", "gains")).alias("one"))
-        .select("key", F.col("one.rest").alias("token"), F.col("one.gains").alias("gain"))
-        .join(rare, "token")
+        scored.where(F.col("key").isNull())
+        .select(one)
+        .select(F.col("one.keys").alias("key"), F.col("one.names").alias("name"), F.col("one.twins").alias("twin"), F.col("one.gains").alias("gain"))
+        .join(rare, ["name", "twin"])
         .groupBy("key")
         .agg(F.count(F.lit(1)).alias("more_known"), F.sum("log").alias("more"), F.sum(F.col("log") + F.col("gain")).alias("gained"))
     )
     more, gained = F.coalesce("more", F.lit(0.0)), F.coalesce("gained", F.lit(0.0))
-    return scored.drop("rest", "gains").join(met, "key", "left").select(
+    return scored.where(F.col("key").isNotNull()).drop("keys", "names", "twins", "gains").join(met, "key", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -522,3 +593,21 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         (F.col("base") + more).alias("base_score"),
         (F.col("model") + gained).alias("score"),
     )
+
+
+def scores_of(t: Tokens, vocabulary: Vocabulary, model: Model) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of every token 1, whether it is known, and log10 of its base and model probabilities; tokens not sent count as unknown.
+
+    Then the rows and hashes of the tokens not sent, and what each gains if it is known, without the log10 of its count + 1.
+    """
+    places = vocabulary.places(t)
+    sent = places.rank >= 0
+    counts = np.where(sent, np.take(vocabulary.counts, places.rank, mode="wrap"), 0) if len(vocabulary.counts) else np.zeros(len(sent), np.int64)
+    base = np.log10(counts + 1.0) - math.log10(vocabulary.total)
+    p = model.log_probabilities(places, t.before, t.skip) / math.log(10)
+    at = np.flatnonzero(~sent)
+    none = Places(places.rank[at], np.full(len(at), UNKNOWN, np.int32), np.zeros(len(at), np.int32))
+    unknown = model.log_probabilities(none, t.before[at], t.skip[at]) / math.log(10)
+    gain = p[at] - np.log10(np.maximum(vocabulary.leaves[places.inner[at]], 1)) - unknown
+    p[at] = unknown
+    return [np.ones(len(sent)), (counts > 0).astype(float), base, p], [t.row[at], t.name[at].view(np.int64), t.twin[at].view(np.int64), gain]

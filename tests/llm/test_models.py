@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kvloom.llm import language_id, language_model, toxicity
@@ -110,6 +111,11 @@ def test_toxicity_edge_cases(spark, documents):
 # language model
 
 
+def tokens_of(text):
+    """bytes.split() breaks at the six white-space characters of the contract; the end token is empty."""
+    return [*(text or "").encode().lower().split(), b""]
+
+
 def trained(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 != 2
 
@@ -118,11 +124,11 @@ def check_scores(rows, got):
     counts = Counter()
     for i, t in rows:
         if trained(i):
-            counts.update(language_model.tokens_of(t))
+            counts.update(tokens_of(t))
     n, v = sum(counts.values()), len(counts)
     want = {}
     for i, t in rows:
-        tokens = language_model.tokens_of(t)
+        tokens = tokens_of(t)
         want.setdefault(i, []).append((len(tokens), sum(counts[w] > 0 for w in tokens), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens), 6)))
     have = {}
     for r in got:
@@ -136,7 +142,7 @@ def test_base_scores_are_exact(spark, documents, monkeypatch, sent):
     monkeypatch.setattr(language_model, "SENT", sent)
     r = random.Random(2)
     rows = [(i, " ".join(f"W{int(r.paretovariate(0.6))}" for _ in range(r.randint(0, 80)))) for i in range(150)]
-    rows += [(900, None), (901, ""), (None, "w1 unknown-word"), (3, rows[3][1]), (902, "w1 " * 20000), (903, "a\x0bb\x0cc\xa0d\nÉ")]
+    rows += [(900, None), (901, ""), (None, "w1 unknown-word"), (3, rows[3][1]), (902, "w1 " * 20000), (903, "a\x0bb\x0cc\xa0d\nÉ"), (904, "Z" * 9000 + " w1 " + "z" * 9000)]
     check_scores(rows, language_model.score_texts(documents(rows)).collect())
 
 
@@ -153,54 +159,126 @@ def test_model_beats_its_base_on_held_out_text(spark, documents):
     assert held and sum(x.score for x in held) > 0.9 * sum(x.base_score for x in held)
 
 
-def test_model_is_a_distribution():
-    r = np.random.default_rng(0)
-    counts = np.sort(r.integers(1, 500, 300))[::-1]
-    w = language_model.Weights.start(counts, 50.0)
-    w.outer += r.normal(0, 0.3, w.outer.shape).astype(np.float32)
-    w.inner += r.normal(0, 0.3, w.inner.shape).astype(np.float32)
-    ranks = np.r_[np.arange(len(counts)), -1]
-    p = np.exp(language_model.token_log_probabilities(w, ranks, np.full(len(ranks), 3), np.full(len(ranks), -1)))
-    assert p.sum() == pytest.approx(1, abs=0.02)  # classes without a word keep e**-80
-
-
-def test_steps_are_taken_at_every_position():
-    texts = ["a b c a b " * 150, None, "c b"] * 3
-    tokens = [t for x in texts for t in language_model.tokens_of(x)]
-    vocabulary = language_model.Vocabulary([b"a", b"b", b"c", b""], np.array([300, 300, 150, 9]))
-    steps = language_model.Steps(language_model.Weights.start(vocabulary.counts, 1.0))
-    language_model.learn_texts(steps, texts, vocabulary, 0)
-    assert steps.seen == len(tokens)
+def read(texts):
+    return list(language_model.read(pa.array(texts, pa.string())))
+
+
+@pytest.mark.parametrize("segment", [8, 64, 1 << 16])
+def test_reading_agrees_with_splitting(monkeypatch, segment):
+    monkeypatch.setattr(language_model, "SEGMENT", segment)
+    monkeypatch.setattr(language_model, "LONG", min(language_model.LONG, segment // 2))
+    monkeypatch.setattr(language_model, "_powers", [])
+    r = random.Random(segment)
+    texts = ["", None, " ", "a", "x" * 70 + " y", "  lead", "trail  \n", "A\tB\x0bC\x0cD\rE", "é\xa0ü É", None]
+    texts += ["".join(r.choice(" ab\nCé") for _ in range(r.randint(0, 200))) for _ in range(60)] + [""]
+    names, seen = {}, []
+    for t in read(texts):
+        seen += zip(t.row.tolist(), t.name.tolist(), t.twin.tolist(), t.before.tolist(), t.skip.tolist(), strict=True)
+    want = [(i, w) for i, x in enumerate(texts) for w in tokens_of(x)]
+    assert [x[0] for x in seen] == [i for i, _ in want]
+    for (_, name, twin, _, _), (_, w) in zip(seen, want, strict=True):
+        assert names.setdefault(w, (name, twin)) == (name, twin)
+    assert len(set(names.values())) == len(names)
+    for k, (i, _, _, before, skip) in enumerate(seen):
+        assert before == (seen[k - 1][1] if k >= 1 and seen[k - 1][0] == i else 0)
+        assert skip == (seen[k - 2][1] if k >= 2 and seen[k - 2][0] == i else 0)
+
+
+def test_tally_keeps_tokens_of_one_name_apart():
+    name, twin = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    got = language_model.tally(name, twin, np.array([1, 10, 100, 1000]))
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == [(5, 1, 101), (5, 2, 10), (9, 1, 1000)]
+    table = language_model.Names(name[:2], twin[:2])
+    assert table.ranks(name, twin).tolist() == [0, 1, 0, -1]
+
+
+def vocabulary(known, rare, unknown=2, seed=0):
+    """Known sent tokens, unknown sent ones, and as many that are not sent, with their counts."""
+    r = np.random.default_rng(seed)
+    name, twin = (r.integers(1, 1 << 62, known + unknown + rare).astype(np.uint64) for _ in range(2))
+    counts = np.r_[np.sort(r.integers(1, 500, known))[::-1], np.zeros(unknown, np.int64), r.integers(1, 5, rare)]
+    sent = known + unknown
+    leaves = np.bincount(language_model.leaf_of(twin[sent:]), weights=counts[sent:] + 1, minlength=language_model.LEAVES).astype(np.int64)
+    total = int(counts.sum() + known + rare + 1)
+    return language_model.Vocabulary(name[:sent], twin[:sent], counts[:sent], leaves, total), name, twin, counts
+
+
+def every_token(name, twin, before=7, skip=8):
+    n = len(name)
+    return language_model.Tokens(np.zeros(n, np.int64), name, twin, np.full(n, before, np.uint64), np.full(n, skip, np.uint64))
+
+
+@pytest.mark.parametrize(("known", "rare"), [(3, 0), (100, 0), (700, 900), (0, 5)])
+def test_model_is_a_distribution_and_starts_as_the_base(known, rare):
+    v, name, twin, counts = vocabulary(known, rare)
+    model, t = language_model.Model.start(v), every_token(name, twin)
+    for noise in (0.0, 0.4):
+        model.weights += np.random.default_rng(1).normal(0, noise, model.weights.shape).astype(np.float32)
+        (_, _, base, p), (_, _, _, gain) = language_model.scores_of(t, v, model)
+        p, sent = 10.0**p, len(v.counts)
+        p[sent:] *= 10.0**gain * (counts[sent:] + 1)
+        if not noise:
+            assert p == pytest.approx((counts + 1) / v.total, rel=1e-4)
+            assert 10.0 ** base[:sent] == pytest.approx((counts[:sent] + 1) / v.total)
+        unknown = 10.0 ** language_model.scores_of(every_token(np.array([1], np.uint64), np.array([1], np.uint64)), v, model)[0][3]
+        assert p[counts > 0].sum() + unknown[0] == pytest.approx(1, abs=1e-3)
+        assert p[known : known + 2] == pytest.approx(unknown[0])
+
+
+def test_scores_agree_with_softmaxes_one_by_one():
+    v, name, twin, _ = vocabulary(900, 300)
+    model = language_model.Model.start(v)
+    model.weights += np.random.default_rng(2).normal(0, 0.4, model.weights.shape).astype(np.float32)
+    t = every_token(name, twin)
+    places = v.places(t)
+    got = model.log_probabilities(places, t.before, t.skip)
+    f = [int(x[0]) for x in language_model.features(t.before[:1], t.skip[:1])]
+    b = language_model.BRANCHES
+
+    def number(k, before):
+        """Nodes: the root, then class by class the inner nodes level by level."""
+        classes, digits = [int(language_model.DIGITS[i]) for i in range(b)], len(before)
+        return 1 + sum((b**d - 1) // (b - 1) for d in classes[:k]) + (b**digits - 1) // (b - 1) + int("".join(map(str, before)) or "0", b)
+
+    for i in range(0, len(name), 7):
+        k, code = int(places.class_[i]), int(places.inner[i])
+        digits = [code // b**j % b for j in reversed(range(language_model.DIGITS[k]))]
+        path = [(0, int(language_model.BRANCH[k]))] + [(number(int(language_model.BRANCH[k]), digits[:j]), d) for j, d in enumerate(digits)]
+        want = 0.0
+        for node, branch in path:
+            z = model.bias[node].astype(float)
+            for x in f:
+                z = z + model.weights[((x ^ (node * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - language_model.WEIGHT_BITS)]
+            want += z[branch] - math.log(np.exp(z).sum())
+        assert got[i] == pytest.approx(want, abs=1e-4)
+
+
+def test_steps_are_taken_at_every_position_and_lower_the_loss():
+    texts = pa.array(["a b c a b " * 150, None, "c b"] * 3)
+    tokens = [t for x in texts.to_pylist() for t in tokens_of(x)]
+    parts = [language_model.tally(t.name, t.twin, np.ones(len(t.row), np.int64)) for t in language_model.read(texts)]
+    name, twin, counts = language_model.tally(*map(np.concatenate, zip(*parts, strict=True)))
+    order = np.argsort(-counts, kind="stable")
+    v = language_model.Vocabulary(name[order], twin[order], counts[order], np.zeros(language_model.LEAVES, np.int64), len(tokens) + 5)
+    start = language_model.Model.start(v)
+    steps = language_model.Steps(start)
+    loss = lambda m: -sum(language_model.scores_of(t, v, m)[0][3].sum() for t in language_model.read(texts))
+    for turn in range(1, 4):
+        steps.learn(texts, v)
+        assert steps.seen == turn * len(tokens)
+    assert loss(steps.model) < 0.7 * loss(start)
 
 
 def test_words_that_are_not_sent_keep_their_identity_as_history():
-    texts = ["rare0 a", "rare1 b", None]
-    p = language_model.Vocabulary([b"a", b"b", b""], np.array([2, 2, 3])).read(texts)
-    assert p.rank.tolist() == [-1, 0, 2, -1, 1, 2, 2] and p.rest == [b"rare0", b"rare1"]
-    whole = language_model.Vocabulary([b"a", b"b", b"", b"rare0", b"rare1"], np.array([2, 2, 3, 1, 1])).read(texts)
-    f, g = language_model.features(p.before, p.skip), language_model.features(whole.before, whole.skip)
-    assert (f == g).all() and (f[1] != f[4]).any() and (f[0] == f[6]).all()
+    a, b = read(["rare0 a", "rare1 a"])[0], read(["rare0 a"])[0]
+    f, g = np.stack(language_model.features(a.before, a.skip)), np.stack(language_model.features(b.before, b.skip))
+    assert (f[:, :3] == g).all() and (f[:, 1] != f[:, 4]).any() and (f[:, 0] == f[:, 3]).all()
 
 
-def test_tail_is_a_distribution():
-    r = np.random.default_rng(1)
-    mass = np.zeros(language_model.LEAVES)
-    leaves = language_model.leaves_of([b"t%d" % i for i in range(3000)])
-    np.add.at(mass, leaves, 3.0)
-    tail, w = language_model.Tail.of(mass), language_model.Weights.start(np.array([5]), mass.sum() + 1)
-    names = np.unique(leaves)
-    at = lambda x: np.full(len(names), x, np.uint64)
-    path, unknown = language_model.tail_log_probabilities(w, tail, names, at(3), at(4))
-    assert np.exp(path) == pytest.approx(mass[names] / (mass.sum() + 1), rel=1e-4) and np.exp(unknown[0]) == pytest.approx(1 / (mass.sum() + 1), rel=1e-4)
-    w.tail += r.normal(0, 0.3, w.tail.shape).astype(np.float32)
-    path, unknown = language_model.tail_log_probabilities(w, tail, names, at(3), at(4))
-    assert np.exp(path).sum() + np.exp(unknown[0]) == pytest.approx(1, abs=1e-3)
-
-
-@pytest.mark.parametrize("sent", [1 << 19, 2500])
-def test_features_tell_words_of_the_tail_apart(spark, documents, monkeypatch, sent):
+@pytest.mark.parametrize("sent", [1 << 20, 2500])
+def test_features_tell_rare_words_apart(spark, documents, monkeypatch, sent):
     monkeypatch.setattr(language_model, "SENT", sent)
-    # more words than HEAD before the pairs, which are of equal counts: only their histories tell them apart
+    # more words than are sent before the pairs, which are of equal counts: only their histories tell them apart
     head = [(1000 + i, " ".join(f"h{j}" for j in range(i % 5, 2500, 5)) + " " + " ".join(f"h{j}" for j in range(i % 5, 2500, 5))) for i in range(300)]
     pairs = [(i, " ".join(f"x{j} y{j}" for j in random.Random(i).sample(range(40), 40))) for i in range(50)]
     seen = next(i for i in range(5000, 6000) if not trained(i))
@@ -211,6 +289,13 @@ def test_features_tell_words_of_the_tail_apart(spark, documents, monkeypatch, se
     assert got[seen].score > got[unseen].score + 4
 
 
+def test_model_beats_its_base_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = [r for r in language_model.score_texts(docs).collect() if r.held_out]
+    better = sum(r.score > r.base_score for r in held)
+    assert better >= 0.9 * len(held) and sum(r.score for r in held) > 0.98 * sum(r.base_score for r in held)
+
+
 def test_no_training_text(spark, documents):
     held = next(i for i in range(100) if not trained(i))
     got = language_model.score_texts(documents([(held, "a b")])).collect()
