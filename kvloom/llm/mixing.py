@@ -9,13 +9,18 @@ cap / weight, the clamped sources are a prefix.
 Sampling: a document is taken ``floor(target / source_size)`` times whole; the
 remaining fraction of an epoch is a seeded random order of the source's
 documents, taken until the remainder is reached (a document whose midpoint
-lies within it is taken).  The order is that of ``md5(seed, id)``.  Running
-sums are made in two levels, over ``16 ** BUCKET_DIGITS`` buckets a source and
-inside each bucket, so no task holds a whole source.
-
-Cases: null text has size 0 and takes 0; the null source is a source of its
-own and comes last; with all sizes 0 every target is 0; rows that repeat an id
-are taken separately; an empty table gives an empty result.
+lies within it is taken).  The order is that of ``md5(seed, id, text)``, in which
+rows tie only if id and text are equal, so that reruns agree.  What is taken is
+a prefix of the order, so one place a source, the cut, decides every row: sums
+over ``16 ** BUCKET_DIGITS`` buckets of places find the bucket of the cut, and
+only that bucket is sorted.  Rows are never shuffled.
+
+Cases: null text has size 0 and takes 0, and no document, empty ones included,
+is repeated more than ``max_epochs`` times; the null source is a source of its
+own and comes last; with all sizes 0 every target is 0; null ids are ordered by
+their texts; rows that repeat an id are taken separately, and rows that repeat
+id and text are taken or left together; a text of any length is one row; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from kvloom.llm.common import WORD_RUN, broadcast_if, materialize
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
-BUCKET_DIGITS = 3
+BUCKET_DIGITS = 4
 MOST_SOURCES_SENT = 100_000
 
 
@@ -63,45 +68,53 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
 
 def _measured(docs: DataFrame, text: str, doc_id: str, source: str, seed: str) -> DataFrame:
-    """``docs`` with __kv_id, __kv_source, __kv_size and __kv_place, the seeded random place."""
-    key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    return docs.withColumns(
-        {"__kv_id": F.col(doc_id), "__kv_source": F.col(source), "__kv_size": word_count(F.col(text)), "__kv_place": key}
-    ).withColumn("__kv_bucket", F.substring("__kv_place", 1, BUCKET_DIGITS))
-
-
-def _taken(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
-    """``rows``, as _measured() gives them, with source_size, target and taken; ``sized`` has the measures of the same rows."""
-    totals = sized.groupBy(F.col("__kv_source").alias("source")).agg(F.sum("__kv_size").alias("source_size"))
-    targets = materialize(source_targets(totals, weights, max_epochs), "targets").select(
-        F.col("source_no").alias("__kv_no"), F.col("source").alias("__kv_name"), F.col("source_size").alias("__kv_total"), F.col("target").alias("__kv_target")
+    """``docs`` with __kv_source, __kv_size and __kv_place, the seeded random place."""
+    of = [F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))]
+    return docs.withColumns({"__kv_source": F.col(source), "__kv_size": word_count(F.col(text)), "__kv_place": F.md5(F.concat_ws("|", *of))})
+
+
+def _decided(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """``rows``, as _measured() gives them, with __kv_total, __kv_target and __kv_repeats; ``sized`` has the measures of the same rows."""
+    bucket = F.substring("__kv_place", 1, BUCKET_DIGITS)
+    held = materialize(sized.groupBy(F.col("__kv_source").alias("source"), bucket.alias("bucket")).agg(F.sum("__kv_size").alias("held")), "buckets")
+    totals = held.groupBy("source").agg(F.sum("held").alias("source_size"))
+    targets = source_targets(totals, weights, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    targets = materialize(targets.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+    count, none = targets.count(), F.lit(0).cast("long")
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.withColumn("start", F.coalesce(F.sum("held").over(earlier), none)).withColumnRenamed("source", "of")
+    at_cut = (
+        starts.join(broadcast_if(targets, count, MOST_SOURCES_SENT), F.col("of").eqNullSafe(F.col("source")))
+        .where(F.col("start") <= F.col("left"))
+        .groupBy("source_no", "source", "left")
+        .agg(F.max(F.struct("bucket", "start")).alias("last"))
+        .select("source_no", "source", "left", F.col("last.bucket").alias("bucket"), F.col("last.start").alias("start"))
     )
-    sent = broadcast_if(targets, targets.count(), MOST_SOURCES_SENT)
-    same_source = F.col("__kv_source").eqNullSafe(F.col("__kv_name"))
-    earlier = Window.partitionBy("__kv_no").orderBy("__kv_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    none = F.lit(0).cast("long")
-    starts = (
-        sized.join(sent, same_source)
-        .groupBy("__kv_no", "__kv_bucket")
-        .agg(F.sum("__kv_size").alias("__kv_held"))
-        .select("__kv_no", "__kv_bucket", F.coalesce(F.sum("__kv_held").over(earlier), none).alias("__kv_before"))
+    at_cut = materialize(at_cut, "cuts")
+    inside = Window.partitionBy("source_no").orderBy("__kv_place", "__kv_size").rowsBetween(Window.unboundedPreceding, -1)
+    middle = F.col("start") + F.coalesce(F.sum("__kv_size").over(inside), none) + F.col("__kv_size") / F.lit(2.0)
+    cuts = (
+        sized.join(broadcast_if(at_cut, count, MOST_SOURCES_SENT), F.col("__kv_source").eqNullSafe(F.col("source")) & (bucket == F.col("bucket")))
+        .withColumn("middle", middle)
+        .groupBy("source_no", "bucket")
+        .agg(F.max(F.when(F.col("middle") <= F.col("left"), F.col("__kv_place"))).alias("place"))
+        .select("source_no", F.coalesce("place", "bucket").alias("__kv_cut"))
     )
-    inside = Window.partitionBy("__kv_no", "__kv_bucket").orderBy("__kv_place", "__kv_id").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("__kv_before") + F.coalesce(F.sum("__kv_size").over(inside), none)
-    whole = F.when(F.col("__kv_total") > 0, F.floor(F.col("__kv_target") / F.col("__kv_total"))).otherwise(none)
-    extra = F.col("__kv_start") + F.col("__kv_size") / F.lit(2.0) <= F.col("__kv_target") - F.col("__kv_whole") * F.col("__kv_total")
-    return (
-        rows.join(sent, same_source)
-        .join(starts, ["__kv_no", "__kv_bucket"])
-        .withColumns({"__kv_start": start, "__kv_whole": whole})
-        .withColumn("__kv_repeats", (F.col("__kv_whole") + F.when(extra, 1).otherwise(0)).cast("long"))
+    sources = materialize(targets.join(cuts, "source_no", "left"), "sources").select(
+        F.col("source").alias("__kv_name"), F.col("source_size").alias("__kv_total"), F.col("target").alias("__kv_target"), F.col("whole").alias("__kv_whole"), "__kv_cut"
+    )
+    extra = (F.col("__kv_place") <= F.col("__kv_cut")) & (F.col("__kv_whole") < max_epochs)
+    return rows.join(broadcast_if(sources, count, MOST_SOURCES_SENT), F.col("__kv_source").eqNullSafe(F.col("__kv_name"))).withColumn(
+        "__kv_repeats", F.col("__kv_whole") + F.when(extra, 1).otherwise(0)
     )
 
 
 def mix_plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken."""
-    sized = materialize(_measured(docs, text, doc_id, source, seed).select("__kv_id", "__kv_source", "__kv_size", "__kv_place", "__kv_bucket"), "sizes")
-    return _taken(sized, sized, weights, max_epochs).select(
+    measured = _measured(docs, text, doc_id, source, seed)
+    sized = materialize(measured.select(F.col(doc_id).alias("__kv_id"), "__kv_source", "__kv_size", "__kv_place"), "sizes")
+    return _decided(sized, sized, weights, max_epochs).select(
         F.col("__kv_id").alias("doc_id"),
         F.col("__kv_source").alias("source"),
         F.col("__kv_size").alias("size"),
@@ -117,10 +130,10 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     Input columns of those four names are replaced.
     """
     measured = _measured(docs, text, doc_id, source, seed)
-    sized = materialize(measured.select("__kv_source", "__kv_size", "__kv_bucket"), "sizes")
+    sized = materialize(measured.select("__kv_source", "__kv_size", "__kv_place"), "sizes")
     own = ["mix_size", "mix_target", "mix_taken", "mix_repeats"]
     return (
-        _taken(measured, sized, weights, max_epochs)
+        _decided(measured, sized, weights, max_epochs)
         .where(F.col("__kv_repeats") > 0)
         .select(
             *[F.col(c) for c in docs.columns if c not in own],

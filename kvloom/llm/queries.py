@@ -129,7 +129,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                   md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+                   md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS place
             FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_no FROM s),
@@ -144,11 +144,11 @@ ORACLE_SQL: dict[str, str] = {
                    CASE WHEN l.free IS NULL OR CAST(l.free AS DOUBLE) * o.weight / l.open > o.cap THEN CAST(o.cap AS DOUBLE) ELSE CAST(l.free AS DOUBLE) * o.weight / l.open END AS target
             FROM o LEFT JOIN l ON TRUE),
         p AS (
-            SELECT d.doc_id, d.size, t.source_size, t.target,
+            SELECT d.doc_id, d.source, d.place, d.size, t.source_size, t.target,
                    CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
-                   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+                   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target,
-               CAST(size * (whole + CASE WHEN CAST(start AS DOUBLE) + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+               CAST(size * (whole + CASE WHEN bool_or(CAST(start AS DOUBLE) + size / 2.0 <= target - whole * source_size) OVER (PARTITION BY source, place) THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM p""",
 }

@@ -52,9 +52,8 @@ def test_groups_with_few_counters(spark, documents):
 
 def test_heavy_digests_are_found(spark, documents):
     docs = documents([(i, "hot" if i % 3 == 0 else f"text {i}") for i in range(3000)])
-    digests = docs.select("doc_id", exact_dedup.digest(docs.text).alias("text_sha256"))
-    heavy = exact_dedup.heavy_groups(digests, 0.1).collect()
-    assert [(r.heavy_id, r.heavy_size) for r in heavy] == [(0, 1000)]
+    heavy = exact_dedup.heavy_groups(exact_dedup._digests(docs, "text", "doc_id"), 0.1).collect()
+    assert [(r.keep.id, r["size"]) for r in heavy] == [(0, 1000)]
 
 
 def test_filter_keeps_rows_unchanged(spark, documents):
@@ -64,6 +63,13 @@ def test_filter_keeps_rows_unchanged(spark, documents):
     assert sorted(normal(r.text) for r in kept.collect()) == sorted(expected())
 
 
+def test_filter_with_repeated_rows_and_without_a_broadcast(spark, documents, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_SENT", 0)
+    rows = [(1, "a b"), (1, "a b"), (1, "a  b"), (2, "a b"), (None, "c"), (None, "c"), (3, "d"), (4, "d"), (4, "d")]
+    kept = exact_dedup.drop_exact_copies(documents(rows), support=0.9).collect()
+    assert sorted((str(r.doc_id), normal(r.text)) for r in kept) == [("1", "a b"), ("3", "d"), ("None", "c")]
+
+
 def test_empty_table(spark, documents):
     assert exact_dedup.exact_groups(documents([])).count() == 0
     assert exact_dedup.drop_exact_copies(documents([])).count() == 0

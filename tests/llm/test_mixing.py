@@ -27,6 +27,10 @@ def fill(sizes: dict, weights=(5, 2, 1), epochs=3) -> dict:
         clamped |= {s: epochs * sizes[s] for s in over}
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def expected(rows):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes: dict = {}
@@ -34,7 +38,7 @@ def expected(rows):
         sizes[s] = sizes.get(s, 0) + size(t)
     target, out = fill(sizes), {}
     for source in sizes:
-        place = lambda r: (hashlib.md5(f"mix-1|{r[0]}".encode()).hexdigest(), r[0])
+        place = lambda r: md5(f"mix-1|{r[0]}|{md5(r[1] or '')}")
         start, whole = 0, int(target[source] // sizes[source]) if sizes[source] else 0
         for r in sorted((r for r in rows if r[3] == source), key=place):
             n = size(r[1])
@@ -78,6 +82,20 @@ def test_mix_keeps_columns_and_taken_rows(spark, documents):
     assert mix.where("mix_repeats = 0").count() == 0
 
 
+def test_partitioning_does_not_matter_when_ids_repeat_or_are_null(spark, documents):
+    r = random.Random(5)
+    rows = [(r.choice([None, i % 40]), f"text {r.randint(0, 500)} " * r.randint(0, 9), "en", r.choice("ab")) for i in range(2000)]
+    docs = documents(rows)
+    one, two = (sorted((tuple(x) for x in mixing.mix_plan(d).collect()), key=str) for d in (docs.repartition(3), docs.repartition(11, "text")))
+    assert one == two
+
+
+def test_no_document_goes_over_the_most_epochs(spark, documents):
+    rows = [(1, "", "en", "a"), (2, None, "en", "a"), (3, " ", "en", "a"), (4, "w", "en", "a"), *[(10 + i, "w " * 50, "en", "b") for i in range(9)]]
+    got = {r.doc_id: r.mix_repeats for r in mixing.mix(documents(rows)).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == [3, 3, 3, 3] and max(got.values()) == 3
+
+
 def test_empty_and_wordless_tables(spark, documents):
     assert mixing.mix_plan(documents([])).count() == 0
     got = mixing.mix_plan(documents([(1, None, None, "a"), (2, " ", None, None)])).collect()
