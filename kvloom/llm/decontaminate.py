@@ -4,11 +4,12 @@ Test items are short and documents long, so a symmetric sketch of whole
 documents cannot find them.  The search is for containment instead:
 
 1. Items are partitioned by size, class c holding 2**c to 2**(c+1) - 1 distinct
-   shingles.  The MinHash sketch of an item is its ``SKETCH`` smallest shingle
-   hashes; items of the classes below that size are their own sketch.  Each
-   class has its own least number of sketch hits: the sketch size times the
-   threshold, less ``MARGIN`` standard deviations of the estimate where the
-   sketch is a sample.
+   shingles.  The MinHash sketch of an item is its smallest shingle hashes; each
+   class has its own sketch size, ``HITS`` more than a contained item of the
+   class can miss: of an item of n shingles that is contained by the threshold
+   t at least, (1 - t) n shingles are missing at most.  So a document that
+   contains it holds ``HITS`` of the sketch at least (for small items, whose
+   sketch is the whole item, t n): no item is lost by sketching.
 2. One pass over the documents probes the distinct shingles of every whole text
    in the sketches.  Hits are counted map-side for each (document, item); pairs
    with enough hits are candidates.
@@ -16,8 +17,8 @@ documents cannot find them.  The search is for containment instead:
    |D & I| / |I| decides.
 
 Cases: null text or an item without a word matches nothing; an item under five
-words is one shingle of all its words; rows that repeat id and text are one
-document; a null id is an id of its own; equal items all match; an empty
+words is one shingle of all its words; texts of any length are probed whole;
+rows that repeat id and text are one document; a null id is an id of its own; equal items all match; an empty
 table of either kind gives an empty result.
 """
 
@@ -29,8 +30,7 @@ from pyspark.sql import functions as F
 from kvloom.llm.common import broadcast_if, materialize
 from kvloom.llm.shingles import SIMILAR, WORDS, shingle_hashes, word_hashes
 
-SKETCH = 32
-MARGIN = 4
+HITS = 12
 MOST_SENT = 1_000_000
 
 
@@ -46,13 +46,13 @@ def item_shingles(items: DataFrame, text: str = "text", item_id: str = "item_id"
     )
 
 
-def sketches(shingles: DataFrame, threshold: float, size: int = SKETCH) -> DataFrame:
+def sketches(shingles: DataFrame, threshold: float, hits: int = HITS) -> DataFrame:
     """(item_id, item_body, h, need): the sketch of every item, and the hits that make a candidate."""
     lists = shingles.groupBy("item_id", "item_body", "n_item").agg(F.sort_array(F.collect_list("h")).alias("all"))
-    whole = F.floor(F.log2("n_item")) < F.lit(size.bit_length() - 1)  # the size class
-    spread = MARGIN * (size * threshold * (1 - threshold)) ** 0.5
-    need = F.when(whole, F.ceil(F.col("n_item") * threshold - 1e-9)).otherwise(F.lit(max(1, int(size * threshold - spread))))
-    return lists.select("item_id", "item_body", need.cast("long").alias("need"), F.explode(F.when(whole, F.col("all")).otherwise(F.slice("all", 1, size))).alias("h"))
+    largest = F.pow(F.lit(2.0), F.floor(F.log2("n_item")) + 1) - 1  # of the size class
+    size = F.least(F.col("n_item"), F.floor((1 - threshold) * largest + 1e-9) + hits).cast("int")
+    need = F.greatest(F.lit(1), size - F.floor((1 - threshold) * F.col("n_item") + 1e-9))
+    return lists.select("item_id", "item_body", need.cast("long").alias("need"), F.explode(F.slice("all", F.lit(1), size)).alias("h"))
 
 
 def _probed(docs: DataFrame, widths: list[int]) -> DataFrame:

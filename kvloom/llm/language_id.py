@@ -1,8 +1,7 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
 Profile: the trigrams of a language are those with a relative frequency of at
-least ``FLOOR`` in its training texts (so at most ``1 / FLOOR`` of them) and of
-at least ``SHARE`` of the highest frequency any language gives them.
+least ``FLOOR`` in its training texts (so at most ``1 / FLOOR`` of them).
 
 Filter: one table of ``SLOTS`` rows; a row holds one bit a language, so one
 probe at ``HASHES`` rows, combined by AND, returns the bitmask of all languages
@@ -19,8 +18,10 @@ by a hash of the id.
 
 Cases: a null text or one without a letter is ``und`` with score 0, and so is
 every text if nothing could be learned; null or empty languages and null ids
-are not learned from; texts of any length are read whole; an empty table gives
-an empty result.
+are not learned from; more than ``MOST_LANGUAGES`` languages are an error (the
+filter grows by 8 MB for each 64 of them); texts of any length are read whole,
+in pieces whose counts are added; rows that repeat are judged separately, and
+learned from as often as they occur; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,12 +41,11 @@ from kvloom.llm.shingles import mix64
 UNDETERMINED = "und"
 GRAM = 3
 FLOOR = 1e-5
-SHARE = 0.25
 SLOTS = 1 << 20
 HASHES = 3
 MOST_TEXTS = 4_000
 CHUNK_CHARS = 4_000_000
-MOST_LANGUAGES = 10_000
+MOST_LANGUAGES = 1_024
 
 
 @functools.cache
@@ -58,22 +58,20 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text row, trigram) of all texts, in order, and which texts have a letter.
 
     Letters are lower-cased; everything else is one blank, and a blank is put
-    at both ends.  Trigrams that hold two neighbouring blanks are left out.
+    at both ends.  Trigrams with a blank in the middle are left out, so that
+    none reaches over a blank.
     """
     lowered = [x.lower() for x in texts]
     lengths = np.array([len(x) for x in lowered], np.int64)
     codes = np.frombuffer((" " + "  ".join(lowered) + " ").encode("utf-32-le"), "<u4")
     kind = _letters()[codes]
     codes = np.where(kind > 0, codes, np.uint32(32)).astype(np.uint64)
-    starts = np.cumsum(lengths + 2) - (lengths + 2)
     lettered = np.zeros(len(texts), bool)
     row = np.repeat(np.arange(len(texts)), lengths + 2)
     lettered[row[kind == 2]] = True
     blank = codes == 32
-    double = blank[1:] & blank[:-1]
-    ok = ~(double[:-1] | double[1:])
+    ok = ~blank[1:-1]
     gram = (codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:]
-    del starts
     return row[:-2][ok], gram[ok], lettered
 
 
@@ -126,32 +124,44 @@ class Profiles:
         return out, lettered
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        languages, scores = [], []
-        for part in _parts(texts):
-            if not self.languages:
-                languages += [UNDETERMINED] * len(part)
-                scores.append(np.zeros(len(part)))
-                continue
-            counts, lettered = self.corrected(part)
-            counts = np.maximum(counts, 0)
-            best, total = counts.argmax(axis=1), counts.sum(axis=1)
-            share = np.where(total > 0, counts.max(axis=1) / np.maximum(total, 1e-300), 1 / len(self.languages))
-            languages += [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
-            scores.append(np.where(lettered, share, 0.0))
-        return languages, np.concatenate(scores) if scores else np.zeros(0)
+        counts, lettered = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool)
+        if not self.languages:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        for of, part in _parts(texts):
+            found, letters = self.corrected(part)
+            np.add.at(counts, of, found)
+            lettered[of[letters]] = True
+        counts = np.maximum(counts, 0)
+        best, total = counts.argmax(axis=1), counts.sum(axis=1)
+        share = np.where(total > 0, counts.max(axis=1) / np.maximum(total, 1e-300), 1 / len(self.languages))
+        return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, share, 0.0)
+
+
+def _pieces(text: str):
+    """The text in pieces of CHUNK_CHARS at most, cut behind the last character that is no letter (a longer run of letters is cut where it is full)."""
+    start = 0
+    while len(text) - start > CHUNK_CHARS:
+        kind = _letters()[np.frombuffer(text[start : start + CHUNK_CHARS].encode("utf-32-le"), "<u4")]
+        blank = np.flatnonzero(kind == 0)
+        stop = start + (int(blank[-1]) + 1 if len(blank) else CHUNK_CHARS)
+        yield text[start:stop]
+        start = stop
+    yield text[start:]
 
 
 def _parts(texts: list[str]):
-    """Runs of texts of about CHUNK_CHARS; a longer text is a run of its own."""
-    part, size = [], 0
-    for x in texts:
-        if part and size + len(x) > CHUNK_CHARS:
-            yield part
-            part, size = [], 0
-        part.append(x)
-        size += len(x)
+    """Lists of pieces of about CHUNK_CHARS, with the numbers of their texts."""
+    of, part, size = [], [], 0
+    for i, text in enumerate(texts):
+        for piece in _pieces(text):
+            if part and size + len(piece) > CHUNK_CHARS:
+                yield np.array(of, np.int64), part
+                of, part, size = [], [], 0
+            of.append(i)
+            part.append(piece)
+            size += len(piece)
     if part:
-        yield part
+        yield np.array(of, np.int64), part
 
 
 def learn(training: DataFrame, most_texts: int = MOST_TEXTS) -> Profiles:
@@ -170,11 +180,9 @@ def learn(training: DataFrame, most_texts: int = MOST_TEXTS) -> Profiles:
     def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found = []
         names = np.array([numbers[x] for x in batch.column(0).to_pylist()], np.int64)
-        texts, at = [x or "" for x in batch.column(1).to_pylist()], 0
-        for part in _parts(texts):
+        for of, part in _parts([x or "" for x in batch.column(1).to_pylist()]):
             row, gram, _ = grams(part)
-            language = names[at + row]
-            at += len(part)
+            language = names[of[row]]
             for i in np.unique(language):
                 g, n = np.unique(gram[language == i], return_counts=True)
                 found.append((np.full(len(g), i, np.int32), g.view(np.int64), n))
@@ -185,8 +193,7 @@ def learn(training: DataFrame, most_texts: int = MOST_TEXTS) -> Profiles:
     counts = materialize(map_batches(chosen, [F.col("lang"), F.col("text")], count, schema).groupBy("language", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
     rates = counts.join(F.broadcast(totals), "language").withColumn("rate", F.col("n") / F.col("total"))
-    top = rates.groupBy("gram").agg(F.max("rate").alias("top")).where(F.col("top") >= FLOOR)
-    kept = rates.where(F.col("rate") >= FLOOR).join(top, "gram").where(F.col("rate") >= SHARE * F.col("top")).select("language", "gram")
+    kept = rates.where(F.col("rate") >= FLOOR).select("language", "gram")
     profiles = Profiles(languages)
     for language, gram in kept.groupBy("language").agg(F.collect_list("gram")).toLocalIterator():  # at most 1 / FLOOR n-grams a language
         profiles.insert(language, np.array(gram, np.int64).view(np.uint64))

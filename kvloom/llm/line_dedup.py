@@ -7,15 +7,24 @@
 2. Repeated keys are dealt to shards of about ``SHARD_KEYS`` keys by hash; each
    shard becomes a minimal perfect hash (levels of collision-free bits with
    ranks) that indexes arrays of fingerprints, counts and keeping documents.
+   Keys whose first halves are equal are told apart: the second and further
+   ones lie in a short list beside the arrays.
 3. Documents probe the arrays; lines are never joined or moved.
 
 The arrays are broadcast only up to ``MOST_KEYS`` keys (25 bytes each).  Beyond
-that bound the hashes of lines are dealt to the shards and probe them there.
+that bound a Bloom filter of the repeated keys (bounded by ``FILTER_BYTES``; a
+larger set only passes more) is broadcast, so that lines which are not repeated
+stay where they are, and the arrays of the most frequent keys, so that no shard
+is hot; the hashes of the other lines are dealt to the shards and probe them
+there.
+
+Documents are compared by id; ids that are not integers are numbered in their
+order first.
 
 Cases: null text is one empty line; keys under ``MIN_POINTS`` code points
 always stay; all rows with a null id count as one document that sorts last;
-rows that repeat an id count as one document; an empty table gives an empty
-result.
+rows that repeat an id count as one document; a text of any length is split
+whole, in time proportional to its lines; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,12 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvloom.llm.common import WHITE, map_batches, materialize
+from kvloom.llm.common import WHITE, broadcast_if, map_batches, materialize
 
 MIN_POINTS = 10
 SHARD_KEYS = 1 << 16
 MOST_KEYS = 2_000_000
 HEAVY = 100_000
+FILTER_BYTES = 1 << 26
+FILTER_BITS = 12
+LINES_A_SHARD = 4_000_000
 GAMMA = 2.0
 LAST = np.iinfo(np.int64).max
 _STRIP = WHITE.encode()
@@ -119,12 +131,17 @@ class PerfectHash:
 
 
 def pack_shard(h1: np.ndarray, h2: np.ndarray, keep: np.ndarray, count: np.ndarray) -> bytes:
+    _, first = np.unique(h1, return_index=True)
+    more = np.ones(len(h1), bool)
+    more[first] = False
+    besides = {"more1": h1[more], "more2": h2[more], "more_keep": keep[more]}
+    h1, h2, keep, count = h1[first], h2[first], keep[first], count[first]
     function = PerfectHash.build(h1)
     at = function.index(h1)
     arrays = {"fingerprint": np.empty_like(h2), "keep": np.empty_like(keep), "count": np.empty(len(h1), np.uint32)}
     arrays["fingerprint"][at], arrays["keep"][at], arrays["count"][at] = h2, keep, np.minimum(count, 0xFFFFFFFF)
     arrays |= {f"bits{i}": x for i, x in enumerate(function.bits)} | {f"ranks{i}": x for i, x in enumerate(function.ranks)}
-    np.savez(out := io.BytesIO(), **arrays)
+    np.savez(out := io.BytesIO(), **arrays, **besides)
     return out.getvalue()
 
 
@@ -145,7 +162,7 @@ class Shards:
             else:
                 z = np.load(io.BytesIO(raw))
                 n = sum(k.startswith("bits") for k in z.files)
-                self.open[i] = PerfectHash([z[f"bits{j}"] for j in range(n)], [z[f"ranks{j}"] for j in range(n)]), {k: z[k] for k in ("fingerprint", "keep", "count")}
+                self.open[i] = PerfectHash([z[f"bits{j}"] for j in range(n)], [z[f"ranks{j}"] for j in range(n)]), {k: z[k] for k in ("fingerprint", "keep", "count", "more1", "more2", "more_keep")}
         return self.open[i]
 
     def keepers(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -161,6 +178,8 @@ class Shards:
             rows, at = rows[known], at[known]
             same = found[1]["fingerprint"][at] == h2[rows]
             out[rows[same]] = found[1]["keep"][at[same]]
+            for a, b, k in zip(found[1]["more1"], found[1]["more2"], found[1]["more_keep"], strict=True):  # keys of equal first halves, hardly any
+                out[(h1 == a) & (h2 == b)] = k
         return out
 
 
@@ -197,8 +216,7 @@ def packed_shards(repeated: DataFrame, log_shards: int) -> DataFrame:
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         h1, h2 = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
-        _, first = np.unique(h1, return_index=True)  # two keys with equal first halves: 2**-64 a pair; the first is kept
-        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "packed": [pack_shard(h1[first], h2[first], rows["keep"].to_numpy()[first], rows["lines"].to_numpy()[first])]})
+        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "packed": [pack_shard(h1, h2, rows["keep"].to_numpy(), rows["lines"].to_numpy())]})
 
     shard = F.shiftrightunsigned("h1", 64 - log_shards).cast("int") if log_shards else F.lit(0)
     return repeated.withColumn("shard", shard).groupBy("shard").applyInPandas(pack, "shard int, packed binary")
@@ -210,56 +228,106 @@ def build_shards(repeated: DataFrame, keys: int) -> Shards:
     return Shards({r.shard: bytes(r.packed) for r in packed_shards(repeated, log_shards).collect()}, log_shards)
 
 
+def _numbered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, text, id): id is a long in the order of doc_id, null where doc_id is."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if isinstance(docs.schema[doc_id].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return rows.withColumn("id", F.col("doc_id").cast("long"))
+    ids = materialize(rows.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy("doc_id").select(F.col("doc_id").alias("of"), F.monotonically_increasing_id().alias("id")), "ids")
+    return rows.join(broadcast_if(ids, ids.count(), MOST_KEYS), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "id")
+
+
+def _kept(lines: list[list[bytes]], row: np.ndarray, number: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Of each text, how many lines are dropped, and the others; (row, number) are the dropped lines."""
+    dropped: list[set[int]] = [set() for _ in lines]
+    for i, j in zip(row.tolist(), number.tolist(), strict=True):
+        dropped[i].add(j)
+    kept = [b"\n".join(x for j, x in enumerate(parts) if j not in out) if out else b"\n".join(parts) for parts, out in zip(lines, dropped, strict=True)]
+    return [len(x) for x in dropped], kept
+
+
+def _result(doc_id: pa.Array, lines: list[list[bytes]], row: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    n, kept = _kept(lines, row, number)
+    return pa.record_batch([doc_id, pa.array([len(x) for x in lines], pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
+
+
 def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_points: int = MIN_POINTS, most_keys: int = MOST_KEYS) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, kept_text."""
-    repeated = materialize(repeated_lines(docs, text, doc_id, min_points), "lines")
+    rows = _numbered(docs, text, doc_id)
+    repeated = materialize(repeated_lines(rows, "text", "id", min_points), "lines")
     keys = repeated.count()
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
     if keys > most_keys:
-        return _by_shards(docs, repeated, keys, text, doc_id, min_points)
+        return _by_shards(rows, repeated, keys, schema, min_points)
     shards = docs.sparkSession.sparkContext.broadcast(build_shards(repeated, keys))
 
     def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = _ids(batch.column(0))
-        lines, row, number, h = _hashed_lines([x or "" for x in batch.column(1).to_pylist()], min_points)
+        ids = _ids(batch.column(1))
+        lines, row, number, h = _hashed_lines([x or "" for x in batch.column(2).to_pylist()], min_points)
         keep = shards.value.keepers(h[:, 0], h[:, 1])
         gone = (keep >= 0) & (keep != ids[row])
-        dropped = [set() for _ in lines]
-        for i, j in zip(row[gone].tolist(), number[gone].tolist(), strict=True):
-            dropped[i].add(j)
-        kept = [b"\n".join(x for j, x in enumerate(parts) if j not in out) for parts, out in zip(lines, dropped, strict=True)]
-        return pa.record_batch(
-            [batch.column(0).cast(pa.int64()), pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in dropped], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=[f.name for f in schema],
-        )
+        return _result(batch.column(0), lines, row[gone], number[gone])
+
+    return map_batches(rows, [F.col("doc_id"), F.col("id"), F.col("text")], probe, schema)
+
 
-    return map_batches(docs, [F.col(doc_id), F.col(text)], probe, schema)
+def _filter_places(h1: np.ndarray, h2: np.ndarray, bits: int) -> np.ndarray:
+    """(n, 4) bit numbers of keys in the Bloom filter."""
+    with np.errstate(over="ignore"):
+        return np.stack([(h1 + np.uint64(i) * (h2 | np.uint64(1))) % np.uint64(bits) for i in range(4)], axis=1)
+
+
+def _repeated_filter(repeated: DataFrame, keys: int) -> np.ndarray:
+    """A Bloom filter of the keys (h1, h2); its words are set in tasks and merged by ``bit_or``."""
+    words = max(1, min(FILTER_BYTES // 8, -(-keys * FILTER_BITS // 64)))
+    schema = T.StructType([T.StructField("word", T.LongType()), T.StructField("bits", T.LongType())])
+
+    def set_bits(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h1, h2 = (np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)).view(np.uint64) for i in (0, 1))
+        at = np.unique(_filter_places(h1, h2, words * 64))
+        word = at >> np.uint64(6)
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        value = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), at & np.uint64(63)), first)
+        return pa.record_batch([pa.array(word[first].astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "bits"])
+
+    merged = map_batches(repeated, [F.col("h1"), F.col("h2")], set_bits, schema).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BYTES / 8 rows at most
+    out = np.zeros(words, np.uint64)
+    out[merged["word"].to_numpy()] = merged["bits"].to_numpy().view(np.uint64)
+    return out
 
 
-def _by_shards(docs: DataFrame, repeated: DataFrame, keys: int, text: str, doc_id: str, min_points: int) -> DataFrame:
-    """Beyond the bound of the broadcast the hashes of lines go to the arrays.
+def _may_hold(words: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    at = _filter_places(h1, h2, len(words) * 64)
+    return ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1).all(axis=1)
 
-    The arrays of the most frequent keys, ``HEAVY`` at most, are broadcast and
-    settle their lines in place, so no shard is hot.  Hashes of other lines are
-    dealt to shards, where they stream past the shard's arrays, one shard in
-    memory at a time; the numbers of dropped lines go back to their documents.
+
+def _by_shards(rows: DataFrame, repeated: DataFrame, keys: int, schema: T.StructType, min_points: int) -> DataFrame:
+    """Beyond the bound of the broadcast the hashes of lines that may be repeated go to the arrays.
+
+    Hashes of lines are dealt to shards, where they stream past the shard's
+    arrays, one shard in memory at a time; the numbers of dropped lines, one row
+    a document, go back to their documents.
     """
+    context = rows.sparkSession.sparkContext
     total = repeated.agg(F.sum("lines")).first()[0] or 0
     frequent = F.col("lines") * HEAVY >= total
     often = repeated.where(frequent)
-    heavy = docs.sparkSession.sparkContext.broadcast(build_shards(often, often.count()))
-    log_shards = log_shards_of(keys)
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("shard", "id", "body", "line", "h1", "h2", "gone")])
+    heavy = context.broadcast(build_shards(often, often.count()))
+    maybe = context.broadcast(_repeated_filter(repeated, keys))
+    log_shards = max(log_shards_of(keys), int(np.ceil(np.log2(max(1, total / LINES_A_SHARD)))))
+    places = T.StructType([T.StructField(c, T.LongType()) for c in ("shard", "id", "body", "line", "h1", "h2", "gone")])
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, body = _ids(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
         _, row, number, h = _hashed_lines([x or "" for x in batch.column(1).to_pylist()], min_points)
+        may = _may_hold(maybe.value, h[:, 0], h[:, 1])
+        row, number, h = row[may], number[may], h[may]
         keep = heavy.value.keepers(h[:, 0], h[:, 1])
         left = (keep < 0) | (keep != ids[row])  # what a frequent key keeps is settled
         columns = [shard_of(h[:, 0], log_shards), ids[row], body[row], number, h[:, 0].view(np.int64), h[:, 1].view(np.int64), (keep >= 0).astype(np.int64)]
-        return pa.record_batch([pa.array(np.ascontiguousarray(c[left]), pa.int64()) for c in columns], names=[f.name for f in schema])
+        return pa.record_batch([pa.array(np.ascontiguousarray(c[left]), pa.int64()) for c in columns], names=[f.name for f in places])
 
-    lines = materialize(map_batches(docs, [F.col(doc_id), F.col(text), F.xxhash64(F.col(text))], emit, schema), "hashes")
+    lines = materialize(map_batches(rows, [F.col("id"), F.col("text"), F.xxhash64(F.col("text"))], emit, places), "hashes")
     arrays = packed_shards(repeated.where(~frequent), log_shards).select(F.col("shard").cast("long").alias("shard"), F.lit(0).alias("kind"), "packed")
     open_ = lines.where(F.col("gone") == 0).withColumn("kind", F.lit(1)).drop("gone")
     dealt = arrays.unionByName(open_, allowMissingColumns=True).select("shard", "kind", "packed", "id", "body", "line", "h1", "h2")
@@ -280,18 +348,15 @@ def _by_shards(docs: DataFrame, repeated: DataFrame, keys: int, text: str, doc_i
                 gone = (keep >= 0) & (keep != ids)
                 yield pa.record_batch([pa.array(c[gone], pa.int64()) for c in (ids, body, line)], names=[f.name for f in found])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LINES_A_SHARD)
     settled = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(probe, found)
     gone = settled.unionByName(lines.where(F.col("gone") == 1).select("id", "body", "line")).groupBy("id", "body").agg(F.collect_set("line").alias("gone"))
-    split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("id"), F.xxhash64(F.col(text)).alias("body"))
-    return (
-        rows.join(gone, ["id", "body"], "left")
-        .withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
-        .select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.size(split).cast("long").alias("n_lines"),
-            F.size("gone").cast("long").alias("n_dropped"),
-            F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i.cast("long"))), "\n").alias("kept_text"),
-        )
-    )
+    gone = materialize(gone.select(F.col("id").alias("of"), F.col("body").alias("of_body"), "gone"), "gone")
+    same = (F.coalesce("id", F.lit(int(LAST))) == F.col("of")) & (F.xxhash64("text") == F.col("of_body"))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lines = [(x or "").encode().split(b"\n") for x in batch.column(1).to_pylist()]
+        sizes = batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return _result(batch.column(0), lines, np.repeat(np.arange(len(lines)), sizes), batch.column(2).flatten().to_numpy(zero_copy_only=False))
+
+    return map_batches(rows.join(broadcast_if(gone, gone.count(), MOST_KEYS // 20), same, "left"), [F.col("doc_id"), F.col("text"), F.col("gone")], cut, schema)

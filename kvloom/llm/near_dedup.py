@@ -10,7 +10,9 @@ is the plain Jaccard similarity.
    as its next arrival is later than the latest slot of its document, so few
    arrivals are drawn.  Two documents agree in a slot with a probability that
    is their probability Jaccard.
-2. Texts with equal shingles and counts are one node, whatever their number.
+2. Texts with equal shingles and counts are one node, whatever their number.  A
+   node's name is a 64-bit hash; where a second hash tells two nodes of one name
+   apart, both get names of 128 bits' hash instead.
 3. ``BANDS`` bands of ``ROWS`` slots: at similarity 0.8 all bands miss with
    probability 0.001.  Nodes that share a band are compared with the band's
    smallest node (its pivot), never all with all.
@@ -26,9 +28,13 @@ is the plain Jaccard similarity.
 Components are found by label propagation with pointer jumping over the links
 in tables; nothing of it is collected.
 
+What is known of a band as a whole (its pivot, its size, whether it is open) is
+written first and broadcast within ``MOST_SENT`` rows, so that the rows of a
+large band need not meet in one task.
+
 Cases: documents without a word (null, empty) link to nothing; a null id sorts
 last; rows that repeat id and text are one document and stay or go together;
-an empty table gives an empty result.
+texts of any length are sketched whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -115,8 +121,8 @@ def _chunks(batch: pa.RecordBatch, column: int):
 
 
 def sketch_documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, body, node, bands, slots): node names the shingles and counts, null without a word; bands are hashes of the bands, slots has a byte of each slot."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("body", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("slots", T.BinaryType())])
+    """(doc_id, body, node, twin, bands, slots): node and twin name the shingles and counts, null without a word; bands are hashes of the bands, slots has a byte of each slot."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("body", T.LongType()), T.StructField("node", T.LongType()), T.StructField("twin", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("slots", T.BinaryType())])
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -128,14 +134,16 @@ def sketch_documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)) * _GOLDEN
                 for k in range(ROWS):
                     band = mix64(band + signature[:, k::ROWS][:, :BANDS])
-                node = np.zeros(n, np.uint64)
-                np.add.at(node, row, mix64(shingle + count.astype(np.uint64) * _GOLDEN))
-                node = mix64(node)
+                names = []
+                for salt in (_GOLDEN, np.uint64(0xC2B2AE3D27D4EB4F)):
+                    name = np.zeros(n, np.uint64)
+                    np.add.at(name, row, mix64((shingle ^ salt) + count.astype(np.uint64) * _GOLDEN))
+                    names.append(mix64(name).view(np.int64))
             none = sizes == 0
             offsets = np.r_[0, np.cumsum(np.where(none, 0, BANDS))]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band[~none].ravel().view(np.int64)))
             slots = pa.array([x.tobytes() for x in mix64(signature).astype(np.uint8)], pa.binary())
-            out.append(pa.record_batch([part.column(0), part.column(1), pa.array(node.view(np.int64), mask=none), lists, slots], names=[f.name for f in schema]))
+            out.append(pa.record_batch([part.column(0), part.column(1), *(pa.array(x, mask=none) for x in names), lists, slots], names=[f.name for f in schema]))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
     return map_batches(docs, [F.col(doc_id), F.xxhash64(F.col(text)), word_hashes(F.col(text))], sketch, schema)
@@ -201,19 +209,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _sent(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written, and broadcast within the bound."""
+    held = materialize(df, tag)
+    return broadcast_if(held, held.count(), MOST_SENT)
+
+
 def _open_bands(members: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of ``members``, with their components, of the bands that still hold two components."""
-    placed = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.join(broadcast_if(label, label.count(), MOST_SENT), "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where(F.col("c0") < F.col("c1")).select("band")
-    return placed.join(open_, "band")
+    return placed.join(_sent(open_, "openbands"), "band")
 
 
 def _to_largest(placed: DataFrame, turn: int) -> DataFrame:
     """Pairs of a band's new pivot, a member of its largest component, with the members of other components."""
-    sizes = materialize(placed.select("node", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("nodes")), "sizes")
-    ranked = placed.select("band", "node", "component").join(broadcast_if(sizes, sizes.count(), MOST_SENT), "component")
+    sizes = placed.select("node", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    ranked = placed.select("band", "node", "component").join(_sent(sizes, "sizes"), "component")
     pivot = F.min(F.struct((-F.col("nodes")).alias("s"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("new")
-    pivots = ranked.groupBy("band").agg(pivot)
+    pivots = _sent(ranked.groupBy("band").agg(pivot), "pivots")
     return ranked.join(pivots, "band").where(F.col("component") != F.col("new.component")).select(F.col("new.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
@@ -226,7 +240,7 @@ def _undecided(placed: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     ``DEVIATIONS`` standard deviations of that estimate; a pair at 0.8 does not
     with a probability of 1.6e-8.
     """
-    counted = materialize(placed.join(placed.groupBy("band").agg(F.count(F.lit(1)).alias("rows")), "band").select("band", "place", "node", "component", "rows"), "open")
+    counted = materialize(placed.join(_sent(placed.groupBy("band").agg(F.count(F.lit(1)).alias("rows")), "bandsizes"), "band").select("band", "place", "node", "component", "rows"), "open")
     small = counted.where(F.col("rows") <= SMALL)
     other = small.select("band", F.col("node").alias("b"), F.col("component").alias("other"))
     near = small.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("node").alias("a"), "b")
@@ -264,6 +278,13 @@ def _undecided(placed: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     return near.unionByName(far).distinct()
 
 
+def _nodes(sketched: DataFrame) -> DataFrame:
+    """One row a node, with one of its documents, and the least and greatest of its second hashes."""
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "body", "bands", "slots")).alias("one")
+    grouped = sketched.where(F.col("node").isNotNull()).groupBy("node").agg(one, F.min("twin").alias("low"), F.max("twin").alias("high"))
+    return materialize(grouped.select("node", "low", "high", "one.doc_id", "one.body", "one.bands", "one.slots"), "nodes")
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILAR) -> DataFrame:
     """One row per input row: doc_id, body, group_id (smallest doc_id of its group), group_size, kept, n_verified_links.
 
@@ -272,14 +293,16 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     compared, so it is a lower bound of the similar texts.
     """
     sketched = materialize(sketch_documents(docs, text, doc_id), "sketches", BATCH_ROWS)
+    nodes = _nodes(sketched)
+    clashes = nodes.where(F.col("low") < F.col("high")).select("node")
+    if clashes.limit(1).count():
+        again = sketched.join(clashes.withColumn("clash", F.lit(True)), "node", "left")
+        sketched = materialize(again.withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "twin")).otherwise(F.col("node"))).select(*sketched.columns), "sketches")
+        nodes = _nodes(sketched)
     worded = sketched.where(F.col("node").isNotNull())
-    nodes = materialize(
-        worded.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "body", "bands", "slots")).alias("one")).select("node", "one.doc_id", "one.body", "one.bands", "one.slots"),
-        "nodes",
-    )
     rows = nodes.select("node", F.posexplode("bands").alias("place", "band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where(F.col("pivot") < F.col("last")).select("band", "pivot")
-    members = materialize(rows.join(shared, "band"), "members")
+    members = materialize(rows.join(_sent(shared, "shared"), "band"), "members")
     wanted = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "body", "bands", "slots"), "wanted")
     lists = materialize(shingle_lists(docs, wanted, wanted.count(), text, doc_id), "lists", BATCH_ROWS)
     pairs = members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()

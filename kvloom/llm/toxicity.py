@@ -6,18 +6,20 @@ training these are out-of-fold predictions of ``FOLDS`` folds, so a later model
 never sees what an earlier one has learned by heart.
 
 Features are 64-bit hashes of lower-cased words and of their first four and six
-characters (inflected and compound words share these), kept if a chi-square
-test over the training texts ties them to a category (at least ``LEAST_CHI2``;
-at most ``MOST_FEATURES``, the strongest).
+characters (inflected and compound words share these); all those are kept that
+a chi-square test over the training texts ties to a category (at least
+``LEAST_CHI2``).
 
 Training is on a bounded sample of about ``MOST_TEXTS`` labelled texts, chosen
-by a hash of the id; scoring reads every whole text.
+by a hash of the id; the models of the folds and of the whole sample are fitted
+in tasks.  Scoring reads every whole text.
 
 Cases: null and empty texts have no words and get the prior; labels that
-repeat an id count as positive if one of them is; null labels count as
-negative; labels without a document are ignored; without labels every
-probability is 0 and nothing is rejected; rows that repeat are judged
-separately; an empty table gives an empty result.
+repeat an id count as positive if one of them is; of documents that repeat a
+labelled id one is trained on; null labels count as negative; labels without a
+document are ignored; without labels every probability is 0 and nothing is
+rejected; rows that repeat are judged separately; texts of any length are
+scored whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvloom.llm.common import materialize, ship_package
 from kvloom.llm.shingles import words as words_of
@@ -38,11 +41,11 @@ THRESHOLD = 0.3
 STEMS = (4, 6)
 FOLDS = 5
 MOST_TEXTS = 10_000
-MOST_FEATURES = 2_048
 LEAST_CHI2 = 15.0
 LEAST_TEXTS = 3
 RIDGE = 0.1
 STEPS = 150
+SETTLED = 1e-4
 
 
 def word_features(text: Column) -> Column:
@@ -72,23 +75,24 @@ class Linear:
 
 
 def fit(row: np.ndarray, feature: np.ndarray, features: int, earlier: np.ndarray, y: np.ndarray) -> Linear:
-    """Ridge logistic regression by accelerated gradient steps; the intercept is free."""
+    """Ridge logistic regression by accelerated gradient steps, until the gradient has shrunk to ``SETTLED`` of its first size; the intercept is free."""
     rows = len(y)
     rate = np.clip(y.mean() if rows else 0.0, 1e-6, 1 - 1e-6)
-    size = features + earlier.shape[1]
-    x, bias = np.zeros(size), float(np.log(rate / (1 - rate)))
-    ahead, ahead_bias, turn = x.copy(), bias, 1.0
+    x, bias = np.zeros(features + earlier.shape[1]), float(np.log(rate / (1 - rate)))
+    ahead, ahead_bias, turn, least = x.copy(), bias, 1.0, None
     widest = np.bincount(row, minlength=rows).max(initial=0) + earlier.shape[1] + 1
     step = 4.0 / (rows * max(1.0, widest) ** 0.5 / 4 + RIDGE)
     for _ in range(STEPS):
-        now = Linear(ahead[:features], ahead[features:], ahead_bias)
-        error = now.probability(row, feature, rows, earlier) - y
+        z = _margins(row, feature, features, earlier, ahead, ahead_bias, rows)
+        error, loss = sigmoid(z) - y, _loss(z, y, ahead)
         slope = np.r_[np.bincount(feature, weights=error[row], minlength=features), earlier.T @ error] + RIDGE * ahead
-        loss = _loss(row, feature, features, earlier, y, ahead, ahead_bias)
+        square = slope @ slope + error.sum() ** 2
+        least = square * SETTLED**2 if least is None else least
+        if square <= least:
+            break
         while True:  # backtracking
             new, new_bias = ahead - step * slope, ahead_bias - step * error.sum()
-            drop = step / 2 * (slope @ slope + error.sum() ** 2)
-            if step < 1e-12 or _loss(row, feature, features, earlier, y, new, new_bias) <= loss - drop + 1e-12:
+            if step < 1e-12 or _loss(_margins(row, feature, features, earlier, new, new_bias, rows), y, new) <= loss - step / 2 * square + 1e-12:
                 break
             step /= 2
         following = (1 + (1 + 4 * turn * turn) ** 0.5) / 2
@@ -98,30 +102,74 @@ def fit(row: np.ndarray, feature: np.ndarray, features: int, earlier: np.ndarray
     return Linear(x[:features], x[features:], bias)
 
 
-def _loss(row, feature, features, earlier, y, x, bias) -> float:
-    z = np.bincount(row, weights=x[:features][feature], minlength=len(y)) + earlier @ x[features:] + bias
+def _margins(row, feature, features, earlier, x, bias, rows) -> np.ndarray:
+    return np.bincount(row, weights=x[:features][feature], minlength=rows) + earlier @ x[features:] + bias
+
+
+def _loss(z, y, x) -> float:
     return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum() + RIDGE / 2 * (x @ x))
 
 
-def fit_chain(row: np.ndarray, feature: np.ndarray, features: int, labels: np.ndarray, fold: np.ndarray) -> list[Linear]:
-    """One model a column of ``labels``; each gets out-of-fold probabilities of those before it."""
-    rows, chain, earlier = len(labels), [], np.zeros((len(labels), 0))
-    for k in range(labels.shape[1]):
-        y, out = labels[:, k].astype(float), np.zeros(rows)
-        for f in range(FOLDS):
-            test, train = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-            if not len(test):
-                continue
-            place = np.full(rows, -1)
-            place[train] = np.arange(len(train))
-            inside = place[row] >= 0
-            model = fit(place[row[inside]], feature[inside], features, earlier[train], y[train])
-            out[test] = model.probability(row, feature, rows, earlier)[test]
-        chain.append(fit(row, feature, features, earlier, y))
+@dataclass
+class Sample:
+    """Training texts: the cells (row, feature), labels and folds."""
+
+    row: np.ndarray
+    feature: np.ndarray
+    features: int
+    labels: np.ndarray
+    fold: np.ndarray
+
+    def fit_without(self, k: int, fold: int, earlier: np.ndarray) -> Linear:
+        """The model of category k over all texts outside of ``fold``."""
+        train = np.flatnonzero(self.fold != fold)
+        place = np.full(len(self.labels), -1)
+        place[train] = np.arange(len(train))
+        inside = place[self.row] >= 0
+        return fit(place[self.row[inside]], self.feature[inside], self.features, earlier[train], self.labels[train, k].astype(float))
+
+
+def fit_chain(sample: Sample, fit_folds) -> list[Linear]:
+    """One model a category; each gets out-of-fold probabilities of those before it.
+
+    ``fit_folds(k, earlier)`` gives the models of category k without each fold,
+    and without none.
+    """
+    rows, chain, earlier = len(sample.labels), [], np.zeros((len(sample.labels), 0))
+    for k in range(sample.labels.shape[1]):
+        *partial, whole = fit_folds(k, earlier)
+        chain.append(whole)
+        out = np.zeros(rows)
+        for f, model in enumerate(partial):
+            test = sample.fold == f
+            out[test] = model.probability(sample.row, sample.feature, rows, earlier)[test]
         earlier = np.c_[earlier, out]
     return chain
 
 
+def _in_tasks(spark: SparkSession, sample: Sample):
+    """``fit_folds`` of fit_chain(), each fold in a task of its own."""
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast(sample)
+    schema = T.StructType([T.StructField("fold", T.LongType()), T.StructField("weights", T.BinaryType())])
+
+    def fit_folds(k: int, earlier: np.ndarray) -> list[Linear]:
+        given = spark.sparkContext.broadcast(earlier)
+
+        def run(batches):
+            for batch in batches:
+                for fold in batch.column(0).to_pylist():
+                    model = sent.value.fit_without(k, fold, given.value)
+                    flat = np.r_[model.words, model.chain, model.bias]
+                    yield pa.record_batch([pa.array([fold]), pa.array([flat.tobytes()], pa.binary())], names=["fold", "weights"])
+
+        found = dict(spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, schema).collect())  # FOLDS + 1 models
+        flat = [np.frombuffer(found[f], float) for f in range(FOLDS + 1)]
+        return [Linear(x[: sample.features], x[sample.features : -1], float(x[-1])) for x in flat]
+
+    return fit_folds
+
+
 @dataclass
 class Chain:
     """Sorted word hashes and the models over them."""
@@ -153,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, text: str =
     sample = listed.where(place < share * 1_000_000).withColumn("fold", F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     # about most_texts labels, so the broadcast is bounded; documents stay where they are
     met = docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(sample), "label_id")
-    texts = materialize(met.withColumn("at", F.monotonically_increasing_id()).withColumn("words", word_features(F.col("text"))).drop("text"), "labelled")
+    one = met.groupBy("label_id", "fold", *[f"y{k}" for k in range(len(categories))]).agg(F.min("text").alias("text"))  # a labelled id may repeat
+    texts = materialize(one.withColumn("at", F.monotonically_increasing_id()).withColumn("words", word_features(F.col("text"))).drop("text"), "labelled")
     names = [f"y{k}" for k in range(len(categories))]
     base = texts.agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in names]).first()
     if not base.n:
@@ -167,16 +216,17 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, text: str =
         tests.append(F.coalesce(n * F.pow(gap - n / 2, 2) / F.nullif(df * (n - df) * F.lit(positive * (n - positive)), F.lit(0.0)) * (gap > n / 2).cast("double"), F.lit(0.0)))
     chi2 = F.greatest(*tests, F.lit(0.0))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"), *[F.sum(y).alias(y) for y in names]).where(F.col("df") >= LEAST_TEXTS)
-    strongest = counted.select("word", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.col("chi2").desc(), "word").limit(MOST_FEATURES).collect()
-    vocabulary = np.sort(np.array([r.word for r in strongest], np.int64))
+    kept = counted.where(chi2 >= LEAST_CHI2).select("word").toArrow()  # words of about most_texts texts
+    vocabulary = np.sort(kept["word"].to_numpy())
     rows = texts.select("at", "fold", *names).orderBy("at").toArrow()  # about most_texts rows
     listed_words = docs.sparkSession.createDataFrame([(int(w),) for w in vocabulary], "word long")
-    cells = words.select("at", "word").join(F.broadcast(listed_words), "word").toArrow()  # at most MOST_FEATURES a row
+    cells = words.select("at", "word").join(F.broadcast(listed_words), "word").toArrow()  # words of about most_texts texts
     at, fold = rows["at"].to_numpy(), rows["fold"].to_numpy()
     row = np.searchsorted(at, cells["at"].to_numpy())
     feature = np.searchsorted(vocabulary, cells["word"].to_numpy())
     labels_ = np.stack([rows[y].to_numpy() for y in names], axis=1)
-    return Chain(vocabulary, fit_chain(row, feature, len(vocabulary), labels_, fold))
+    sample_ = Sample(row, feature, len(vocabulary), labels_, fold)
+    return Chain(vocabulary, fit_chain(sample_, _in_tasks(docs.sparkSession, sample_)))
 
 
 def _probabilities(docs: DataFrame, chain: Chain, categories, text: str) -> Column:

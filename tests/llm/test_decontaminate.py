@@ -64,7 +64,21 @@ def test_filter_keeps_clean_rows_unchanged(spark, documents):
 def test_sketches_are_partitioned_by_size(spark):
     items = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6"), (2, " ".join(f"x{i}" for i in range(500)))], "item_id int, text string")
     sketch = decontaminate.sketches(decontaminate.item_shingles(items), 0.8).groupBy("item_id", "need").count().orderBy("item_id").collect()
-    assert [(r.item_id, r.need, r["count"]) for r in sketch] == [(1, 2, 2), (2, 16, 32)]
+    assert [(r.item_id, r.need, r["count"]) for r in sketch] == [(1, 2, 2), (2, 15, 114)]
+
+
+def test_no_contained_item_is_lost_by_its_sketch(spark, documents):
+    """The shingles that a document misses are those of the sketch, as many as the threshold allows."""
+    items = []
+    for i, n in enumerate([40, 64, 100, 127, 128, 300]):
+        words = [f"v{i}x{k}" for k in range(5 * n)]
+        items.append((i, " ".join(words)))
+    table = spark.createDataFrame(items, "item_id int, text string")
+    sketch = decontaminate.sketches(decontaminate.item_shingles(table), 0.8).groupBy("item_id").agg({"h": "collect_set", "need": "max"}).collect()
+    sizes = dict(decontaminate.item_shingles(table).groupBy("item_id").count().collect())
+    for r in sketch:
+        held, may_miss = len(r["collect_set(h)"]), int(0.2 * sizes[r.item_id] + 1e-9)
+        assert held - may_miss == r["max(need)"] >= 12
 
 
 def test_empty_tables(spark, documents):

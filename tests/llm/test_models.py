@@ -52,6 +52,19 @@ def test_language_edge_cases(spark, documents):
     assert [r.lang_pred for r in language_id.identify(documents([(1, "nothing to learn from", None)])).collect()] == ["und"]
 
 
+def test_long_texts_are_the_sum_of_their_pieces(monkeypatch):
+    texts = ["Der Hund, und die Katze! " * 40, "", "x" * 90, "the cat"]
+    profiles = language_id.Profiles(["de", "en"])
+    for i, x in enumerate(("der hund und die katze", "the cat and the dog")):
+        profiles.insert(i, language_id.grams([x])[1])
+    profiles.close()
+    whole = profiles.predict(texts)
+    monkeypatch.setattr(language_id, "CHUNK_CHARS", 50)
+    cut = profiles.predict(texts)
+    assert cut[0] == whole[0] == ["de", "und", whole[0][2], "en"] and cut[1] == pytest.approx(whole[1])
+    assert all(len(p) <= 50 for x in texts for p in language_id._pieces(x)) and all("".join(language_id._pieces(x)) == x for x in texts)
+
+
 def test_too_many_languages_are_an_error(spark, documents, monkeypatch):
     monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
     rows = [(i, "the cat and the dog", f"l{i % 3}") for i in range(60)]
@@ -89,10 +102,48 @@ def test_later_models_see_out_of_fold_probabilities():
     r = np.random.default_rng(1)
     first = r.random(600) < 0.5
     row, feature = np.flatnonzero(first), np.zeros(first.sum(), np.int64)
-    chain = toxicity.fit_chain(row, feature, 1, np.stack([first, first], axis=1).astype(int), np.arange(600) % toxicity.FOLDS)
+    sample = toxicity.Sample(row, feature, 1, np.stack([first, first], axis=1).astype(int), np.arange(600) % toxicity.FOLDS)
+    seen = []
+
+    def fit_folds(k, earlier):
+        seen.append(earlier)
+        return [sample.fit_without(k, f, earlier) for f in range(toxicity.FOLDS + 1)]
+
+    chain = toxicity.fit_chain(sample, fit_folds)
+    for f in range(toxicity.FOLDS):  # what the later model sees of a fold comes from a model without it
+        model, inside = sample.fit_without(0, f, np.zeros((600, 0))), sample.fold == f
+        assert seen[1][inside, 0] == pytest.approx(model.probability(row, feature, 600, np.zeros((600, 0)))[inside])
     assert len(chain) == 2 and len(chain[0].chain) == 0 and len(chain[1].chain) == 1 and chain[1].chain[0] > 0
 
 
+def test_fit_is_the_minimum_of_the_loss():
+    r = np.random.default_rng(3)
+    row, feature = np.repeat(np.arange(200), 5), r.integers(0, 30, 1000)
+    y = (r.random(200) < 0.4).astype(float)
+    model = toxicity.fit(row, feature, 30, r.random((200, 1)), y)
+    z = toxicity._margins(row, feature, 30, np.zeros((200, 1)), np.r_[model.words, model.chain], model.bias, 200)
+    assert model.words.shape == (30,) and np.isfinite(z).all()
+    earlier = np.zeros((200, 0))
+    model = toxicity.fit(row, feature, 30, earlier, y)
+    loss = lambda x, b: toxicity._loss(toxicity._margins(row, feature, 30, earlier, x, b, 200), y, x)
+    least = loss(model.words, model.bias)
+    for k in range(30):
+        for gap in (-0.05, 0.05):
+            moved = model.words.copy()
+            moved[k] += gap
+            assert loss(moved, model.bias) > least
+    assert loss(model.words, model.bias + 0.05) > least < loss(model.words, model.bias - 0.05)
+
+
+def test_training_rows_are_bounded_when_a_labelled_id_repeats(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda sample, _: seen.append(len(sample.labels)) or [])
+    rows, labels = toxic_rows(60, 4)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    toxicity.train(documents(rows * 30), table, most_texts=30)
+    assert seen and seen[0] <= 60
+
+
 def test_toxicity_edge_cases(spark, documents):
     rows, labels = toxic_rows(300, 5)
     table = spark.createDataFrame([*labels, (None, 1, 1), (0, None, None), (99999, 1, 1), (labels[0][0], 1, labels[0][2])], "doc_id long, quality int, toxic int")

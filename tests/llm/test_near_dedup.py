@@ -134,6 +134,42 @@ def test_large_bands_equal_brute_force(spark, documents, monkeypatch):
     assert {r.doc_id: r.group_id for r in near_dedup.near_groups(documents(rows)).collect()} == brute_groups(rows)
 
 
+def drifting(n: int, seed: int) -> list[tuple[int, str]]:
+    """Copies of a few texts that drift away from them, most pairs near the threshold; all of a text share bands."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for _ in range(3):
+        words = [word() for _ in range(120)]
+        for _ in range(n):
+            w = list(words)
+            for _ in range(r.choice([1, 2, 2, 3, 3, 4])):
+                w[r.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("small", "block", "passes"), [(32, 512, 3), (2, 8, 1)])
+def test_recall_of_links_in_open_bands(spark, documents, monkeypatch, small, block, passes):
+    """Links of brute force whose two texts come out in one group: nine of ten at least, and none that brute force has not."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PASSES", passes)
+    rows = drifting(25, 7)
+    got = {r.doc_id: r.group_id for r in near_dedup.near_groups(documents(rows)).collect()}
+    sets, want = {i: shingles(t) for i, t in rows}, brute_groups(rows)
+    links = [(i, j) for i, _ in rows for j in range(i) if i // 25 == j // 25 and probability_jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(links) > 60 and sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links)
+    assert all(want[i] == want[g] for i, g in got.items())
+
+
+def test_nodes_of_one_name_are_told_apart(spark, documents, monkeypatch):
+    sketch = near_dedup.sketch_documents
+    monkeypatch.setattr(near_dedup, "sketch_documents", lambda *a: sketch(*a).selectExpr("doc_id", "body", "node % 3 as node", "twin", "bands", "slots"))
+    rows = planted()
+    assert {r.doc_id: r.group_id for r in near_dedup.near_groups(documents(rows)).collect()} == brute_groups(rows)
+
+
 def test_verified_links_are_a_lower_bound(spark, documents):
     rows = planted()
     sets = {i: frozenset(shingles(t).items()) for i, t in rows}
