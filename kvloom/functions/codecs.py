@@ -117,8 +117,31 @@ def ascii_only(text: Column) -> Column:
 def entry_set(entries: Column) -> Column:
     """An array of (key, value) entries as a set ordered by key; null as empty; the last of equal keys wins."""
     sound = F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>"))
-    keep = F.filter(sound, lambda e, i: ~F.exists(F.slice(sound, i + 2, F.size(sound)), lambda later: later["key"] == e["key"]))
-    return F.array_sort(keep)
+    placed = F.array_sort(F.transform(sound, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value"))))
+    last = F.filter(placed, lambda e, i: ~F.coalesce(F.get(placed, i + 1)["key"] == e["key"], F.lit(False)))
+    return F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+
+
+def updated(raw: Column, codec: Codec, fn: Callable[[Column], Column]) -> tuple[Column, Column, Column]:
+    """An updater over encoded values: the new bytes, and the old and the new value; null for deleted or missing ones."""
+    old = F.when(raw.isNotNull(), codec.decode(raw))
+    new = fn(old)
+    return F.when(new.isNotNull(), codec.encode(new)), old, new
+
+
+def common_prefix(a: Column, b: Column, most: int) -> Column:
+    """How many bytes, up to ``most``, the two have in common at their start."""
+    same = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: (F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n)) & (F.octet_length(a) >= n) & (F.octet_length(b) >= n))
+    return F.size(same)
+
+
+def boolean_response(flag: Column) -> Column:
+    """One byte, 1 or 0."""
+    return F.unhex(F.when(flag, F.lit("01")).otherwise(F.lit("00")))
+
+
+def response_boolean(raw: Column) -> Column:
+    return F.hex(raw) == "01"
 
 
 def int_set(text: Column) -> Column:

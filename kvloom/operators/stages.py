@@ -10,7 +10,7 @@ one-level table.  Reads are DataFrames; writes go through the node's
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -70,8 +70,24 @@ class Holder:
         return self.df
 
     def change(self, fn: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the table by ``fn`` of it."""
         self.df = fn(self.df)
 
+    def apply(self, fn: Callable[[DataFrame], DataFrame]) -> None:
+        """Write the rows that ``fn`` makes of the table: unique keys with a value, or null to delete them.
+
+        The keys come from the caller, so the rows fit the driver; they are made
+        at once, so that the table's plan doesn't hold itself twice.
+        """
+        rows = fn(self.df)
+        self.df = written_into(self.df, self.df.sparkSession.createDataFrame(rows.collect(), rows.schema))
+
+
+def written_into(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """``df`` after the rows are written; the last column is the value, null for deleted keys."""
+    *keys, value = df.columns
+    return df.join(rows.select(*keys), keys, "left_anti").unionByName(rows.where(F.col(value).isNotNull()).select(*df.columns))
+
 
 @dataclass(frozen=True)
 class Node:
@@ -129,12 +145,25 @@ class Node:
     def contains(self, key: Any, snapshot: Any = None) -> DataFrame:
         return self.at(key).rows(snapshot).limit(1).agg((F.count(F.lit(1)) > 0).alias("contains"))
 
-    def leaves(self, snapshot: Any = None, since: Any = None) -> DataFrame:
-        """All entries below with their remaining keys, in key order, from a key of the next level on if one is given."""
+    def leaves(self, snapshot: Any = None, since: Any = None, merge: Callable[..., Column] | None = None) -> DataFrame:
+        """All entries below with their remaining keys, in key order.
+
+        ``since`` is the key of the next level to go on from, as a reader that
+        stopped has saved it; with ``merge`` the rows are (that key, merged), made
+        of all keys and the value.
+        """
         df = self.rows(snapshot)
         if since is not None:
             df = df.where(F.col(self._rest[0]) >= F.lit(since))
-        return df.select(*self._rest, self._value).orderBy(*self._rest)
+        ordered = df.select(*self._rest, self._value).orderBy(*self._rest)
+        if merge is None:
+            return ordered
+        return ordered.select(self._rest[0], merge(*[F.col(c) for c in (*self._rest, self._value)]).alias("merged"))
+
+    def stages(self, snapshot: Any = None) -> Iterator[StageEntry]:
+        """The children of the next level, in key order, one at a time."""
+        for row in self.keys(snapshot).toLocalIterator():
+            yield StageEntry(row[0], self.at(row[0]))
 
     def entries(self, snapshot: Any = None, low: Any = None, high: Any = None, reverse: bool = False) -> DataFrame:
         """Entries below in order of the next key, within [low, high)."""
@@ -171,13 +200,13 @@ class Node:
     def _entry_frame(self, value: Any) -> DataFrame:
         return self._frame([(*self.path, value)], list(self.shape.schema().fields))
 
-    def _pairs_frame(self, pairs: dict | list) -> DataFrame:
-        """Rows for pairs of (remaining keys, value); the last of equal keys wins."""
+    def _pairs_frame(self, pairs: dict | list, deleted: bool = False) -> DataFrame:
+        """Rows for pairs of (remaining keys, value); the last of equal keys wins; with ``deleted``, those of null values too."""
         last = {}
         for key, value in pairs.items() if isinstance(pairs, dict) else pairs:
             parts = key if isinstance(key, tuple) else (key,)
             last[tuple(level.check(k) for level, k in zip(self.shape.levels[len(self.path) :], parts, strict=True))] = value
-        return self._frame([(*self.path, *k, v) for k, v in last.items() if v is not None], list(self.shape.schema().fields))
+        return self._frame([(*self.path, *k, v) for k, v in last.items() if deleted or v is not None], list(self.shape.schema().fields))
 
     def _replace(self, new: DataFrame | None) -> None:
         """Everything below this node becomes ``new``."""
@@ -187,7 +216,7 @@ class Node:
     def set(self, value: Any) -> None:
         """Write the entry or replace the whole map; null deletes."""
         if self.is_entry:
-            self._replace(None if value is None else self._entry_frame(value))
+            self.holder.apply(lambda _: self._entry_frame(value))
         else:
             self._replace(self._pairs_frame(value or {}))
 
@@ -208,7 +237,10 @@ class Node:
         return asked
 
     def clear(self) -> None:
-        self._replace(None)
+        if self.is_entry:
+            self.set(None)
+        else:
+            self._replace(None)
 
     def clear_and_get_previous(self) -> DataFrame:
         before = self.get()
@@ -236,12 +268,17 @@ class Node:
             if self.holder.mode is not UpdateMode.ALLOW_UNSAFE:
                 raise PermissionError("a whole map is updated in unsafe mode only")
             return self._update_map(updater)
-        before = self.get().agg(F.max(F.struct(self._value)).alias("one")).select(F.col(f"one.{self._value}").alias("previous"))
-        type_ = self.shape.value or T.BooleanType()
-        after = before.withColumn("current", updater(F.col("previous")).cast(type_))
-        new = after.where(F.col("current").isNotNull()).select(*[F.lit(k).cast(level.type).alias(level.name) for level, k in zip(self.shape.levels, self.path, strict=True)], F.col("current").alias(self._value))
-        self._replace(new)
-        return after.select(delta(F.col("previous"), F.col("current")).alias("delta"), changed(F.col("previous"), F.col("current")).alias("changed"))
+        type_, told = self.shape.value or T.BooleanType(), []
+
+        def write(df: DataFrame) -> DataFrame:
+            before = df.where(self._here()).agg(F.max(F.struct(self._value)).alias("one")).select(F.col(f"one.{self._value}").alias("previous"))
+            after = before.withColumn("current", updater(F.col("previous")).cast(type_))
+            told[:] = [after.select(delta(F.col("previous"), F.col("current")).alias("delta"), changed(F.col("previous"), F.col("current")).alias("changed"))]
+            fixed = [F.lit(k).cast(level.type).alias(level.name) for level, k in zip(self.shape.levels, self.path, strict=True)]
+            return after.select(*fixed, F.col("current").alias(self._value))
+
+        self.holder.apply(write)
+        return told[0]
 
     def _update_map(self, updater: Callable[[Column], Column]) -> DataFrame:
         before = self.get().agg(F.max(F.struct(F.map_entries(self._value).alias("e"))).alias("one"))
@@ -273,21 +310,26 @@ class Node:
         return self.at(key).clear_and_get_status()
 
     def put_multi(self, pairs: dict | list) -> None:
-        new = self._pairs_frame(pairs)
-        gone = self._frame([(*self.path, *(k if isinstance(k, tuple) else (k,))) for k in (pairs if isinstance(pairs, dict) else [p[0] for p in pairs])], list(self.shape.schema().fields)[:-1])
-        self.holder.change(lambda df: df.join(F.broadcast(gone), self.shape.names, "left_anti").unionByName(new))
+        """Write children of the levels below; the last of equal keys wins, null deletes."""
+        rows = self._pairs_frame(pairs, deleted=True)
+        self.holder.apply(lambda _: rows)
 
     def update_multi(self, keys: list[Any], updater: Callable[[Column, Column], Column]) -> DataFrame:
         """Keyed update of children of the last level; one row a key in order: (pos, key, changed)."""
         self.holder.mode.check()
-        met = self.get_multi(keys).withColumnRenamed(self._value, "previous")
-        name, type_ = self.shape.levels[-1].name, self.shape.value or T.BooleanType()
-        after = met.withColumn("current", updater(F.col(name), F.col("previous")).cast(type_))
-        fixed = [F.lit(k).cast(level.type).alias(level.name) for level, k in zip(self.shape.levels, self.path, strict=False)]
-        new = after.where(F.col("current").isNotNull()).select(*fixed, name, F.col("current").alias(self._value)).dropDuplicates(self.shape.names)
-        gone = after.select(*fixed, name).distinct()
-        self.holder.change(lambda df: df.join(gone, self.shape.names, "left_anti").unionByName(new))
-        return after.select("pos", name, changed(F.col("previous"), F.col("current")).alias("changed"))
+        level, type_, told = self.shape.levels[-1], self.shape.value or T.BooleanType(), []
+        asked = self._frame([(i, level.check(k)) for i, k in enumerate(keys)], [T.StructField("pos", T.IntegerType()), T.StructField(level.name, level.type)])
+        fixed = [F.lit(k).cast(at.type).alias(at.name) for at, k in zip(self.shape.levels, self.path, strict=False)]
+
+        def write(df: DataFrame) -> DataFrame:
+            here = df.where(self._here()) if self.path else df
+            met = asked.join(here.select(level.name, F.col(self._value).alias("previous")), level.name, "left")
+            after = met.withColumn("current", updater(F.col(level.name), F.col("previous")).cast(type_))
+            told[:] = [after.select("pos", level.name, changed(F.col("previous"), F.col("current")).alias("changed"))]
+            return after.select(*fixed, level.name, F.col("current").alias(self._value)).dropDuplicates(self.shape.names)
+
+        self.holder.apply(write)
+        return told[0].orderBy("pos")
 
     def set_all(self, pairs: dict | list) -> None:
         """Replace everything below."""
@@ -329,6 +371,14 @@ class Node:
         return Mapped(self, forward, back)
 
 
+@dataclass(frozen=True)
+class StageEntry:
+    """A key and the node it leads to."""
+
+    key: Any
+    stage: Node
+
+
 @dataclass(frozen=True)
 class Mapped:
     """An entry seen through a bijection."""
@@ -376,10 +426,144 @@ def hashed(df: DataFrame, key: str, hash_fn: Callable[[Column], Column] = F.xxha
 
 
 def buckets(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(hash, entries): the physical view of a hashed map."""
+    """(hash, entries): the physical view of a hashed map.  A bucket is one row, so its size is the hash's to keep small."""
     return df.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value")))).alias("entries"))
 
 
+@dataclass(frozen=True)
+class HashedMap:
+    """A map with keys of any length, its entries dealt to buckets by a hash: rows (hash, key, value).
+
+    A write touches the rows of its keys; reads of a key name its bucket, so that
+    they are pruned by hash.
+    """
+
+    node: Node
+    hash_fn: Callable[[Column], Column]
+
+    @property
+    def _key(self) -> KeyLevel:
+        return self.node.shape.levels[1]
+
+    @property
+    def _value(self) -> str:
+        return self.node.shape.value_name
+
+    def _hash(self, key: Any) -> Any:
+        spark = self.node.holder.read().sparkSession
+        return spark.range(1).select(self.hash_fn(F.lit(self._key.check(key)).cast(self._key.type))).first()[0]
+
+    def at(self, key: Any) -> Node:
+        """The entry, inside its bucket."""
+        return self.node.at(self._hash(key)).at(key)
+
+    def bucket(self, hash_: Any) -> Node:
+        """The map of the entries with this hash."""
+        return self.node.at(hash_)
+
+    def buckets(self, snapshot: Any = None) -> DataFrame:
+        """(hash, entries)."""
+        return buckets(self.node.rows(snapshot), self._key.name, self._value)
+
+    def entries(self, snapshot: Any = None) -> DataFrame:
+        """(key, value); the order is that of the hashes."""
+        return self.node.leaves(snapshot).select(self._key.name, self._value)
+
+    def keys(self, snapshot: Any = None) -> DataFrame:
+        return self.entries(snapshot).select(self._key.name)
+
+    def get(self, key: Any, snapshot: Any = None) -> DataFrame:
+        return self.at(key).get(snapshot)
+
+    def contains(self, key: Any, snapshot: Any = None) -> DataFrame:
+        return self.at(key).rows(snapshot).limit(1).agg((F.count(F.lit(1)) > 0).alias("contains"))
+
+    def count(self, snapshot: Any = None) -> DataFrame:
+        return self.node.leaves_count(snapshot)
+
+    def _hashed(self, pairs: dict | list, deleted: bool) -> DataFrame:
+        last = {self._key.check(k): v for k, v in (pairs.items() if isinstance(pairs, dict) else pairs)}
+        fields = list(self.node.shape.schema().fields)[1:]
+        rows = self.node._frame([(k, v) for k, v in last.items() if deleted or v is not None], fields)
+        return hashed(rows, self._key.name, self.hash_fn).select("hash", *[f.name for f in fields])
+
+    def put_multi(self, pairs: dict | list) -> None:
+        """The last of equal keys wins, null deletes."""
+        rows = self._hashed(pairs, True)
+        self.node.holder.apply(lambda _: rows)
+
+    def put(self, key: Any, value: Any) -> None:
+        self.put_multi({key: value})
+
+    def remove(self, key: Any) -> None:
+        self.put(key, None)
+
+    def update(self, keys: list[Any], updater: Callable[[Column, Column], Column]) -> DataFrame:
+        """Keyed update; (key, previous, current, changed)."""
+        self.node.holder.mode.check()
+        asked, told, name = self._hashed(dict.fromkeys(keys), True).select("hash", self._key.name), [], self._key.name
+
+        def write(df: DataFrame) -> DataFrame:
+            met = asked.join(df.withColumnRenamed(self._value, "previous"), ["hash", name], "left")
+            after = met.withColumn("current", updater(F.col(name), F.col("previous")).cast(self.node.shape.value or T.BooleanType()))
+            told[:] = [after.select(name, "previous", "current", changed(F.col("previous"), F.col("current")).alias("changed"))]
+            return after.select("hash", name, F.col("current").alias(self._value))
+
+        self.node.holder.apply(write)
+        return told[0]
+
+    def set_all(self, pairs: dict | list) -> None:
+        """Replace all entries."""
+        self.node._replace(self._hashed(pairs, False))
+
+    def clear(self) -> None:
+        self.node.clear()
+
+
+@dataclass(frozen=True)
+class HashedSet:
+    """A set with members of any length, dealt to buckets by a hash."""
+
+    map: HashedMap
+
+    def add(self, *members: Any) -> None:
+        self.map.put_multi(dict.fromkeys(members, True))
+
+    def discard(self, *members: Any) -> None:
+        self.map.put_multi(dict.fromkeys(members))
+
+    def contains(self, member: Any, snapshot: Any = None) -> DataFrame:
+        return self.map.contains(member, snapshot)
+
+    def members(self, snapshot: Any = None) -> DataFrame:
+        return self.map.keys(snapshot)
+
+    def set_members(self, members: set | list) -> DataFrame:
+        """Replace the members; the result is the members before."""
+        before = self.members()
+        self.map.set_all(dict.fromkeys(members, True))
+        return before
+
+    def count(self, snapshot: Any = None) -> DataFrame:
+        return self.map.count(snapshot)
+
+
+def hashed_shape(key: KeyLevel, value: T.DataType | None, hash_type: T.DataType) -> Shape:
+    return Shape((KeyLevel("hash", hash_type), key), value)
+
+
+def hashed_map(spark, key: KeyLevel, value: T.DataType, hash_fn: Callable[[Column], Column] = F.xxhash64, hash_type: T.DataType | None = None, mode: UpdateMode = UpdateMode.ALLOW, df: DataFrame | None = None) -> HashedMap:
+    """``df`` has the key and ``value``, without the hash."""
+    shape = hashed_shape(key, value, hash_type or T.LongType())
+    held = _empty(spark, shape) if df is None else hashed(df, key.name, hash_fn).select("hash", key.name, shape.value_name)
+    return HashedMap(Node(Holder(held, mode), shape), hash_fn)
+
+
+def hashed_set(spark, key: KeyLevel, hash_fn: Callable[[Column], Column] = F.xxhash64, hash_type: T.DataType | None = None, mode: UpdateMode = UpdateMode.ALLOW, df: DataFrame | None = None) -> HashedSet:
+    held = None if df is None else df.select(key.name).distinct().withColumn("value", F.lit(True))
+    return HashedSet(hashed_map(spark, key, T.BooleanType(), hash_fn, hash_type, mode, held))
+
+
 @dataclass(frozen=True)
 class Cell:
     """A named value with a default, written when it is absent."""
@@ -416,12 +600,17 @@ def wrapping_add(a: Column, b: Column) -> Column:
 class LongCounter(Cell):
     """A 64-bit cell with atomic adds; a missing cell is 0."""
 
+    kind = "bigint"
+
+    def _plus(self, n: int) -> Callable[[Column], Column]:
+        return lambda old: wrapping_add(old, F.lit(n))
+
     def add_and_get(self, n: int) -> DataFrame:
-        return self.node.update(lambda old: wrapping_add(old, F.lit(n)), Returned.NEW)
+        return self.node.update(self._plus(n), Returned.NEW)
 
     def get_and_add(self, n: int) -> DataFrame:
-        out = self.node.update(lambda old: wrapping_add(old, F.lit(n)), Returned.OLD)
-        return out.select(F.coalesce(self.node.shape.value_name, F.lit(0)).cast("bigint").alias(self.node.shape.value_name))
+        out = self.node.update(self._plus(n), Returned.OLD)
+        return out.select(F.coalesce(self.node.shape.value_name, F.lit(0)).cast(self.kind).alias(self.node.shape.value_name))
 
     def increment_and_get(self) -> DataFrame:
         return self.add_and_get(1)
@@ -436,6 +625,19 @@ class LongCounter(Cell):
         return self.get_and_add(-1)
 
 
+class IntCounter(LongCounter):
+    """A 32-bit cell; adds wrap around."""
+
+    kind = "int"
+
+    def _plus(self, n: int) -> Callable[[Column], Column]:
+        def add(old: Column) -> Column:
+            low = F.pmod(F.coalesce(old, F.lit(0)).cast("bigint") + F.lit(n), F.lit(1 << 32))
+            return F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int")
+
+        return add
+
+
 def add_all(counters: DataFrame, additions: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """Counters after a batch of (key, value) additions; one shuffle of partial sums."""
     summed = additions.groupBy(key).agg(F.sum(value).alias("added"))

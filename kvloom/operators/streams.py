@@ -105,3 +105,55 @@ def repeated(value: Column, times: int) -> Column:
 def backoff(turn: int, most_ms: int = 2000, spread: float = 0.3, unit: float = 0.5) -> float:
     """Milliseconds to wait before retry ``turn``: a capped power of two, moved by up to ``spread`` with ``unit`` in [0, 1]."""
     return min(most_ms, 2**turn) * (1 - spread + 2 * spread * unit)
+
+
+# terminals: an action each
+
+
+def to_list(df: DataFrame, most: int = 100_000) -> list:
+    """All rows on the driver; more than ``most`` are an error, not cut."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    return found
+
+
+def to_first(df: DataFrame, order: list[str]):
+    """The first row of the order, or None."""
+    return df.orderBy(*order).first()
+
+
+def to_any(df: DataFrame):
+    return df.first()
+
+
+def counted(df: DataFrame, name: str = "n") -> DataFrame:
+    """One row with the number of rows."""
+    return df.agg(F.count(F.lit(1)).alias(name))
+
+
+def summed(df: DataFrame, column: str, name: str = "total") -> DataFrame:
+    """One row with the sum; 0 without rows."""
+    return df.agg(F.coalesce(F.sum(column), F.lit(0)).cast("bigint").alias(name))
+
+
+def collected(df: DataFrame, by: list[str], **collectors: Column) -> DataFrame:
+    """The collectors (aggregates) of each group, or of all rows."""
+    made = [c.alias(k) for k, c in collectors.items()]
+    return df.groupBy(*by).agg(*made) if by else df.agg(*made)
+
+
+def executing(df: DataFrame, fn: Callable[[list], None], order: list[str] | None = None) -> int:
+    """Call ``fn`` with the rows of each task, in order inside a task if one is given; the number of rows.
+
+    A task that is repeated calls it again, so ``fn`` must bear that.
+    """
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(rows) -> None:
+        held = list(rows)
+        fn(held)
+        seen.add(len(held))
+
+    (df.sortWithinPartitions(*order) if order else df).foreachPartition(run)
+    return seen.value

@@ -25,10 +25,15 @@ KeyedUpdater = Callable[[Column, Column], Column]
 
 @dataclass(frozen=True)
 class Change:
-    """A new table, and what the write tells about the old one."""
+    """A new table, and what the write tells about the old one.
+
+    ``written`` is the write alone, if it touches single keys: (key, value) of
+    unique keys, null values for deleted ones.  A store appends just that.
+    """
 
     table: KVTable
     result: DataFrame | None = None
+    written: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -157,30 +162,33 @@ class KVTable:
         met = keys.select(self.key).join(self.df.select(F.col(self.key), F.col(self.value).alias("previous")), self.key, "left")
         return met.select(self.key, "previous") if result is Result.PREVIOUS else met.select(self.key, F.col("previous").isNotNull().alias("existed"))
 
+    def _tombstones(self, keys: DataFrame) -> DataFrame:
+        return keys.select(self.key, F.lit(None).cast(self._types()[1]).alias(self.value))
+
     def put(self, key: Any, value: Any, result: Result = Result.VOID) -> Change:
         return self.put_multi([(key, value)], result)
 
     def put_multi(self, pairs: Iterable[tuple[Any, Any]] | DataFrame, result: Result = Result.VOID) -> Change:
         """Upsert; of equal keys the last wins; a null value deletes."""
         new = self._last(self.entries(pairs))
-        return Change(self._upserted(new), self._told(new, result))
+        return Change(self._upserted(new), self._told(new, result), new)
 
     def remove(self, keys: Iterable[Any] | DataFrame, result: Result = Result.VOID) -> Change:
         gone = self.keys_of(keys).select(self.key).distinct()
-        return Change(self._with(self.df.join(gone, self.key, "left_anti")), self._told(gone, result))
+        return Change(self._with(self.df.join(gone, self.key, "left_anti")), self._told(gone, result), self._tombstones(gone))
 
     def remove_first(self, keys: KeyRange | None = None) -> Change:
         """Delete the first entry of a range; the result is that entry."""
         one = self.first(keys)
-        return Change(self._with(self.df.join(one.select(self.key), self.key, "left_anti")), one)
+        return Change(self._with(self.df.join(one.select(self.key), self.key, "left_anti")), one, self._tombstones(one))
 
     def update(self, updater: Updater, keys: Iterable[Any] | DataFrame, returned: Returned = Returned.NOTHING) -> Change:
         """Read-modify-write of the given keys; the updater sees null for a missing key and deletes by giving null."""
         change = self.update_delta(updater, keys)
         if returned is Returned.NOTHING:
-            return Change(change.table)
+            return Change(change.table, None, change.written)
         side = "previous" if returned is Returned.OLD else "current"
-        return Change(change.table, change.result.select(self.key, F.col(f"delta.{side}").alias(self.value)))
+        return Change(change.table, change.result.select(self.key, F.col(f"delta.{side}").alias(self.value)), change.written)
 
     def update_delta(self, updater: Updater, keys: Iterable[Any] | DataFrame) -> Change:
         """As update(); the result is (key, delta(previous, current), changed)."""
@@ -194,7 +202,8 @@ class KVTable:
         after = met.withColumn("current", updater(F.col(self.key), F.col("previous")).cast(self._types()[1]))
         written = after.where(changed(F.col("previous"), F.col("current")))
         result = after.select(self.key, delta(F.col("previous"), F.col("current")).alias("delta"), changed(F.col("previous"), F.col("current")).alias("changed"))
-        return Change(self._upserted(written.select(self.key, F.col("current").alias(self.value))), result)
+        new = written.select(self.key, F.col("current").alias(self.value))
+        return Change(self._upserted(new), result, new)
 
     def update_all(self, updater: KeyedUpdater, keys: KeyRange | None = None) -> Change:
         """update_keyed() of all entries of a range, without a join."""
@@ -235,8 +244,9 @@ class KVTable:
         """Bulk load of unique keys: new entries win, or go behind the existing ones."""
         new = run.select(self.key, self.value)
         if replace_existing:
-            return Change(self._upserted(new))
-        return Change(self._with(self.df.select(self.key, self.value).unionByName(new.join(self.df, self.key, "left_anti"))))
+            return Change(self._upserted(new), None, new)
+        behind = new.join(self.df, self.key, "left_anti")
+        return Change(self._with(self.df.select(self.key, self.value).unionByName(behind)), None, behind)
 
 
 def deltas_between(old: KVTable, new: KVTable) -> DataFrame:

@@ -1,6 +1,6 @@
 """The search query tree compiled to DataFrame conditions and scores.
 
-A search is one scan: texts are tokenised once, each node becomes a condition
+A search over a plain table is one scan: texts are tokenised once, each node becomes a condition
 and a score over the tokens, and corpus statistics are literals from one
 aggregate over just the terms the query names.
 
@@ -144,7 +144,7 @@ class Compiler:
         boosts = dict((b.split("^") + ["1"])[:2] for b in query.qf)
         chosen = []
         for name in query.fieldList:
-            tokens = F.col(index.tokens_name(name)) if query.maxNtp is None else F.slice(index.tokens_name(name), 1, query.maxNtp)
+            tokens = F.col(Index.tokens_name(name)) if query.maxNtp is None else F.slice(Index.tokens_name(name), 1, query.maxNtp)
             words = seed.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
             words = words.where((F.col("tf") >= (2 if query.minTf is None else query.minTf)) & F.length("term").between(query.minWl or 0, query.maxWl or 2**31 - 1))
             stats = self.statistics({(name, r.term) for r in words.select("term").collect()})
@@ -172,9 +172,9 @@ class Compiler:
         listed = sorted(terms)
         asked = []
         for i, name in enumerate(fields_):
-            tokens = F.col(self.index.tokens_name(name))
+            tokens = F.col(Index.tokens_name(name))
             asked += [F.count_if(F.size(tokens) > 0).alias(f"n{i}"), F.sum(F.size(tokens)).alias(f"l{i}")]
-        asked += [F.count_if(F.array_contains(self.index.tokens_name(f), t)).alias(f"t{i}") for i, (f, t) in enumerate(listed)]
+        asked += [F.count_if(F.array_contains(Index.tokens_name(f), t)).alias(f"t{i}") for i, (f, t) in enumerate(listed)]
         row = self.index.tokenised().agg(*asked).first()
         documents = {f: row[f"n{i}"] for i, f in enumerate(fields_)}
         length = {f: (row[f"l{i}"] or 0) / max(1, row[f"n{i}"]) for i, f in enumerate(fields_)}
@@ -212,7 +212,7 @@ class Compiler:
         if name not in self.index.texts:
             raise ValueError(f"{name} is no text field")
         self.used.add(name)
-        return F.col(self.index.tokens_name(name)) if self.scope is None else self.scope[name]
+        return F.col(Index.tokens_name(name)) if self.scope is None else self.scope[name]
 
     def bm25(self, name: str, tf: Column, idf: float) -> Column:
         average = self.stats.length.get(name) or 1.0
@@ -289,8 +289,7 @@ class Compiler:
         def occurrences(tokens: Column) -> Column:
             at, word = places[0]
             spots = F.filter(F.transform(tokens, lambda w, i: F.when(w == word, i - at)), lambda i: i.isNotNull())
-            starts = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.sequence(i - slop, i)))) if slop else spots
-            return F.size(F.filter(starts, lambda i: F.coalesce(holds(tokens, i), F.lit(False))))
+            return F.size(F.filter(phrase_starts(spots, slop), lambda i: F.coalesce(holds(tokens, i), F.lit(False))))
 
         def holds(tokens: Column, i: Column) -> Column:
             if slop == 0:
@@ -304,6 +303,11 @@ class Compiler:
         return Compiled(every & (found > 0), self.bm25(name, found, sum(self.stats.idf(name, t) for t in distinct)))
 
 
+def phrase_starts(spots: Column, slop: int) -> Column:
+    """Where a phrase may start if its first term is due at ``spots``."""
+    return F.array_distinct(F.flatten(F.transform(spots, lambda i: F.sequence(i - slop, i)))) if slop else spots
+
+
 @dataclass(frozen=True)
 class _KeyIs(n.Query):
     key: str

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kvloom.plans import nodes as n
 from kvloom.plans.compiler import Compiler, Index
+from kvloom.plans.stored import StoredIndex, stored_matches
 
 DIGITS = 6
 
@@ -72,8 +73,14 @@ class Hits:
             context.removeJobTag(tag)
 
 
-def matches(index: Index, query: n.Query, mode: ScoreMode = ScoreMode.COMPLETE) -> DataFrame:
-    """All rows of the index that meet the query, with ``score`` if the mode has scores."""
+def matches(index: Index | StoredIndex, query: n.Query, mode: ScoreMode = ScoreMode.COMPLETE, columns: list[str] | None = None) -> DataFrame:
+    """All rows of the index that meet the query, with ``score`` if the mode has scores.
+
+    ``columns`` names the columns that are needed; of a stored index the key
+    alone is there without reading documents.
+    """
+    if isinstance(index, StoredIndex):
+        return stored_matches(index, query, mode.scored, columns)
     compiler = Compiler(index)
     made = compiler.compile(query, mode.scored)
     if not compiler.used:
@@ -92,10 +99,11 @@ def matches(index: Index, query: n.Query, mode: ScoreMode = ScoreMode.COMPLETE)
     return found.withColumn("score", F.col("__score")).drop("__score") if mode.scored else found.drop("__score")
 
 
-def search(index: Index, params: n.QueryParams, mode: ScoreMode | None = None) -> Hits:
+def search(index: Index | StoredIndex, params: n.QueryParams, mode: ScoreMode | None = None) -> Hits:
     """Order, then offset and limit; the key breaks ties in every order."""
     mode = mode or (ScoreMode.COMPLETE if isinstance(params.sort, n.ScoreSort) else ScoreMode.NO_SCORES)
-    found, key = matches(index, params.query, mode), F.col(index.key)
+    needed = [index.key, params.sort.field] if isinstance(params.sort, n.NumericSort) else [index.key]
+    found, key = matches(index, params.query, mode, needed), F.col(index.key)
     match params.sort:
         case n.ScoreSort():
             order = [F.col("score").desc(), key.asc()]

@@ -21,8 +21,9 @@ from kvloom.operators.stages import Holder, KeyLevel, Node, Shape
 from kvloom.operators.table import KVTable, deltas_between
 from kvloom.plans import nodes as n
 from kvloom.plans.compiler import text_index
-from kvloom.plans.search import matches, search
-from kvloom.sources.scratch import shared_folder
+from kvloom.plans.search import ScoreMode, matches, search
+from kvloom.plans.stored import StoredIndex, write_index
+from kvloom.sources.scratch import modified, shared_folder
 from kvloom.sources.store import Connection, LocalSettings, MemoryDatabase
 from kvloom.streaming import tables
 
@@ -579,12 +580,20 @@ def bm25_sql(*terms: str, boosts: dict[str, float] | None = None) -> str:
         FROM f JOIN g USING (t), s WHERE tf > 0 GROUP BY doc_id"""
 
 
-def documents(spark, d):
-    return text_index(table(spark, d, "documents"), "doc_id", "text")
+_indexes: dict[tuple, StoredIndex] = {}
+
+
+def documents(spark, d) -> StoredIndex:
+    """The index of documents, written once a session for a state of the files."""
+    df = table(spark, d, "documents")
+    name = (spark.sparkContext.applicationId, d, tuple(sorted((f, modified(spark, f)) for f in df.inputFiles())))
+    if name not in _indexes:
+        _indexes[name] = write_index(text_index(df, "doc_id", "text"), f"{shared_folder(spark)}/kvloom-index-{uuid.uuid4().hex}")
+    return _indexes[name]
 
 
 def scored(spark, d, q: n.Query) -> DataFrame:
-    return matches(documents(spark, d), q).select("doc_id", "score")
+    return matches(documents(spark, d), q, columns=["doc_id"]).select("doc_id", "score")
 
 
 def term(word: str, field: str = "text") -> n.TermQuery:

@@ -27,6 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def modified(spark: SparkSession, file: str) -> int:
+    """When a file of any file system was last written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """``df`` computed once, in the shared folder.
 

@@ -1,10 +1,15 @@
 """Databases of named columns with immutable versions.
 
 A disk database is a folder: ``data/<column>/<id>`` holds Parquet written once,
-``versions/<n>.json`` names what version n consists of.  A commit writes data
-first and then creates the next version file, which fails if another writer
-has made it: compare and swap.  Readers pin a version and are never disturbed.
-A memory database keeps the same versions as DataFrames.
+``versions/<n>.json`` names the runs that each column of version n consists of.
+The first run is the base; later ones are deltas, written keys with their
+values, null for deleted keys.  A write of single keys appends a delta; readers
+merge the runs by key, the last one wins.  ``MOST_RUNS`` deltas are merged into
+one, and with the base once they hold ``REWRITE`` of its rows.
+
+A commit writes data first and then creates the next version file, which fails
+if another writer has made it: compare and swap.  Readers pin a version and are
+never disturbed.  A memory database keeps the same versions as DataFrames.
 
 File semantics: creating the version file must be atomic and exclusive.  Local
 files use O_EXCL; other file systems use Hadoop's create without overwrite,
@@ -16,30 +21,54 @@ from __future__ import annotations
 import json
 import os
 import random
+import threading
 import time
 import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from enum import Enum
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvloom.functions.ranges import FileRange, KeyRange
 from kvloom.operators.deltas import UpdateMode
-from kvloom.operators.stages import Cell, Holder, KeyLevel, LongCounter, Node, Shape
+from kvloom.operators.stages import Cell, Holder, IntCounter, KeyLevel, LongCounter, Node, Shape, written_into
 from kvloom.operators.streams import backoff, indexed
 from kvloom.operators.table import KVTable
+from kvloom.sources.scratch import pinned
 
 BINARY_ENTRY = T.StructType([T.StructField("key", T.BinaryType(), False), T.StructField("value", T.BinaryType(), False)])
 
 
+MOST_RUNS = 8
+REWRITE = 0.25
+MOST_SENT = 1_000_000
+
+
 class Conflict(RuntimeError):
     """Another writer has committed the version first."""
 
 
+@dataclass(frozen=True)
+class Delta:
+    """Rows to write into a column: unique keys with their values, null (the last column) for deleted ones."""
+
+    rows: DataFrame
+
+
+class Isolation(Enum):
+    """How a write meets other writers: it runs again after a conflict; it holds a lock; or the last one wins."""
+
+    OPTIMISTIC = "optimistic"
+    PESSIMISTIC = "pessimistic"
+    PLAIN = "plain"
+
+
 @dataclass(frozen=True)
 class MemorySettings:
     pass
@@ -136,9 +165,14 @@ class Folder:
         self._fs.delete(self._path(self.at(*parts)), True)
 
 
+def _sums(columns: list[str]) -> list[Column]:
+    """rows and checksum, independent of order and files."""
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*sorted(columns))), F.lit(0)).alias("checksum")]
+
+
 def checksum(df: DataFrame) -> DataFrame:
-    """One row (rows, checksum), independent of order and files."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*sorted(df.columns))), F.lit(0)).alias("checksum"))
+    """One row (rows, checksum)."""
+    return df.agg(*_sums(df.columns))
 
 
 class Database(ABC):
@@ -156,12 +190,16 @@ class Database(ABC):
     def load(self, column: str, version: int) -> DataFrame: ...
 
     @abstractmethod
-    def commit(self, expected: int, new: dict[str, DataFrame]) -> int:
-        """Make version ``expected + 1`` with the new columns; Conflict if the head has moved."""
+    def commit(self, expected: int, new: dict[str, DataFrame | Delta]) -> int:
+        """Make version ``expected + 1`` with the new columns or deltas; Conflict if the head has moved."""
 
     @abstractmethod
     def take_snapshot(self) -> Snapshot: ...
 
+    @abstractmethod
+    def locked(self):
+        """A context in which no other pessimistic writer is at work."""
+
     @abstractmethod
     def release_snapshot(self, snapshot: Snapshot) -> None: ...
 
@@ -178,14 +216,23 @@ class Database(ABC):
             raise KeyError(f"unknown snapshot {snapshot.id}")
         return self.load(column, snapshot.version)
 
-    def transact(self, fn: Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]], retries: int = 20) -> int:
-        """Optimistic commit: ``fn`` gets a reader of one version and returns new columns; it runs again on a conflict."""
+    def transact(self, fn: Callable[[Callable[[str], DataFrame]], dict[str, DataFrame | Delta]], retries: int = 20, isolation: Isolation = Isolation.OPTIMISTIC) -> int:
+        """Commit what ``fn`` makes of a reader of one version: new columns or deltas.
+
+        Optimistic: ``fn`` runs again after a conflict.  Pessimistic: a lock keeps
+        other pessimistic writers out meanwhile.  Plain: what ``fn`` made of an
+        older version is put upon a newer one.
+        """
         if self.read_only:
             raise PermissionError("the database is open for reading")
+        if isolation is Isolation.PESSIMISTIC:
+            with self.locked():
+                return self.transact(fn, retries)
+        made = fn(lambda column, v=self.head(): self.load(column, v)) if isolation is Isolation.PLAIN else None
         for turn in range(retries):
             version = self.head()
             try:
-                return self.commit(version, fn(lambda column, v=version: self.load(column, v)))
+                return self.commit(version, made if made is not None else fn(lambda column, v=version: self.load(column, v)))
             except Conflict:
                 time.sleep(backoff(turn, unit=random.random()) / 1000)
         raise Conflict(f"{retries} commits were overtaken")
@@ -211,6 +258,9 @@ class Database(ABC):
     def long_counter(self, column: str, name: str, default: int = 0) -> LongCounter:
         return LongCounter.open(self._cells(column), name, default)
 
+    def int_counter(self, column: str, name: str, default: int = 0) -> IntCounter:
+        return IntCounter.open(self._cells(column), name, default)
+
     def _cells(self, column: str) -> Node:
         schema = self.columns[column]
         return self.collection(column, [KeyLevel(schema[0].name, schema[0].dataType)], schema[1].dataType)
@@ -222,7 +272,14 @@ class Database(ABC):
         if column not in self.columns:
             raise KeyError(f"no column {column}")
         run = self.spark.read.schema(self.columns[column]).parquet(*paths)
-        return self.transact(lambda read: {column: KVTable(read(column)).ingest(run, replace_existing).table.df})
+        return self.transact(lambda read: {column: Delta(KVTable(read(column)).ingest(run, replace_existing).written)})
+
+    def ingest_all(self, path: str, replace_existing: bool = True) -> list[str]:
+        """Load the runs under ``path``, in a folder for each column; the columns loaded."""
+        found = [c for c in Folder(self.spark, path).names() if c in self.columns]
+        for column in found:
+            self.ingest(column, [f"{path}/{column}"], replace_existing)
+        return found
 
     def export(self, column: str, path: str, most_rows: int = 10_000_000, keys: KeyRange | None = None) -> None:
         """Entries in key order into files of at most ``most_rows``."""
@@ -243,19 +300,22 @@ class Database(ABC):
         return self.transact(lambda read: {c: read(c).repartitionByRange(schema[0].name).sortWithinPartitions(schema[0].name) for c, schema in self.columns.items()})
 
     def verify(self, column: str | None = None) -> DataFrame:
-        """(column, rows, checksum, expected, sound) against what was recorded at the commit."""
+        """(column, rows, checksum, expected, sound) against what was recorded at the commits, run by run."""
         rows = []
         for c in [column] if column else list(self.columns):
-            now, then = checksum(self.read(c)).first(), self._recorded(c)
-            rows.append((c, now.rows, now.checksum, then, then is None or then == now.checksum))
+            now, then = self._now(c), self._recorded(c)
+            rows.append((c, self.read(c).count(), now, then, then is None or then == now))
         return self.spark.createDataFrame(rows, "column string, rows long, checksum long, expected long, sound boolean")
 
+    def _now(self, column: str) -> int:
+        return checksum(self.read(column)).first().checksum
+
     def _recorded(self, column: str) -> int | None:
         return None
 
     def verify_files(self, column: str, keys: KeyRange | None = None) -> DataFrame:
-        """(file, rows, checksum, first, last) of the files of a column."""
-        df = self.read(column).where((keys or KeyRange.all()).predicate("key"))
+        """(file, rows, checksum, first, last) of the files of a column, as they are: a key may be in several runs."""
+        df = self.stored(column).where((keys or KeyRange.all()).predicate("key"))
         return df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("key", "value")).alias("checksum"), F.min("key").alias("first"), F.max("key").alias("last"))
 
     def scan_events(self, column: str):
@@ -272,8 +332,12 @@ class Database(ABC):
             yield ("ok", file, rows)
         yield ("report", column, total)
 
+    def stored(self, column: str) -> DataFrame:
+        """The rows of all files of a column, before runs are merged."""
+        return self.read(column)
+
     def files(self, column: str) -> list[str]:
-        return self.read(column).inputFiles()
+        return self.stored(column).inputFiles()
 
     def properties(self) -> DataFrame:
         """(column, version, files, rows, bytes)."""
@@ -290,6 +354,7 @@ class MemoryDatabase(Database):
         super().__init__(spark, name, columns)
         self.versions = [{c: spark.createDataFrame([], s) for c, s in columns.items()}]
         self.pins: dict[str, int] = {}
+        self._commits, self._writers = threading.Lock(), threading.RLock()
 
     def head(self) -> int:
         return len(self.versions) - 1
@@ -297,11 +362,18 @@ class MemoryDatabase(Database):
     def load(self, column: str, version: int) -> DataFrame:
         return self.versions[version][column]
 
-    def commit(self, expected: int, new: dict[str, DataFrame]) -> int:
-        if expected != self.head():
-            raise Conflict(str(expected))
-        self.versions.append(self.versions[-1] | {c: df.select(*self.columns[c].names) for c, df in new.items()})
-        return self.head()
+    def commit(self, expected: int, new: dict[str, DataFrame | Delta]) -> int:
+        with self._commits:
+            if expected != self.head():
+                raise Conflict(str(expected))
+            held = self.versions[-1]
+            # a delta often reads the table it goes into: pinned, the plan doesn't hold itself twice
+            made = {c: written_into(held[c], pinned(x.rows.select(*self.columns[c].names))) if isinstance(x, Delta) else x.select(*self.columns[c].names) for c, x in new.items()}
+            self.versions.append(held | made)
+            return self.head()
+
+    def locked(self):
+        return self._writers
 
     def take_snapshot(self) -> Snapshot:
         snapshot = Snapshot(uuid.uuid4().hex, self.head())
@@ -337,26 +409,101 @@ class DiskDatabase(Database):
     def manifest(self, version: int) -> dict:
         return json.loads(self.folder.read("versions", _version_name(version)))["columns"]
 
+    def runs(self, column: str, version: int | None = None) -> list[dict]:
+        """The runs of a column, the base first."""
+        return self.manifest(self.head() if version is None else version).get(column, [])
+
     def load(self, column: str, version: int) -> DataFrame:
-        held = self.manifest(version).get(column)
-        if held is None:
-            return self.spark.createDataFrame([], self.columns[column])
-        return self.spark.read.schema(self.columns[column]).parquet(self.folder.at("data", column, held["id"]))
+        return self._merged(column, self.runs(column, version))
+
+    def _run(self, column: str, run: dict) -> DataFrame:
+        return self.spark.read.schema(self.columns[column]).parquet(self.folder.at("data", column, run["id"]))
 
-    def commit(self, expected: int, new: dict[str, DataFrame]) -> int:
+    def stored(self, column: str) -> DataFrame:
+        out = self.spark.createDataFrame([], self.columns[column])
+        for run in self.runs(column):
+            out = out.unionByName(self._run(column, run))
+        return out
+
+    def _latest(self, column: str, deltas: list[dict]) -> DataFrame:
+        """The last written row of each key of the deltas."""
+        if len(deltas) == 1:
+            return self._run(column, deltas[0])
+        *keys, value = self.columns[column].names
+        frames = [self._run(column, run).withColumn("__seq", F.lit(i)) for i, run in enumerate(deltas)]
+        rows = frames[0]
+        for df in frames[1:]:
+            rows = rows.unionByName(df)
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(value), "__seq").alias("__last"))
+        return last.select(*keys, F.col(f"__last.{value}").alias(value))
+
+    def _merged(self, column: str, runs: list[dict]) -> DataFrame:
+        if not runs:
+            return self.spark.createDataFrame([], self.columns[column])
+        base = self._run(column, runs[0])
+        if len(runs) == 1:
+            return base
+        latest = self._latest(column, runs[1:])
+        *keys, value = self.columns[column].names
+        gone = latest.select(*keys)
+        small = sum(run["rows"] for run in runs[1:]) <= MOST_SENT
+        kept = base.join(F.broadcast(gone) if small else gone, keys, "left_anti")
+        return kept.unionByName(latest.where(F.col(value).isNotNull()))
+
+    def _write(self, column: str, df: DataFrame) -> dict:
+        """A new run; its sums are taken while it is written."""
+        id_, told = uuid.uuid4().hex, Observation()
+        rows = df.select(*self.columns[column].names)
+        writer = rows.observe(told, *_sums(rows.columns)).write.option("compression", self.settings.compression)
+        if self.settings.bloom_keys:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{self.columns[column][0].name}", "true")
+        writer.parquet(self.folder.at("data", column, id_))
+        return {"id": id_, "rows": told.get["rows"], "checksum": told.get["checksum"]}
+
+    def commit(self, expected: int, new: dict[str, DataFrame | Delta]) -> int:
         held = dict(self.manifest(expected))
-        for column, df in new.items():
-            id_ = uuid.uuid4().hex
-            path = self.folder.at("data", column, id_)
-            writer = df.select(*self.columns[column].names).write.option("compression", self.settings.compression)
-            if self.settings.bloom_keys:
-                writer = writer.option(f"parquet.bloom.filter.enabled#{self.columns[column][0].name}", "true")
-            writer.parquet(path)
-            told = checksum(self.spark.read.schema(self.columns[column]).parquet(path)).first()
-            held[column] = {"id": id_, "rows": told.rows, "checksum": told.checksum}
+        for column, change in new.items():
+            runs = held.get(column, [])
+            if not isinstance(change, Delta):
+                held[column] = [self._write(column, change)]
+                continue
+            if not runs:
+                held[column] = [self._write(column, change.rows.where(F.col(self.columns[column].names[-1]).isNotNull()))]
+                continue
+            run = self._write(column, change.rows.coalesce(self._parts()))
+            held[column] = self._settled(column, [*runs, run] if run["rows"] else runs)
         self.folder.create(json.dumps({"columns": held}), "versions", _version_name(expected + 1))
         return expected + 1
 
+    def _parts(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _settled(self, column: str, runs: list[dict]) -> list[dict]:
+        """The runs, merged where there are many."""
+        base, deltas = runs[0], runs[1:]
+        if len(deltas) <= MOST_RUNS:
+            return runs
+        if sum(run["rows"] for run in deltas) >= REWRITE * base["rows"]:
+            return [self._write(column, self._merged(column, runs))]
+        return [base, self._write(column, self._latest(column, deltas))]
+
+    @contextmanager
+    def locked(self, wait: float = 60.0):
+        """A lock file; a writer that died leaves it behind, and it is then to be deleted by hand."""
+        start = time.monotonic()
+        while True:
+            try:
+                self.folder.create(json.dumps({"process": os.getpid()}), "locks", "writer")
+                break
+            except Conflict:
+                if time.monotonic() - start > wait:
+                    raise
+                time.sleep(0.05)
+        try:
+            yield
+        finally:
+            self.folder.delete("locks", "writer")
+
     def take_snapshot(self) -> Snapshot:
         snapshot = Snapshot(uuid.uuid4().hex, self.head())
         self.folder.create(json.dumps({"version": snapshot.version}), "pins", snapshot.id)
@@ -370,22 +517,28 @@ class DiskDatabase(Database):
     def _pinned(self) -> dict[str, int]:
         return {n: json.loads(self.folder.read("pins", n))["version"] for n in self.folder.names("pins") if not n.endswith(".crc")}
 
+    def _now(self, column: str) -> int:
+        total = 0
+        for run in self.runs(column):
+            total ^= checksum(self._run(column, run)).first().checksum
+        return total
+
     def _recorded(self, column: str) -> int | None:
-        held = self.manifest(self.head()).get(column)
-        return held and held["checksum"]
+        total = 0
+        for run in self.runs(column):
+            total ^= run["checksum"]
+        return total
 
     def approximate_size(self, column: str) -> int:
-        """Rows as recorded at the commit; nothing is scanned."""
-        held = self.manifest(self.head()).get(column)
-        return held["rows"] if held else 0
+        """Rows as recorded at the commits, an upper bound once there are deltas; nothing is scanned."""
+        return sum(run["rows"] for run in self.runs(column))
 
     def _bytes(self, column: str) -> int:
-        held = self.manifest(self.head()).get(column)
-        return self.folder.size("data", column, held["id"]) if held else 0
+        return sum(self.folder.size("data", column, run["id"]) for run in self.runs(column))
 
     def vacuum(self) -> list[str]:
         """Delete data that neither the head nor a pinned version uses; no writer may be at work."""
-        used = {(c, held["id"]) for v in {self.head(), *self._pinned().values()} for c, held in self.manifest(v).items()}
+        used = {(c, run["id"]) for v in {self.head(), *self._pinned().values()} for c, runs in self.manifest(v).items() for run in runs}
         gone = [(c, i) for c in self.folder.names("data") for i in self.folder.names("data", c) if (c, i) not in used]
         for c, i in gone:
             self.folder.delete("data", c, i)
@@ -393,11 +546,13 @@ class DiskDatabase(Database):
 
     def all_versions(self, column: str) -> DataFrame:
         """(version, key, value) of every version that is still on disk, old values and deleted keys included."""
-        frames = []
+        frames = [self.spark.createDataFrame([], self.columns[column]).withColumn("version", F.lit(0))]
         for name in self.folder.names("versions"):
+            if not name.endswith(".json"):
+                continue  # a commit at work
             version = int(name.removesuffix(".json"))
-            held = self.manifest(version).get(column)
-            if held and self.folder.exists("data", column, held["id"]):
+            runs = self.runs(column, version)
+            if runs and all(self.folder.exists("data", column, run["id"]) for run in runs):
                 frames.append(self.load(column, version).withColumn("version", F.lit(version)))
         out = frames[0]
         for df in frames[1:]:
@@ -420,8 +575,9 @@ class DiskDatabase(Database):
         head = self.head()
         other = Folder(self.spark, path)
         held = self.manifest(head)
-        for column, one in held.items():
-            self.load(column, head).write.parquet(other.at("data", column, one["id"]))
+        for column, runs in held.items():
+            for run in runs:
+                self._run(column, run).write.parquet(other.at("data", column, run["id"]))
         other.create(json.dumps({"columns": held}), "versions", _version_name(0))
 
 
@@ -447,7 +603,7 @@ class Dictionary:
         def step(read):
             change = operation(KVTable(read(self.column), mode=self.mode))
             told[:] = [change.result]
-            return {self.column: change.table.df}
+            return {self.column: Delta(change.written) if change.written is not None else change.table.df}
 
         self.database.transact(step)
         return told[0]
@@ -468,6 +624,37 @@ class StoredHolder(Holder):
     def change(self, fn: Callable[[DataFrame], DataFrame]) -> None:
         self.database.transact(lambda read: {self.column: fn(read(self.column))})
 
+    def apply(self, fn: Callable[[DataFrame], DataFrame]) -> None:
+        self.database.transact(lambda read: {self.column: Delta(fn(read(self.column)))})
+
+
+class WriteBatch:
+    """Puts and removals gathered on the driver and committed ``most`` at a time, and at the end of the context."""
+
+    def __init__(self, dictionary: Dictionary, most: int = 50_000):
+        self.dictionary, self.most, self.pairs, self.commits = dictionary, most, [], 0
+
+    def put(self, key: Any, value: Any) -> None:
+        self.pairs.append((key, value))
+        if len(self.pairs) >= self.most:
+            self.flush()
+
+    def remove(self, key: Any) -> None:
+        self.put(key, None)
+
+    def flush(self) -> None:
+        if self.pairs:
+            pairs, self.pairs = self.pairs, []
+            self.dictionary.write(lambda t: t.put_multi(pairs))
+            self.commits += 1
+
+    def __enter__(self) -> WriteBatch:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is None:
+            self.flush()
+
 
 @dataclass
 class Connection:
@@ -517,3 +704,32 @@ class CompositeSnapshot:
     def release(self, databases: list[Database]) -> None:
         for d in databases:
             d.release_snapshot(self.parts[d.name])
+
+
+@dataclass(frozen=True)
+class CompositeDatabase:
+    """Several databases as one: their columns by database name, one snapshot over all."""
+
+    databases: dict[str, Database]
+
+    def read(self, name: str, column: str, snapshot: CompositeSnapshot | None = None) -> DataFrame:
+        database = self.databases[name]
+        return database.read(column, snapshot.of(database) if snapshot else None)
+
+    def take_snapshot(self) -> CompositeSnapshot:
+        return CompositeSnapshot.take(list(self.databases.values()))
+
+    def release_snapshot(self, snapshot: CompositeSnapshot) -> None:
+        snapshot.release(list(self.databases.values()))
+
+    def verify(self) -> DataFrame:
+        """(database, column, rows, checksum, expected, sound) of all columns."""
+        frames = [d.verify().withColumn("database", F.lit(name)) for name, d in self.databases.items()]
+        out = frames[0]
+        for df in frames[1:]:
+            out = out.unionByName(df)
+        return out.select("database", "column", "rows", "checksum", "expected", "sound")
+
+    def compact(self) -> None:
+        for database in self.databases.values():
+            database.compact()

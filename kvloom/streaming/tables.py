@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from kvloom.operators.stages import wrapping_add
 from kvloom.operators.table import KVTable
-from kvloom.sources.store import Database
+from kvloom.sources.store import Database, Delta
 
 #: The column of batch numbers that a database needs for streams.
 PROGRESS = "stream_progress"
@@ -29,7 +29,7 @@ def _once(database: Database, stream: str, batch: int, change) -> None:
         done = progress.get(stream).first()
         if done is not None and done.value >= batch:
             return {}
-        return change(read) | {PROGRESS: progress.put(stream, batch).table.df}
+        return change(read) | {PROGRESS: Delta(progress.put(stream, batch).written)}
 
     database.transact(step)
 
@@ -41,8 +41,8 @@ def count_into(stream: DataFrame, database: Database, column: str, name: str, ke
         added = batch.groupBy(key.alias("key")).agg(F.sum(F.lit(1).cast("long") if amount is None else amount).alias("added")).where(F.col("key").isNotNull())
 
         def change(read):
-            met = read(column).join(added, "key", "full_outer")
-            return {column: met.select("key", wrapping_add(F.col("value"), F.col("added")).alias("value"))}
+            met = added.join(read(column), "key", "left")  # the counters of the batch only
+            return {column: Delta(met.select("key", wrapping_add(F.col("value"), F.col("added")).alias("value")))}
 
         _once(database, name, number, change)
 
@@ -54,7 +54,7 @@ def upsert_into(stream: DataFrame, database: Database, column: str, name: str, s
 
     def put(batch: DataFrame, number: int) -> None:
         entries = batch.select("key", "value", seq.alias("seq"))
-        _once(database, name, number, lambda read: {column: KVTable(read(column)).put_multi(entries).table.df})
+        _once(database, name, number, lambda read: {column: Delta(KVTable(read(column)).put_multi(entries).written)})
 
     return _start(stream, put, checkpoint, once)
 
