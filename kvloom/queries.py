@@ -21,7 +21,7 @@ from kvloom.operators.stages import Holder, KeyLevel, Node, Shape
 from kvloom.operators.table import KVTable, deltas_between
 from kvloom.plans import nodes as n
 from kvloom.plans.compiler import text_index
-from kvloom.plans.search import ScoreMode, matches, search
+from kvloom.plans.search import matches, search
 from kvloom.plans.stored import StoredIndex, write_index
 from kvloom.sources.scratch import modified, shared_folder
 from kvloom.sources.store import Connection, LocalSettings, MemoryDatabase
@@ -32,13 +32,19 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def register(name: str, fn: Query, sql: str | None) -> None:
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered already")
+    QUERIES[name] = fn
+    if sql is not None:
+        ORACLE_SQL[name] = sql
+
+
 def query(sql: str | None = None):
     """Register a query under its function's name."""
 
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLE_SQL[fn.__name__] = sql
+        register(fn.__name__, fn, sql)
         return fn
 
     return add
@@ -304,21 +310,6 @@ def m_verify(spark, d):
     return _stored_orders(spark, d).verify().select("column", "rows", "sound")
 
 
-@query()
-def m_verify_files(spark, d):
-    return hexed(_stored_orders(spark, d).verify_files("orders"), "first", "last")
-
-
-@query()
-def m_approx_size(spark, d):
-    return orders(spark, d).approximate_size()
-
-
-@query()
-def m_properties(spark, d):
-    return _stored_orders(spark, d).properties()
-
-
 @query("SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys FROM orders")
 def m_compact(spark, d):
     database = _stored_orders(spark, d)
@@ -354,14 +345,6 @@ def map_nested_at(spark, d):
     return nested_orders(spark, d).at(7).entries(reverse=True)
 
 
-@query("SELECT o_custkey, count(*) AS n, string_agg(o_orderkey || '=' || o_orderstatus, ',' ORDER BY o_orderkey) AS joined FROM orders GROUP BY o_custkey")
-def map_nested_maps(spark, d):
-    entry = F.struct("o_orderkey", "value")
-    maps = nested_orders(spark, d).rows().groupBy("o_custkey").agg(F.array_sort(F.collect_list(entry)).alias("m"))
-    joined = F.array_join(F.transform("m", lambda e: F.concat(e["o_orderkey"].cast("string"), F.lit("="), e["value"])), ",")
-    return maps.select("o_custkey", F.size("m").cast("long").alias("n"), joined.alias("joined"))
-
-
 @query("SELECT o_custkey, o_orderkey, o_orderstatus AS value FROM orders WHERE o_custkey <> 7 UNION ALL VALUES (7, 1, 'Z')")
 def map_nested_set(spark, d):
     node = nested_orders(spark, d)
@@ -376,13 +359,6 @@ def map_replace_all(spark, d):
     return node.rows()
 
 
-@query("SELECT p_name AS key, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY p_name")
-def map_hashed_entries(spark, d):
-    held = stages.hashed(table(spark, d, "part").select(F.col("p_name").alias("key"), F.col("p_partkey").alias("value")), "key")
-    entries = stages.buckets(held, "key", "value").select(F.explode("entries").alias("e"))
-    return entries.groupBy("e.key").agg(F.count(F.lit(1)).alias("n"), F.min("e.value").alias("first"))
-
-
 def event_types(spark, d) -> Node:
     return stages.key_set(spark, KeyLevel("event_type", T.StringType()), df=table(spark, d, "events"))
 
@@ -751,3 +727,7 @@ def a_stopwords(spark, d):
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE 6371.0088 * 2 * asin(sqrt(pow(sin(radians(c_nationkey - 10) / 2), 2) + cos(radians(c_nationkey)) * cos(radians(10)) * pow(sin(radians(c_custkey % 90 - 20) / 2), 2))) <= 900")
 def a_coordinates(spark, d):
     return table(spark, d, "customer").where(text.within_km(F.col("c_nationkey"), F.col("c_custkey") % 90, 10.0, 20.0, 900.0)).select("c_custkey", "c_acctbal")
+
+
+# the rest, by theme
+from kvloom import queries_collections, queries_points, queries_store, queries_values  # noqa: E402, F401
