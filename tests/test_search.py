@@ -13,6 +13,7 @@ from kvloom.plans import forms
 from kvloom.plans import nodes as n
 from kvloom.plans.compiler import Compiler, text_index
 from kvloom.plans.search import Hits, ScoreMode, matches, search
+from kvloom.plans.stored import write_index
 
 DOCS = [
     (1, "the quick brown fox", 3, [1.0, 2.0], 1.5), (2, "quick fox, brown dog", 7, [0.0, 0.5], 2.5), (3, "lazy dog sleeps; lazy lazy dog", None, [1.0, 2.0], 3.5),
@@ -96,6 +97,36 @@ def test_matches(index, q, want):
     assert ids(index, q) == want
 
 
+@pytest.fixture(scope="module")
+def stored(index, tmp_path_factory):
+    return write_index(index, str(tmp_path_factory.mktemp("index") / "i"))
+
+
+MORE = [n.BoostQuery(any_, 2.0) for any_ in (n.SynonymQuery("body", (n.TermAndBoost(n.Term("body", "fox"), 1.0), n.TermAndBoost(n.Term("body", "dog"), 0.5))), phrase(2, "brown", "quick"))]
+MORE += [n.MoreLikeThisQuery("1", ("body",), minTf=1, minDf=1, maxQt=2, minWl=4), n.MoreLikeThisQuery("99", ("body",)), n.WildcardQuery("body", "f?x"), n.MatchAllDocsQuery(), n.MatchNoDocsQuery()]
+MORE += [n.BooleanQuery((part(term("fox"), MUST), part(term("dog"), SHOULD), part(n.BoostQuery(term("brown"), 3.0), SHOULD))), n.BooleanQuery((part(term("fox"), SHOULD), part(term("fox"), SHOULD), part(phrase(0, "fox"), SHOULD)), 3)]
+
+
+@pytest.mark.parametrize("q", [q for q, _ in CASES] + MORE)
+def test_a_stored_index_gives_the_same_rows_and_scores(index, stored, q):
+    rows = lambda of: {r.id: (r.body, r.score) for r in matches(of, q).collect()}
+    got, want = rows(stored), rows(index)
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert {i: x[1] for i, x in got.items()} == pytest.approx({i: x[1] for i, x in want.items()}, abs=2e-6)
+    assert {r.id for r in matches(stored, q, ScoreMode.NO_SCORES, ["id"]).collect()} == set(want)
+
+
+def test_a_term_query_reads_the_postings_of_its_term(stored):
+    plan = matches(stored, term("fox"), columns=["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(field,body)" in plan and ("EqualTo(term,fox)" in plan or "In(term, [fox])" in plan) and "documents" not in plan
+
+
+def test_pages_of_a_stored_index(stored, index):
+    for sort in (n.DocSort(), n.NumericSort("num", True), n.ScoreSort(), n.RandomSort("s")):
+        params = n.QueryParams(term("fox"), 1, 2, sort)
+        assert [tuple(r) for r in search(stored, params).collect()] == [tuple(r) for r in search(index, params).collect()]
+
+
 NUMERIC = [(name, cls) for name, cls in sorted(n.QUERIES.items()) if issubclass(cls, n.NumericQuery)]
 
 
