@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kvloom.plans import fields
 from kvloom.plans import nodes as n
 from kvloom.plans.compiler import text_index
 from kvloom.plans.search import ScoreMode, matches, search
@@ -60,6 +61,31 @@ for _point in _PARTS:
             _one(_point, _kind, True)
 
 
+_KINDS = {"lang": "StringFieldStored", "source": "StringField", "n_chars": "LongPoint", "text": "TextField", "doc_id": "LongStoredField"}
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'de' AND n_chars BETWEEN 100 AND 2000 AND list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'und')")
+def q_field_kinds(spark, d):
+    """Columns by kinds of fields: exact, point and analysed ones are asked, stored ones come back."""
+    df = table(spark, d, "documents")
+    asked = (term("de", "lang"), n.LongPointRangeQuery("n_chars", 100, 2000), term("und"))
+    q = n.BooleanQuery(tuple(n.BooleanQueryPart(x, n.Occur.MUST) for x in asked))
+    return fields.given_back(matches(fields.index_of(df, "doc_id", _KINDS), q).select("doc_id"), df, "doc_id", _KINDS)
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, '{x.spark_type}' AS spark_type, {str(x.searched).lower()} AS searched, {str(x.stored).lower()} AS stored" for k, x in fields.KINDS.items()))
+def q_kinds(spark, d):
+    """Every kind over a column of its type: the type it gets, and whether it is searched and given back."""
+    rows = []
+    for kind, x in fields.KINDS.items():
+        df = spark.range(1).select("id", F.lit(None).cast(x.spark_type).alias("c"))
+        index = fields.index_of(df, "id", {"c": kind})
+        back = fields.given_back(df.select("id"), df, "id", {"c": kind})
+        held = [f.dataType.simpleString() for f in (*index.df.schema.fields, *back.schema.fields) if f.name == "c"]
+        rows.append((kind, held[0], "c" in index.df.columns, "c" in back.columns))
+    return spark.createDataFrame(rows, "kind string, spark_type string, searched boolean, stored boolean")
+
+
 @query("SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL")
 def q_sorted_exists(spark, d):
     return on(spark, d, "documents", "doc_id", n.SortedDocFieldExistsQuery("lang")).select("doc_id", "lang")
