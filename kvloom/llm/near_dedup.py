@@ -22,8 +22,8 @@ is the plain Jaccard similarity.
    and only members of other components are compared with it.
 5. What pivots cannot decide: in a band that still holds two components, pairs
    of different components are verified too.  Large bands are compared in
-   blocks, slots with slots, and only pairs that may reach the threshold come
-   out of a block.
+   blocks: slots with slots, then exactly where the slots leave a doubt; only
+   links come out of a block.
 
 Components are found by label propagation with pointer jumping over the links
 in tables; nothing of it is collected.
@@ -231,51 +231,71 @@ def _to_largest(placed: DataFrame, turn: int) -> DataFrame:
     return ranked.join(pivots, "band").where(F.col("component") != F.col("new.component")).select(F.col("new.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _undecided(placed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components in a band.
-
-    Bands of up to ``SMALL`` rows give all such pairs.  Larger ones are cut into
-    blocks of about ``BLOCK`` rows; blocks are compared with blocks in numpy, and
-    a pair comes out if its slots agree as often as the threshold less
-    ``DEVIATIONS`` standard deviations of that estimate; a pair at 0.8 does not
-    with a probability of 1.6e-8.
-    """
-    counted = materialize(placed.join(_sent(placed.groupBy("band").agg(F.count(F.lit(1)).alias("rows")), "bandsizes"), "band").select("band", "place", "node", "component", "rows"), "open")
+def _small_pairs(counted: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components in the bands of up to ``SMALL`` rows."""
     small = counted.where(F.col("rows") <= SMALL)
     other = small.select("band", F.col("node").alias("b"), F.col("component").alias("other"))
-    near = small.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("node").alias("a"), "b")
+    near = small.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other")))
+    return near.select(F.col("node").alias("a"), "b").distinct()
+
+
+def _large_links(counted: DataFrame, nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of different components in the bands of over ``SMALL`` rows.
+
+    Bands are cut into blocks of about ``BLOCK`` rows, and blocks are compared
+    with blocks.  A pair is verified if its slots agree as often as the threshold
+    less ``DEVIATIONS`` standard deviations of that estimate (a pair at 0.8 does
+    not with a probability of 1.6e-8), in the first band that it shares, unless
+    links of the block join its components already.
+    """
     least = POSITIONS * threshold - DEVIATIONS * (POSITIONS * threshold * (1 - threshold)) ** 0.5
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     large = (
         counted.where(F.col("rows") > SMALL)
         .join(nodes.select("node", "slots", "bands"), "node")
+        .join(lists, "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "place", "block", "node", "component", "slots", "bands")
+        .select("band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "place", "block", "node", "component", "slots", "bands", "s", "n")
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         slots = np.frombuffer(b"".join(rows["slots"]), np.uint8).reshape(len(rows), POSITIONS)
         bands = np.stack(rows["bands"].to_list())
         node, component, block = (rows[c].to_numpy() for c in ("node", "component", "block"))
-        place = rows["place"].iloc[0]
+        shingle, count = rows["s"].to_list(), rows["n"].to_list()
+        place, joined, links = rows["place"].iloc[0], {}, []
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        weight = lambda i: weights_of(np.asarray(count[i])) if len(count[i]) else np.ones(len(shingle[i]))
         first = np.flatnonzero(block == rows["low"].iloc[0])
         second = np.flatnonzero(block == rows["high"].iloc[0])
-        pairs = [np.zeros((0, 2), np.int64)]
         for start in range(0, len(first), 32):
             i = first[start : start + 32]
-            alike = (slots[i][:, None, :] == slots[second][None, :, :]).sum(axis=2) >= least
-            x, y = np.nonzero(alike & (component[i][:, None] != component[second][None, :]))
-            x, y = i[x], second[y]
-            # a pair comes out of the first band that it shares only, by the bands' own hashes: slots are a byte each and agree by chance
-            first_band = (bands[x] == bands[y]).argmax(axis=1)
-            x, y = x[first_band == place], y[first_band == place]
-            pairs.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
-        found = np.unique(np.concatenate(pairs), axis=0)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+            agree = (slots[i][:, None, :] == slots[second][None, :, :]).sum(axis=2)
+            x, y = np.nonzero((agree >= least) & (component[i][:, None] != component[second][None, :]))
+            order = np.argsort(-agree[x, y], kind="stable")  # the likely links first: they spare others
+            x, y = i[x[order]], second[y[order]]
+            # a pair is taken up in the first band that it shares only, by the bands' own hashes: slots are a byte each and agree by chance
+            mine = (bands[x] == bands[y]).argmax(axis=1) == place
+            for p, q in zip(x[mine].tolist(), y[mine].tolist(), strict=True):
+                a, b = root(component[p]), root(component[q])
+                if a != b and similarity(shingle[p].view(np.uint64), weight(p), shingle[q].view(np.uint64), weight(q)) >= threshold:
+                    joined[a] = b
+                    links.append((min(node[p], node[q]), max(node[p], node[q])))
+        return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links]}, dtype=np.int64)
+
+    return large.groupBy("band", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+
 
-    far = large.groupBy("band", "low", "high").applyInPandas(compare, "a long, b long")
-    return near.unionByName(far).distinct()
+def _band_sizes(placed: DataFrame) -> DataFrame:
+    """``placed`` with the number of rows of each band."""
+    sizes = placed.groupBy("band").agg(F.count(F.lit(1)).alias("rows"))
+    return materialize(placed.join(_sent(sizes, "bandsizes"), "band").select("band", "place", "node", "component", "rows"), "open")
 
 
 def _nodes(sketched: DataFrame) -> DataFrame:
@@ -315,8 +335,10 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
             continue
         links = links.unionByName(more)
         label = components(links)
-    undecided = materialize(_undecided(_open_bands(members, label), wanted, threshold), "undecided")
-    more = materialize(verified(undecided, lists).where(F.col("similarity") >= threshold).select("a", "b"), "links", BATCH_ROWS)
+    counted = _band_sizes(_open_bands(members, label))
+    undecided = materialize(_small_pairs(counted), "undecided")
+    near = verified(undecided, lists).where(F.col("similarity") >= threshold).select("a", "b")
+    more = materialize(near.unionByName(_large_links(counted, wanted, lists, threshold)), "links", BATCH_ROWS)
     if more.limit(1).count():
         links = links.unionByName(more)
         label = components(links)

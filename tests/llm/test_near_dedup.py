@@ -101,12 +101,13 @@ def test_filter_keeps_one_of_each_group_and_all_columns(spark, documents):
     assert kept.where("doc_id is null").count() == 2
 
 
-def undecided(spark, slots, bands):
-    """The pairs of two nodes with the given slots and bands that the blockwise comparison lets out."""
+def large_links(spark, slots, bands, shared):
+    """The links of two nodes with the given slots, bands and shared shingles (of 100 each) that the blockwise comparison lets out."""
     nodes = spark.createDataFrame([(i + 1, bytearray(s.astype(np.uint8).tobytes()), b) for i, (s, b) in enumerate(zip(slots, bands, strict=True))], "node long, slots binary, bands array<long>")
-    members = [(b[p], p, i + 1, i + 1) for i, b in enumerate(bands) for p in range(near_dedup.BANDS) if bands[0][p] == bands[1][p]]
-    placed = spark.createDataFrame(members, "band long, place int, node long, component long")
-    return [(r.a, r.b) for r in near_dedup._undecided(placed, nodes, 0.8).collect()]
+    lists = spark.createDataFrame([(1, list(range(100)), []), (2, list(range(100 - shared, 200 - shared)), [])], "node long, s array<long>, n array<int>")
+    members = [(b[p], p, i + 1, i + 1, 2) for i, b in enumerate(bands) for p in range(near_dedup.BANDS) if bands[0][p] == bands[1][p]]
+    counted = spark.createDataFrame(members, "band long, place int, node long, component long, rows long")
+    return [(r.a, r.b) for r in near_dedup._large_links(counted, nodes, lists, 0.8).collect()]
 
 
 def test_slots_that_agree_by_chance_hide_no_pair(spark, monkeypatch):
@@ -115,16 +116,16 @@ def test_slots_that_agree_by_chance_hide_no_pair(spark, monkeypatch):
     b = a.copy()
     b[near_dedup.POSITIONS - 30 :] += 1  # bands 0 to 25 agree in all bytes, but the hashes only in band 5
     bands = [list(range(1, 31)), [6 if p == 5 else 100 + p for p in range(30)]]
-    assert undecided(spark, [a, b], bands) == [(1, 2)]
+    assert large_links(spark, [a, b], bands, 95) == [(1, 2)]
 
 
 def test_only_pairs_beyond_doubt_are_ruled_out(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 1)
     a = np.arange(near_dedup.POSITIONS)
     bands = [list(range(1, 31)), [1] + [100 + p for p in range(1, 30)]]
-    for agree, out in ((150, [(1, 2)]), (135, [(1, 2)]), (120, [])):
+    for agree, shared, out in ((150, 95, [(1, 2)]), (135, 95, [(1, 2)]), (120, 95, []), (150, 85, [])):  # 85 of 115 is under the threshold
         b = np.where(a < agree, a, a + 1)
-        assert undecided(spark, [a, b], bands) == out
+        assert large_links(spark, [a, b], bands, shared) == out
 
 
 def test_large_bands_equal_brute_force(spark, documents, monkeypatch):
