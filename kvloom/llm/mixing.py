@@ -33,7 +33,7 @@ from kvloom.llm.common import WORD_RUN, broadcast_if, materialize
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
-BUCKET_DIGITS = 4
+BUCKET_DIGITS = 3
 MOST_SOURCES_SENT = 100_000
 
 
