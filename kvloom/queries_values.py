@@ -185,10 +185,11 @@ def stream_shuffled(spark, d):
     return spark.createDataFrame([(k, i + 1) for i, k in enumerate(mixed)], "key int, place long")
 
 
-@query("SELECT turn, least(2000, pow(2, turn)) AS middle, least(2000, pow(2, turn)) * 0.7 AS low, least(2000, pow(2, turn)) * 1.3 AS high FROM range(0, 16) r(turn)")
+@query("SELECT turn, least(20000, 10 * CAST(pow(2, turn) AS BIGINT)) AS middle, least(14000, 7 * CAST(pow(2, turn) AS BIGINT)) AS low, least(26000, 13 * CAST(pow(2, turn) AS BIGINT)) AS high FROM range(0, 16) r(turn)")
 def stream_backoff(spark, d):
-    rows = [(t, streams.backoff(t), streams.backoff(t, unit=0.0), streams.backoff(t, unit=1.0)) for t in range(16)]
-    return spark.createDataFrame(rows, "turn long, middle double, low double, high double")
+    """Waits before retries, in tenths of milliseconds: the middle and both ends."""
+    rows = [(t, *[round(10 * streams.backoff(t, unit=u)) for u in (0.5, 0.0, 1.0)]) for t in range(16)]
+    return spark.createDataFrame(rows, "turn long, middle long, low long, high long")
 
 
 @query("SELECT n_nationkey AS key, array_to_string(list_transform(range(0, 3), lambda i: n_name), ',') AS joined FROM nation")
