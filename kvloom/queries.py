@@ -572,6 +572,15 @@ def scored(spark, d, q: n.Query) -> DataFrame:
     return matches(documents(spark, d), q, columns=["doc_id"]).select("doc_id", "score")
 
 
+@query(f"""WITH d AS ({_TOKENS}) SELECT 'text' AS field, (SELECT count(*) FROM d WHERE len(w) > 0) AS documents, (SELECT sum(len(w))::BIGINT FROM d) AS length,
+           (SELECT count(DISTINCT t) FROM (SELECT unnest(w) AS t FROM d)) AS terms""")
+def q_index(spark, d):
+    """What the stored index holds; the first text query of a session writes it."""
+    index = documents(spark, d)
+    held = spark.read.parquet(f"{index.path}/fields")
+    return held.join(spark.read.parquet(f"{index.path}/terms").groupBy("field").agg(F.count(F.lit(1)).alias("terms")), "field")
+
+
 def term(word: str, field: str = "text") -> n.TermQuery:
     return n.TermQuery(n.Term(field, word))
 
