@@ -11,10 +11,12 @@ feed with the characters after it.
 Proof of the shortcut, once per process: every vocabulary string is encoded
 alone, and those that give just their own id count as one token wherever they
 are a whole pre-token.  The library merges the others; their counts are kept
-in a memo that is emptied at ``MEMO`` entries.
+in a memo that is emptied at ``MEMO`` entries or ``MEMO_CHARS`` characters.
 
-Cases: null and empty texts have 0 tokens; texts are never cut short; special
-strings inside a text are ordinary text, the library's default.
+Cases: null and empty texts have 0 tokens; texts of any length are counted
+whole, never cut short; special strings inside a text are ordinary text, the
+library's default; rows that repeat are counted separately; a null id stays
+null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import types as T
 from kvloom.llm.common import map_batches
 
 MEMO = 400_000
+MEMO_CHARS = 16_000_000
 OVER = 4096
 SPACE = "▁"
 _PRETOKEN = re.compile(f"[ {SPACE}]+[^ {SPACE}\n]*|\n[^ {SPACE}\n]*")
@@ -45,7 +48,7 @@ class Counter:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.splits = self.provable()
         self.whole = self.proven() if self.splits else {}
-        self.memo = dict(self.whole)
+        self.memo, self.chars = dict(self.whole), 0
         self.splits = self.splits and all(self.count(x) == len(self.library.encode(x)) for x in _PROBES)
 
     def pieces(self) -> list[tuple[int, str]]:
@@ -66,22 +69,26 @@ class Counter:
         found |= {"\n" + p: 2 for (i, p), ids in zip(inner, self.library.encode(["\n" + p for _, p in inner], num_threads=1), strict=True) if len(ids) == 3 and ids[2] == i}
         return found
 
-    def learn(self, missing: list[str]) -> None:
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo = dict(self.whole)
-        for pretoken, ids in zip(missing, self.library.encode(missing, num_threads=1), strict=True):
-            self.memo[pretoken] = len(ids) - 1 if pretoken.startswith("\n") else len(ids)
+    def merged(self, pretokens: list[str]) -> dict[str, int]:
+        """Counts by the library."""
+        return {x: len(ids) - 1 if x.startswith("\n") else len(ids) for x, ids in zip(pretokens, self.library.encode(pretokens, num_threads=1), strict=True)}
+
+    def keep(self, found: dict[str, int]) -> None:
+        chars = sum(map(len, found))
+        if len(self.memo) + len(found) > MEMO or self.chars + chars > MEMO_CHARS:
+            self.memo, self.chars = dict(self.whole), 0
+        if len(self.memo) + len(found) <= MEMO and chars <= MEMO_CHARS:
+            self.memo |= found
+            self.chars += chars
 
     def sum(self, pretokens: list[str]) -> int:
         try:
             return sum(map(self.memo.__getitem__, pretokens))
         except KeyError:
-            self.learn([x for x in set(pretokens) if x not in self.memo])
-        try:
-            return sum(map(self.memo.__getitem__, pretokens))
-        except KeyError:  # the memo was emptied meanwhile
-            self.learn([x for x in set(pretokens) if x not in self.memo])
-            return sum(map(self.memo.__getitem__, pretokens))
+            found = self.merged([x for x in set(pretokens) if x not in self.memo])
+        total = sum(found[x] if x in found else self.memo[x] for x in pretokens)
+        self.keep(found)
+        return total
 
     def count(self, text: str) -> int:
         if not text:

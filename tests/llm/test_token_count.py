@@ -30,7 +30,13 @@ def test_memo_is_bounded(monkeypatch):
     counter = token_count.Counter(open(PATH, "rb").read())
     texts = [f"zq{i}xv wj{i} the" for i in range(300)]
     assert [counter.count(t) for t in texts] == [len(counter.library.encode(t)) for t in texts]
-    assert len(counter.memo) <= len(counter.whole) + 60
+    assert len(counter.memo) <= len(counter.whole) + 50
+    long = " ".join(f"q{i}z" for i in range(200))  # more than the memo takes, twice
+    assert counter.count(long) == counter.count(long) == len(counter.library.encode(long))
+    monkeypatch.setattr(token_count, "MEMO", 10**6)
+    monkeypatch.setattr(token_count, "MEMO_CHARS", 100)
+    assert [counter.count(t) for t in [*texts, long]] == [len(counter.library.encode(t)) for t in [*texts, long]]
+    assert sum(map(len, counter.memo.keys() - counter.whole.keys())) <= 100
 
 
 def test_table(spark, documents):
