@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from kvloom.functions.ranges import FileRange, KeyRange
 from kvloom.operators.deltas import UpdateMode
-from kvloom.operators.metrics import observed
+from kvloom.operators.metrics import Timers, observed
 from kvloom.operators.stages import KeyLevel
 from kvloom.operators.table import KVTable
 from kvloom.queries import _stored_orders, byte_orders, hexed, orders, query, table
@@ -310,6 +310,20 @@ def m_metrics(spark, d):
     return spark.createDataFrame([(seen.get["rows"], seen.get["most"])], "rows long, most long")
 
 
+@query("SELECT name, times::BIGINT AS times, true AS ordered FROM (VALUES ('get', 3), ('size', 2)) v(name, times)")
+def m_timers(spark, d):
+    """Times of operations: how many, and that their percentiles are in order."""
+    timers, held = Timers(), orders(spark, d)
+    for key in (1, 2, 3):
+        with timers.time("get"):
+            held.get(key).collect()
+    for _ in range(2):
+        with timers.time("size"):
+            held.size().collect()
+    ordered = (F.col("p20") <= F.col("p50")) & (F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("total"))
+    return timers.report(spark).select("name", "times", ordered.alias("ordered"))
+
+
 @query("SELECT compression, bloom, rows FROM (SELECT count(*) AS rows FROM orders), (VALUES ('snappy', false), ('gzip', true), ('none', false), ('zstd', true)) o(compression, bloom)")
 def m_storage_options(spark, d):
     frames = []
