@@ -341,11 +341,12 @@ class Decisions:
         full = (np.take(BRANCH, places.class_, mode="clip") << LOG_BRANCHES * digits) | places.inner
         ends = np.cumsum(self.depth, dtype=np.int32)
         self.starts = ends - self.depth
-        left = np.repeat(ends, self.depth)
+        of = np.repeat(np.arange(len(ends)), self.depth)
+        left = np.take(ends, of, mode="clip")
         left -= np.arange(len(left), dtype=np.int32)
-        node = np.take(OFFSETS.ravel(), np.repeat(places.class_ * OFFSETS.shape[1], self.depth) + left, mode="clip")
+        node = np.take(OFFSETS.ravel(), np.take(places.class_ * OFFSETS.shape[1], of, mode="clip") + left, mode="clip")
         left *= LOG_BRANCHES
-        code = np.repeat(full, self.depth)
+        code = np.take(full, of, mode="clip")
         node += code >> left
         left -= LOG_BRANCHES
         code >>= left
@@ -355,7 +356,7 @@ class Decisions:
             salt = node.view(np.uint32) * np.uint32(0x9E3779B1)
             self.weights = []
             for x in f:
-                key = np.repeat(x, self.depth)
+                key = np.take(x, of, mode="clip")
                 key ^= salt
                 key *= np.uint32(0x85EBCA6B)
                 key >>= np.uint32(32 - WEIGHT_BITS)
@@ -415,13 +416,17 @@ class Steps:
         error /= total[:, None]
         error.reshape(-1)[np.arange(0, error.size, BRANCHES) + d.branch] -= 1
         square = np.square(error) @ np.ones(BRANCHES, np.float32)
-        table, move = model.weights.reshape(-1), np.empty_like(error)
+        # subtract.at takes a time by the index: two neighbouring floats are a complex number, for the same sums at half the indices
+        pairs, move, numbers = model.weights.reshape(-1).view(np.complex64), np.empty_like(error), np.empty((len(error), BRANCHES // 2), np.intp)
         for at in d.weights:
             np.add.at(self.sums, at, square)
             scale = np.take(self.sums, at, mode="clip")
             np.divide(np.float32(RATE), np.sqrt(scale, out=scale), out=scale)
             np.multiply(error, scale[:, None], out=move)
-            np.subtract.at(table, (at[:, None] * BRANCHES + np.arange(BRANCHES)).ravel(), move.ravel())
+            np.multiply(at, BRANCHES // 2, out=numbers[:, 0])
+            for i in range(1, BRANCHES // 2):
+                np.add(numbers[:, 0], i, out=numbers[:, i])
+            np.subtract.at(pairs, numbers.ravel(), move.reshape(-1).view(np.complex64))
 
     def learn(self, texts: pa.Array, vocabulary: Vocabulary) -> None:
         """Steps at every position of ``texts``; each batch of steps is spread over its segment."""
