@@ -1,8 +1,9 @@
 """A search index that is written once and read by term.
 
 ``postings`` has a row for each (field, term, document): the term's positions
-and the length of the document's field, range-partitioned and sorted by field
-and term, so that a query reads the row groups of its own terms.  ``terms`` has
+and the length of the document's field, in segments.  A segment holds a field's
+postings of the documents of one task, sorted by term, so that a query reads the
+row groups of its own terms and no posting is exchanged.  ``terms`` has
 each (field, term) with the number of documents that hold it; ``fields`` the
 documents and the average length of each field; ``documents`` the table itself,
 ordered by key.
@@ -13,11 +14,16 @@ documents that meet it, by the same rules as the compiler that scans texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvloom.functions import text as analysis
 from kvloom.functions.ranges import conjunction
@@ -25,6 +31,7 @@ from kvloom.plans import nodes as n
 from kvloom.plans.compiler import K1, B, Compiler, Index, Statistics, phrase_starts, terms_of
 
 DIGITS = 6
+RUN = 1 << 21
 
 
 def write_index(index: Index, path: str) -> StoredIndex:
@@ -33,21 +40,72 @@ def write_index(index: Index, path: str) -> StoredIndex:
     documents = index.df.repartitionByRange(key).sortWithinPartitions(key)
     documents.write.parquet(f"{path}/documents")
     read = Index(spark.read.parquet(f"{path}/documents"), key, index.texts).tokenised()
-    frames = []
-    for name in index.texts:
-        tokens = F.col(Index.tokens_name(name))
-        each = read.select(F.lit(name).alias("field"), F.col(key).alias("key"), F.size(tokens).alias("length"), F.posexplode(tokens).alias("position", "term"))
-        frames.append(each.groupBy("field", "term", "key", "length").agg(F.array_sort(F.collect_list("position")).alias("positions")))
-    postings = reduce(DataFrame.unionByName, frames)
-    postings.repartitionByRange("field", "term", "key").sortWithinPartitions("field", "term", "key").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+    repeated = not read.groupBy(key).count().where("count > 1").isEmpty()
+    for name in index.texts:  # a field at a time, so that the sort's prefixes are those of its terms
+        rows = occurrences(read.select(F.col(key).alias("key"), F.col(Index.tokens_name(name)).alias("tokens")))
+        if repeated:  # documents of one key and length are one
+            rows = rows.groupBy("term", "key", "length").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+        rows = rows.sortWithinPartitions("term", "key").select(F.lit(name).alias("field"), "term", "key", "length", "positions")
+        rows.write.mode("append").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
     held = spark.read.parquet(f"{path}/postings")
     terms = held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/terms")
-    lengths = held.select("field", "key", "length").distinct().groupBy("field").agg(F.count(F.lit(1)).alias("documents"), F.sum("length").alias("length"))
+    each = held.where(F.get("positions", F.lit(0)) == 0).select("field", "key", "length").distinct()  # its first token stands for a document
+    lengths = each.groupBy("field").agg(F.count(F.lit(1)).alias("documents"), F.sum("length").alias("length"))
     lengths.coalesce(1).write.parquet(f"{path}/fields")
     return StoredIndex(spark, path, key, index)
 
 
+def occurrences(documents: DataFrame) -> DataFrame:
+    """(term, key, length, positions) of documents (key, tokens), whose terms are gathered where the document lies.
+
+    Rows come out in sorted runs of about ``RUN`` tokens, which the sort of a segment merges.
+    """
+    most = RUN
+    schema = T.StructType([
+        T.StructField("term", T.StringType()), T.StructField("key", documents.schema["key"].dataType), T.StructField("length", T.IntegerType()),
+        T.StructField("positions", T.ArrayType(T.IntegerType())),
+    ])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, tokens = batch.column(0), batch.column(1).flatten()
+            sizes = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            low = 0
+            while low < len(sizes):
+                begin = ends[low] - sizes[low]
+                high = max(low + 1, min(low + (1 << 18), int(np.searchsorted(ends, begin + most, "right"))))
+                held = sizes[low:high]
+                total, count = int(ends[high - 1] - begin), high - low
+                if total:
+                    coded = tokens.slice(begin, total).dictionary_encode(null_encoding="encode")
+                    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+                    rank = np.empty(len(order), np.int64)
+                    rank[order] = np.arange(len(order))
+                    # (term, document, place) as one number of at most 63 bits
+                    low_bits, mid_bits = total.bit_length(), count.bit_length()
+                    packed = rank[coded.indices.to_numpy()] << (low_bits + mid_bits)
+                    packed |= np.repeat(np.arange(count) << low_bits, held)
+                    packed |= np.arange(total)
+                    packed.sort()
+                    at, pair = packed & ((1 << low_bits) - 1), packed >> low_bits
+                    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+                    position = (np.arange(total) - np.repeat(np.cumsum(held) - held, held)).astype(np.int32)[at]
+                    pair = pair[first]
+                    mine = pair & ((1 << mid_bits) - 1)
+                    yield pa.record_batch(
+                        [
+                            coded.dictionary.take(pa.array(order[pair >> mid_bits])), keys.take(pa.array(low + mine)), pa.array(held[mine].astype(np.int32)),
+                            pa.ListArray.from_arrays(pa.array(np.append(first, total).astype(np.int32)), pa.array(position)),
+                        ],
+                        names=["term", "key", "length", "positions"],
+                    )
+                low = high
+
+    return documents.select("key", "tokens").mapInArrow(gather, schema)
+
+
 @dataclass(frozen=True)
 class StoredIndex:
     """A written index; ``source`` says how its texts are analysed."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kvloom.functions import text
 from kvloom.plans import forms
 from kvloom.plans import nodes as n
+from kvloom.plans import stored as stored_index
 from kvloom.plans.compiler import Compiler, text_index
 from kvloom.plans.search import Hits, ScoreMode, matches, search
 from kvloom.plans.stored import write_index
@@ -121,6 +122,25 @@ def test_a_term_query_reads_the_postings_of_its_term(stored):
     assert "EqualTo(field,body)" in plan and ("EqualTo(term,fox)" in plan or "In(term, [fox])" in plan) and "documents" not in plan
 
 
+def test_postings_are_gathered_where_their_documents_lie(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored_index, "RUN", 5)
+    rows = [(i, None if i % 7 == 0 else "" if i % 7 == 1 else f"b a é {'long ' * (i % 5)}w{i % 3} a") for i in range(40)] + [(None, "a z"), (3, "b b"), (3, "b b"), (3, "c")]
+    df = spark.createDataFrame(rows, "id int, body string")
+    plan = stored_index.occurrences(text_index(df, "id", "body").tokenised().selectExpr("id AS key", "__tokens_body AS tokens"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    for name, kept in (("once", rows[:41]), ("repeated", rows)):
+        path, want = str(tmp_path / name), {}
+        write_index(text_index(spark.createDataFrame(kept, "id int, body string"), "id", "body"), path)
+        for key, body in kept:
+            words = (body or "").split()
+            for place, word in enumerate(words):
+                want.setdefault((word, key, len(words)), []).append(place)
+        got = {(r.term, r.key, r.length): r.positions for r in spark.read.parquet(f"{path}/postings").collect()}
+        assert got == {k: sorted(v) for k, v in want.items()}
+        lengths = {(k, size) for _, k, size in want}
+        assert [(r.documents, r.length) for r in spark.read.parquet(f"{path}/fields").collect()] == [(len(lengths), sum(x for _, x in lengths))]
+
+
 def test_pages_of_a_stored_index(stored, index):
     for sort in (n.DocSort(), n.NumericSort("num", True), n.ScoreSort(), n.RandomSort("s")):
         params = n.QueryParams(term("fox"), 1, 2, sort)
