@@ -14,6 +14,7 @@ documents that meet it, by the same rules as the compiler that scans texts.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -32,28 +33,39 @@ from kvloom.plans.compiler import K1, B, Compiler, Index, Statistics, phrase_sta
 
 DIGITS = 6
 RUN = 1 << 21
+_writing = threading.Lock()
 
 
 def write_index(index: Index, path: str) -> StoredIndex:
     """Write the text fields of ``index`` and its documents under ``path``."""
-    spark, key = index.df.sparkSession, index.key
-    documents = index.df.repartitionByRange(key).sortWithinPartitions(key)
+    held = write_documents(index, path)
+    held.inverted  # noqa: B018  writes them
+    return held
+
+
+def write_documents(index: Index, path: str) -> StoredIndex:
+    """Write the documents of ``index`` under ``path``; its text fields follow when a query first reads one."""
+    documents = index.df.repartitionByRange(index.key).sortWithinPartitions(index.key)
     documents.write.parquet(f"{path}/documents")
-    read = Index(spark.read.parquet(f"{path}/documents"), key, index.texts).tokenised()
+    return StoredIndex(index.df.sparkSession, path, index.key, index, False)
+
+
+def write_inverted(index: Index, path: str) -> None:
+    """Write the postings, terms and lengths of the text fields of ``index``."""
+    spark, key, read = index.df.sparkSession, index.key, index.tokenised()
     repeated = not read.groupBy(key).count().where("count > 1").isEmpty()
-    for name in index.texts:  # a field at a time, so that the sort's prefixes are those of its terms
+    for i, name in enumerate(index.texts):  # a field at a time, so that the sort's prefixes are those of its terms
         rows = occurrences(read.select(F.col(key).alias("key"), F.col(Index.tokens_name(name)).alias("tokens")))
         if repeated:  # documents of one key and length are one
             rows = rows.groupBy("term", "key", "length").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
         rows = rows.sortWithinPartitions("term", "key").select(F.lit(name).alias("field"), "term", "key", "length", "positions")
-        rows.write.mode("append").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+        rows.write.mode("append" if i else "overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
     held = spark.read.parquet(f"{path}/postings")
     terms = held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/terms")
+    terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/terms")
     each = held.where(F.get("positions", F.lit(0)) == 0).select("field", "key", "length").distinct()  # its first token stands for a document
     lengths = each.groupBy("field").agg(F.count(F.lit(1)).alias("documents"), F.sum("length").alias("length"))
-    lengths.coalesce(1).write.parquet(f"{path}/fields")
-    return StoredIndex(spark, path, key, index)
+    lengths.coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
@@ -114,26 +126,36 @@ class StoredIndex:
     path: str
     key: str
     source: Index
+    complete: bool = True  # False while the text fields are not written
 
     @property
     def texts(self):
         return self.source.texts
 
+    @property
+    def inverted(self) -> str:
+        """The folder of ``postings``, ``terms`` and ``fields``, written if they are not there yet."""
+        with _writing:
+            if not self.complete:
+                write_inverted(Index(self.df, self.key, self.texts), self.path)
+                object.__setattr__(self, "complete", True)
+        return self.path
+
     @property
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.source.df.schema).parquet(f"{self.path}/documents")
 
     @cached_property
     def _postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.spark.read.parquet(f"{self.inverted}/postings")
 
     @cached_property
     def _terms(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/terms")
+        return self.spark.read.parquet(f"{self.inverted}/terms")
 
     @cached_property
     def _fields(self) -> dict[str, tuple[int, float]]:
-        return {r.field: (r.documents, r.length / max(1, r.documents)) for r in self.spark.read.parquet(f"{self.path}/fields").collect()}
+        return {r.field: (r.documents, r.length / max(1, r.documents)) for r in self.spark.read.parquet(f"{self.inverted}/fields").collect()}
 
     def postings(self, name: str, words: list[str]) -> DataFrame:
         """(term, key, length, positions) of the words; their row groups only are read."""

@@ -22,7 +22,7 @@ from kvloom.operators.table import KVTable, deltas_between
 from kvloom.plans import nodes as n
 from kvloom.plans.compiler import text_index
 from kvloom.plans.search import matches, search
-from kvloom.plans.stored import StoredIndex, write_index
+from kvloom.plans.stored import StoredIndex, write_documents
 from kvloom.sources.scratch import modified, shared_folder
 from kvloom.sources.store import Connection, LocalSettings, MemoryDatabase
 from kvloom.streaming import tables
@@ -560,11 +560,11 @@ _indexes: dict[tuple, StoredIndex] = {}
 
 
 def documents(spark, d) -> StoredIndex:
-    """The index of documents, written once a session for a state of the files."""
+    """The index of documents, written once a session for a state of the files; postings with the first query that reads one."""
     df = table(spark, d, "documents")
     name = (spark.sparkContext.applicationId, d, tuple(sorted((f, modified(spark, f)) for f in df.inputFiles())))
     if name not in _indexes:
-        _indexes[name] = write_index(text_index(df, "doc_id", "text"), f"{shared_folder(spark)}/kvloom-index-{uuid.uuid4().hex}")
+        _indexes[name] = write_documents(text_index(df, "doc_id", "text"), f"{shared_folder(spark)}/kvloom-index-{uuid.uuid4().hex}")
     return _indexes[name]
 
 
@@ -577,8 +577,8 @@ def scored(spark, d, q: n.Query) -> DataFrame:
 def q_index(spark, d):
     """What the stored index holds; the first text query of a session writes it."""
     index = documents(spark, d)
-    held = spark.read.parquet(f"{index.path}/fields")
-    return held.join(spark.read.parquet(f"{index.path}/terms").groupBy("field").agg(F.count(F.lit(1)).alias("terms")), "field")
+    held = spark.read.parquet(f"{index.inverted}/fields")
+    return held.join(spark.read.parquet(f"{index.inverted}/terms").groupBy("field").agg(F.count(F.lit(1)).alias("terms")), "field")
 
 
 def term(word: str, field: str = "text") -> n.TermQuery:

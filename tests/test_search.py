@@ -141,6 +141,13 @@ def test_postings_are_gathered_where_their_documents_lie(spark, tmp_path, monkey
         assert [(r.documents, r.length) for r in spark.read.parquet(f"{path}/fields").collect()] == [(len(lengths), sum(x for _, x in lengths))]
 
 
+def test_a_query_without_text_writes_no_postings(index, tmp_path):
+    held = stored_index.write_documents(index, str(tmp_path))
+    params = n.QueryParams(term("7", "num"), 0, 5, n.DocSort())
+    assert [r.id for r in search(held, params).collect()] == [2, 5] and {p.name for p in tmp_path.iterdir()} == {"documents"}
+    assert ids(held, term("fox")) == [1, 2, 5, 6] and {p.name for p in tmp_path.iterdir()} == {"documents", "postings", "terms", "fields"}
+
+
 def test_pages_of_a_stored_index(stored, index):
     for sort in (n.DocSort(), n.NumericSort("num", True), n.ScoreSort(), n.RandomSort("s")):
         params = n.QueryParams(term("fox"), 1, 2, sort)
